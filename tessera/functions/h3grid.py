@@ -1,0 +1,30 @@
+"""Arrow wrappers around the optional ``h3`` package; imported only when it exists."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_CENTRE_TYPE = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
+
+
+@F.arrow_udf(T.LongType())
+def h3_cell(lat: pa.Array, lon: pa.Array, resolution: pa.Array) -> pa.Array:
+    import h3.api.basic_int as h3
+
+    rows = zip(lat.to_pylist(), lon.to_pylist(), resolution.to_pylist())
+    return pa.array(
+        [None if y is None or x is None else h3.latlng_to_cell(y, x, r) for y, x, r in rows], pa.int64()
+    )
+
+
+@F.arrow_udf(_CENTRE_TYPE)
+def h3_centre(cell: pa.Array) -> pa.Array:
+    import h3.api.basic_int as h3
+
+    pairs = [None if c is None else h3.cell_to_latlng(c) for c in cell.to_pylist()]
+    return pa.array(
+        [None if p is None else {"lon": p[1], "lat": p[0]} for p in pairs],
+        pa.struct([("lon", pa.float64()), ("lat", pa.float64())]),
+    )
