@@ -92,9 +92,7 @@ def attribute_filters(
     if name_contains:
         pattern = "%" + name_contains.replace("\\", "\\\\") + "%"
         name = require(name_column, "name", "name_contains")
-        # rlike/contains would not keep the wildcards; lower() on both sides gives the
-        # case-insensitive match.
-        wanted.append(F.lower(name).like(F.lower(F.lit(pattern))))
+        wanted.append(F.like(F.lower(name), F.lower(F.lit(pattern))))
     if min_confidence is not None:
         if not 0.0 <= min_confidence <= 1.0:
             raise InvalidRequestError(f"min_confidence={min_confidence} is outside [0, 1]")

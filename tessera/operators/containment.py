@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import BoundingBox
-from tessera.functions.paths import column_path
+from tessera.functions.paths import column_path, projection
 from tessera.functions.spatial import wkb_xy
 from tessera.functions.tiles import TILE_FIELDS, crossings, cut_batches, tile_key
 from tessera.operators.aggregate import top, within
@@ -180,6 +180,37 @@ def _shuffled_join(
     return cold.unionByName(heated)
 
 
+def points_in_polygons(
+    points: DataFrame,
+    polygons: DataFrame,
+    box: BoundingBox | None = None,
+    *,
+    point_columns: Sequence[str],
+    polygon_columns: Sequence[str],
+    point_geometry: str | None = "geometry",
+    polygon_geometry: str = "geometry",
+    point_bbox: str = "bbox",
+    polygon_bbox: str = "bbox",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_tile_points: int = HOT_TILE_POINTS,
+) -> DataFrame:
+    """The containment join itself: every (point, polygon around it).
+
+    `polygon_columns` are ``path AS alias`` items. Equal points (in all the columns asked
+    for) may be returned once with their number in ``weight``.
+    """
+    keep = projection(polygons, None, tuple(polygon_columns))
+    tiles = stage(tile_table(within(polygons, box, polygon_bbox), keep, polygon_geometry), "tiles")
+    return contained_pairs(
+        with_coordinates(within(points, box, point_bbox), point_bbox, point_geometry),
+        tiles,
+        point_columns=list(point_columns),
+        polygon_columns=[item.partition(" AS ")[2] or item for item in polygon_columns],
+        broadcast_bytes=broadcast_bytes,
+        hot_tile_points=hot_tile_points,
+    )
+
+
 def count_in_polygons(
     points: DataFrame,
     polygons: DataFrame,
