@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import BoundingBox, intersects_any
-from tessera.functions.paths import attribute_filters, projection
+from tessera.functions.paths import attribute_filters, column_path, projection
 from tessera.functions.spatial import Shape, st_asgeojson
 from tessera.operators.aggregate import top
 
@@ -189,9 +189,7 @@ def busiest_file(df: DataFrame, box: BoundingBox, bbox: str = "bbox") -> DataFra
 
 def forced_read(df: DataFrame, box: BoundingBox, name_path: str, bbox: str = "bbox") -> DataFrame:
     """Match count and longest name: an aggregate that cannot be answered from footers."""
-    from tessera.functions.paths import column_path
-
     return df.where(box.intersects(bbox)).agg(
         F.count(F.lit(1)).alias("matches"),
-        F.max(F.length(column_path(name_path))).alias("longest_name"),
+        F.max(F.length(column_path(name_path))).cast("bigint").alias("longest_name"),
     )

@@ -203,7 +203,7 @@ def collect_within(df: DataFrame, max_seconds: float = DEFAULT_MAX_SECONDS) -> l
     """Collect a bounded result, cancelling its Spark jobs at the deadline."""
     if max_seconds <= 0:
         raise QueryTimeoutError(f"the query was stopped after {max_seconds:g} s; {_ADVICE}")
-    spark, tag = df.sparkSession, f"tessera-{uuid.uuid4().hex}"
+    context, tag = df.sparkSession.sparkContext, f"tessera-{uuid.uuid4().hex}"
     done, late = threading.Event(), threading.Event()
 
     def watch() -> None:
@@ -212,10 +212,10 @@ def collect_within(df: DataFrame, max_seconds: float = DEFAULT_MAX_SECONDS) -> l
         late.set()
         # A job may start after a cancellation, so it is repeated until the query is gone.
         while not done.wait(0.1):
-            spark.interruptTag(tag)
+            context.cancelJobsWithTag(tag)
 
     threading.Thread(target=watch, daemon=True).start()
-    spark.addTag(tag)
+    context.addJobTag(tag)
     try:
         return df.collect()
     except Exception as exc:
@@ -224,7 +224,7 @@ def collect_within(df: DataFrame, max_seconds: float = DEFAULT_MAX_SECONDS) -> l
         raise
     finally:
         done.set()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 _PUSHED = re.compile(r"(LessThanOrEqual|LessThan|GreaterThanOrEqual|GreaterThan|EqualTo)\(([\w.]+),(-?[\d.]+(?:E-?\d+)?)\)")

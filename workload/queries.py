@@ -11,7 +11,7 @@ from tessera.functions.boxes import BoundingBox
 from tessera.operators import aggregate, containment, features, nearest, statistics
 from tessera.plans.sqlgate import run_sql
 from tessera.sources import footers
-from tessera.sources.catalog import schema_with_roles
+from tessera.sources.catalog import Source, schema_with_roles
 from workload import sqlsuite
 from workload.views import catalog, places, points, polygons, table
 
@@ -169,8 +169,14 @@ def _scan_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _schema_roles(spark: SparkSession, sf: str) -> DataFrame:
-    source = catalog(sf).get("places")
-    return schema_with_roles(places(spark, sf), source)
+    """Columns, types and roles of a table, with the values the footers count for each."""
+    source = Source(name="orders", root=sf, geometry_column=None, name_column="o_orderpriority", category_column="o_orderstatus")
+    held = (
+        footers.footers(spark, f"{sf}/orders.parquet")
+        .groupBy("column")
+        .agg(F.sum("group_rows").alias("row_count"))
+    )
+    return schema_with_roles(table(spark, sf, "orders"), source).join(held, "column").drop("position")
 
 
 def _busiest(spark: SparkSession, sf: str) -> DataFrame:

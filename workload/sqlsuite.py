@@ -63,8 +63,8 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     "sql_window_rank": _same(
         "SELECT * FROM (SELECT c_custkey, c_nationkey, c_acctbal, "
-        "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, "
-        "rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS segment_rank FROM customer) t WHERE place <= 3"
+        "cast(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS bigint) AS place, "
+        "cast(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS bigint) AS segment_rank FROM customer) t WHERE place <= 3"
     ),
     "sql_window_lag": _same(
         "SELECT o_orderkey, o_custkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) "
@@ -90,7 +90,7 @@ SQL: dict[str, tuple[str, str]] = {
         "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"
     ),
     "sql_rollup": _same(
-        "SELECT l_returnflag, l_linestatus, sum(l_linenumber) AS total FROM lineitem "
+        "SELECT l_returnflag, l_linestatus, cast(sum(l_linenumber) AS bigint) AS total FROM lineitem "
         "GROUP BY ROLLUP (l_returnflag, l_linestatus)"
     ),
     "sql_grouping_sets": _same(
@@ -102,7 +102,7 @@ SQL: dict[str, tuple[str, str]] = {
         "GROUP BY l_returnflag"
     ),
     "sql_dates": _same(
-        "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders "
+        "SELECT cast(year(o_orderdate) AS bigint) AS y, cast(month(o_orderdate) AS bigint) AS m, count(*) AS n FROM orders "
         "GROUP BY year(o_orderdate), month(o_orderdate)"
     ),
     "sql_outer_limit": _same(
