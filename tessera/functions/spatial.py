@@ -152,10 +152,6 @@ def st_distance_sphere(first: pa.Array, second: pa.Array) -> pa.Array:
 
 # -- exact test against one literal shape ---------------------------------------------
 
-# Up to this many edges the test is unrolled into one generated expression.
-_UNROLL = 32
-
-
 class Shape:
     """A literal geometry: its envelope for pruning, and its exact test."""
 
@@ -168,35 +164,16 @@ class Shape:
         self.box = BoundingBox.envelope(*corners)
 
     def touches_point(self, x: Column, y: Column) -> Column:
-        """Whether a point lies in or on the shape."""
-        shells = [geo.ring_edges(polygon) for polygon in geo.polygons(self.geometry)]
-        lines = geo.line_edges(self.geometry)
-        single = geo.points(self.geometry)
-        if sum(map(len, shells)) + len(lines) + len(single) > _UNROLL:
-            return self._touches_point_arrow(x, y)
-        hit = F.lit(False)
-        for edges in shells:
-            crossings, touching = F.lit(0), F.lit(False)
-            for ax, ay, bx, by in edges.tolist():
-                side = _side(x, y, ax, ay, bx, by)
-                straddles = (F.lit(ay) > y) != (F.lit(by) > y)
-                west = side > 0 if by > ay else side <= 0
-                crossings = crossings + F.when(straddles & west, 1).otherwise(0)
-                touching = touching | _on_edge(x, y, ax, ay, bx, by)
-            hit = hit | touching | (crossings % 2 == 1)
-        for ax, ay, bx, by in lines.tolist():
-            hit = hit | _on_edge(x, y, ax, ay, bx, by)
-        for px, py in single.tolist():
-            hit = hit | ((x == F.lit(px)) & (y == F.lit(py)))
-        return hit
-
-    def _touches_point_arrow(self, x: Column, y: Column) -> Column:
+        """Whether a point lies in or on the shape, tested per Arrow batch.
+
+        Unrolling the edges into one SQL expression is slower already for ten of them.
+        """
         wanted = self.geometry
 
         @F.arrow_udf(T.BooleanType())
         def touches(px: pa.Array, py: pa.Array) -> pa.Array:
-            xy = np.column_stack([np.asarray(c.fill_null(np.nan)) for c in (px, py)])
-            return pa.array(geo._touches_points(xy, wanted))
+            xy = np.column_stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in (px, py)])
+            return pa.array(geo.touches_points(xy, wanted))
 
         return touches(x, y)
 
@@ -207,7 +184,7 @@ class Shape:
         @F.arrow_udf(T.BooleanType())
         def test(values: pa.Array) -> pa.Array:
             x, y = point_coordinates(values)
-            hit = geo._touches_points(np.column_stack([x, y]), wanted)
+            hit = geo.touches_points(np.column_stack([x, y]), wanted)
             valid = np.asarray(values.is_valid())
             for i in np.flatnonzero(valid & np.isnan(x)):
                 hit[i] = geo.intersects(geo.from_wkb(values[int(i)].as_py()), wanted)
@@ -216,18 +193,6 @@ class Shape:
         return test(wkb)
 
 
-def _side(x: Column, y: Column, ax: float, ay: float, bx: float, by: float) -> Column:
-    return F.lit(bx - ax) * (y - F.lit(ay)) - F.lit(by - ay) * (x - F.lit(ax))
-
-
-def _on_edge(x: Column, y: Column, ax: float, ay: float, bx: float, by: float) -> Column:
-    return (
-        (_side(x, y, ax, ay, bx, by) == F.lit(0.0))
-        & x.between(F.lit(min(ax, bx)), F.lit(max(ax, bx)))
-        & y.between(F.lit(min(ay, by)), F.lit(max(ay, by)))
-    )
-
-
 # -- names for SQL --------------------------------------------------------------------
 
 

@@ -156,13 +156,18 @@ def _shuffled_join(
     first merged where they are equal (one place can hold any number of them), then
     spread by a hash of their content, which a re-run task reproduces.
     """
+    # The tile table may compress to less than Spark's own broadcast threshold.
+    tiles = tiles.hint("merge")
     per_tile = stage(keyed.groupBy("tile").agg(F.sum("weight").alias("held")), "points-per-tile")
-    total = measured(per_tile, held=F.coalesce(F.sum("held"), F.lit(0)))["held"]
-    threshold = max(hot_tile_points, total // MAX_HOT_TILES)
-    hot = per_tile.where(F.col("held") > threshold).select(
-        "tile", F.ceil(F.col("held") / F.lit(threshold)).cast("int").alias("parts")
+    facts = measured(per_tile, held=F.coalesce(F.sum("held"), F.lit(0)), largest=F.max("held"))
+    threshold = max(hot_tile_points, facts["held"] // MAX_HOT_TILES)
+    if (facts["largest"] or 0) <= threshold:
+        return keyed.join(tiles, "tile")
+    hot = F.broadcast(
+        per_tile.where(F.col("held") > threshold).select(
+            "tile", F.ceil(F.col("held") / F.lit(threshold)).cast("int").alias("parts")
+        )
     )
-    hot = F.broadcast(hot)
     cold = keyed.join(hot, "tile", "left_anti").join(tiles, "tile")
     merged = (
         keyed.join(hot, "tile", "left_semi")
@@ -176,7 +181,7 @@ def _shuffled_join(
     copies = tiles.join(hot, "tile").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
-    heated = spread.drop("parts").join(copies.drop("parts"), ["tile", "part"]).drop("part")
+    heated = spread.drop("parts").join(copies.drop("parts").hint("merge"), ["tile", "part"]).drop("part")
     return cold.unionByName(heated)
 
 

@@ -68,16 +68,13 @@ def spatial_filter(
         pruned = pruned.where(condition)
     if exact is not None:
         pruned = pruned.where(exact)
-    if limit is not None:
-        # Cut before the geometry is rendered, so that only the kept rows are.
-        pruned = (
-            top(pruned, limit, *(F.col(c).asc_nulls_last() for c in order_by))
-            if order_by
-            else pruned.limit(_positive(limit))
-        )
+    if limit is not None and order_by:
+        pruned = top(pruned, limit, *(F.col(c).asc_nulls_last() for c in order_by))
     use_geometry = geometry is not None and (include_geometry or wkt is not None)
     placed = st_asgeojson(F.col(geometry)) if use_geometry else corner_geojson(bbox)
-    return pruned.select(*projection(pruned, columns, default_columns), placed.alias(GEOMETRY))
+    chosen = pruned.select(*projection(pruned, columns, default_columns), placed.alias(GEOMETRY))
+    # As the last step a plain limit stops the scan after the first partitions that fill it.
+    return chosen if limit is None or order_by else chosen.limit(_positive(limit))
 
 
 def bbox_filter(df: DataFrame, box: BoundingBox, **options) -> DataFrame:

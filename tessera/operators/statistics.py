@@ -8,6 +8,8 @@ that hold a wanted rank are sorted, so no task sees more than an ordinary partit
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -85,49 +87,43 @@ def ranked_frequencies(frequencies: DataFrame) -> DataFrame:
 
 
 def quantiles(ranked: DataFrame, fractions: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact interpolated quantiles ``q_25, q_50, ...`` of staged ranked frequencies."""
-    # One row per partition, so the running total over them is a small window.
-    parts = ranked.groupBy("part").agg(F.sum("n").alias("held"))
-    in_order = Window.orderBy("part")
-    starts = parts.select(
-        "part",
-        (F.sum("held").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("start"),
-        "held",
+    """Exact interpolated quantiles ``q_25, q_50, ...`` of staged ranked frequencies.
+
+    The driver looks at one number per partition to see which partitions hold the wanted
+    ranks; only those, at most two per quantile, are read and sorted.
+    """
+    held = {row["part"]: row["held"] for row in ranked.groupBy("part").agg(F.sum("n").alias("held")).collect()}
+    total = sum(held.values())
+    if not total:
+        return ranked.agg(*(F.max(F.col("value").cast("double")).alias(_quantile_name(f)) for f in fractions))
+    starts, running = {}, 0
+    for part in sorted(held):
+        starts[part], running = running, running + held[part]
+    positions = [f * (total - 1) for f in fractions]
+    ranks = sorted({rank for p in positions for rank in (math.floor(p), math.ceil(p))})
+    needed = [part for part, start in starts.items() if any(start <= r < start + held[part] for r in ranks)]
+    start = functools.reduce(
+        lambda case, part: case.when(F.col("part") == part, F.lit(starts[part])), needed, F.when(F.lit(False), F.lit(0))
+    )
+    by_value = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranked.where(F.col("part").isin(needed)).select(
+        F.col("value").cast("double").alias("value"), "n", (start + F.sum("n").over(by_value)).alias("past")
     )
-    total = ranked.agg(F.sum("n").cast("double").alias("total")).scalar()
 
-    def position(fraction: float) -> Column:
-        return F.lit(float(fraction)) * (total - F.lit(1.0))
+    def at(rank: int) -> Column:
+        return F.max(F.when((F.col("past") > rank) & (F.col("past") - F.col("n") <= rank), F.col("value")))
 
-    def holds(rank: Column, start: Column, count: Column) -> Column:
-        return (start <= rank) & (rank < start + count)
+    bounds = placed.agg(*(at(rank).alias(f"r{rank}") for rank in ranks))
+    chosen = []
+    for fraction, position in zip(fractions, positions):
+        low, high = F.col(f"r{math.floor(position)}"), F.col(f"r{math.ceil(position)}")
+        weight = F.lit(float(position - math.floor(position)))
+        chosen.append((low + (high - low) * weight).alias(_quantile_name(fraction)))
+    return bounds.select(*chosen)
 
-    ranks = [rank for f in fractions for rank in (F.floor(position(f)), F.ceil(position(f)))]
-    wanted = F.lit(False)
-    for rank in ranks:
-        wanted = wanted | holds(rank, F.col("start"), F.col("held"))
-    # Each rank lies in one partition, so at most two partitions per quantile are left.
-    needed = starts.where(wanted).select("part", "start")
-    by_value = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.join(F.broadcast(needed), "part").select(
-        F.col("value").cast("double").alias("value"),
-        "n",
-        (F.col("start") + F.sum("n").over(by_value) - F.col("n")).alias("first"),
-    )
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when(holds(rank, F.col("first"), F.col("n")), F.col("value")))
-
-    bounds = placed.agg(*(at(rank).alias(f"r{i}") for i, rank in enumerate(ranks)))
-    return bounds.select(
-        *(
-            (
-                F.col(f"r{2 * i}")
-                + (F.col(f"r{2 * i + 1}") - F.col(f"r{2 * i}")) * (position(f) - F.floor(position(f)))
-            ).alias(f"q_{round(f * 100)}")
-            for i, f in enumerate(fractions)
-        )
-    )
+def _quantile_name(fraction: float) -> str:
+    return f"q_{round(fraction * 100)}"
 
 
 def quartiles(df: DataFrame, column: str) -> DataFrame:

@@ -282,7 +282,7 @@ ORACLES: dict[str, str] = {
     ),
     "scan_report": "SELECT count(*) AS rows_read, count(*) AS rows, cast(1 as bigint) AS files, true AS reads_something FROM lineitem",
     "schema_roles": "SELECT column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' "
-    "WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp' END AS type, CASE column_name WHEN 'o_orderpriority' THEN 'name' "
+    "WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, CASE column_name WHEN 'o_orderpriority' THEN 'name' "
     "WHEN 'o_orderstatus' THEN 'category' END AS role, (SELECT count(*) FROM orders) AS row_count "
     "FROM (DESCRIBE SELECT * FROM orders)",
     **{name: twin for name, (_, twin) in sqlsuite.SQL.items()},
