@@ -149,7 +149,9 @@ def cut(rings: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarra
     return level, keys, counts, all_edges
 
 
-def cut_batches(batches: Iterator[pa.RecordBatch], geometry: str) -> Iterator[pa.RecordBatch]:
+def cut_batches(
+    batches: Iterator[pa.RecordBatch], geometry: str, edges_per_row: int = EDGES_PER_ROW
+) -> Iterator[pa.RecordBatch]:
     """The tiles of every polygon in a stream of batches; other columns are repeated."""
     for batch in batches:
         where = batch.schema.get_field_index(geometry)
@@ -180,9 +182,9 @@ def cut_batches(batches: Iterator[pa.RecordBatch], geometry: str) -> Iterator[pa
             if not rings:
                 continue
             level, keys, counts, edges = cut(rings)
-            chunks = np.maximum(1, -(-counts // EDGES_PER_ROW))
+            chunks = np.maximum(1, -(-counts // edges_per_row))
             first = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            lengths = np.minimum(np.repeat(counts, chunks) - first * EDGES_PER_ROW, EDGES_PER_ROW)
+            lengths = np.minimum(np.repeat(counts, chunks) - first * edges_per_row, edges_per_row)
             out.append((row, level, np.repeat(keys, chunks), np.repeat(chunks, chunks), lengths, edges))
             size += len(lengths) + len(edges)
             if size > _ROWS_PER_BATCH:

@@ -25,7 +25,7 @@ from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import BoundingBox
 from tessera.functions.paths import column_path, projection
 from tessera.functions.spatial import wkb_xy
-from tessera.functions.tiles import TILE_FIELDS, crossings, cut_batches, tile_key
+from tessera.functions.tiles import EDGES_PER_ROW, TILE_FIELDS, crossings, cut_batches, tile_key
 from tessera.operators.aggregate import top, within
 from tessera.plans.staging import broadcast_if, measured, stage
 
@@ -41,14 +41,15 @@ _ON_EDGE = 1 << 32
 
 
 def tile_table(
-    polygons: DataFrame, keep: Sequence[Column] = (), geometry: str = "geometry"
+    polygons: DataFrame,
+    keep: Sequence[Column] = (),
+    geometry: str = "geometry",
+    edges_per_row: int = EDGES_PER_ROW,
 ) -> DataFrame:
     """The tiles of a polygon table: the kept columns, ``polygon_id``, the tile and edges.
 
     One pass over the polygons, no shuffle.
     """
-    # Coalescing to few rows per batch bounds what one Python batch holds is left to
-    # spark.sql.execution.arrow.maxRecordsPerBatch; a polygon is cut on its own.
     source = polygons.select(
         *keep,
         F.monotonically_increasing_id().alias("polygon_id"),
@@ -57,7 +58,7 @@ def tile_table(
     carried = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__geometry"
     )
-    return source.mapInArrow(lambda it: cut_batches(it, "__geometry"), f"{carried}, {TILE_FIELDS}")
+    return source.mapInArrow(lambda it: cut_batches(it, "__geometry", edges_per_row), f"{carried}, {TILE_FIELDS}")
 
 
 def with_coordinates(
