@@ -36,10 +36,11 @@ _LEVEL_SHIFT, _X_SHIFT = 50, 25
 _FAR = 1e6
 
 # Edges are one flat list ax, ay, bx, by, ax, ...: the cheapest nested value to move.
-TILE_FIELDS = "tile bigint, level int, chunks int, edges array<double>"
+TILE_FIELDS = "tile bigint, level int, chunk int, chunks int, edges array<double>"
 _TILE_ARROW = [
     pa.field("tile", pa.int64()),
     pa.field("level", pa.int32()),
+    pa.field("chunk", pa.int32()),
     pa.field("chunks", pa.int32()),
     pa.field("edges", pa.list_(pa.float64())),
 ]
@@ -157,21 +158,20 @@ def cut_batches(
         where = batch.schema.get_field_index(geometry)
         kept = [i for i in range(batch.num_columns) if i != where]
         fields = [batch.schema.field(i) for i in kept] + _TILE_ARROW
-        out: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            source = np.concatenate([np.full(len(k), row) for row, _, k, _, _, _ in out])
-            lengths = np.concatenate([lengths for *_, lengths, _ in out])
-            edges = np.concatenate([e for *_, e in out])
-            rows = pa.array(source, pa.int64())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(4 * lengths)]).astype("i4"))
-            columns = [batch.column(i).take(rows) for i in kept]
+            row, level, tile, chunk, chunks, lengths, edges = zip(*out)
+            held = [len(t) for t in tile]
+            offsets = np.concatenate([[0], 4 * np.cumsum(np.concatenate(lengths))])
+            columns = [batch.column(i).take(pa.array(np.repeat(row, held))) for i in kept]
             columns += [
-                pa.array(np.concatenate([k for _, _, k, _, _, _ in out])),
-                pa.array(np.concatenate([np.full(len(k), lv) for _, lv, k, _, _, _ in out]), pa.int32()),
-                pa.array(np.concatenate([c for _, _, _, c, _, _ in out]), pa.int32()),
-                pa.ListArray.from_arrays(offsets, pa.array(edges.ravel())),
+                pa.array(np.concatenate(tile)),
+                pa.array(np.repeat(level, held), pa.int32()),
+                pa.array(np.concatenate(chunk), pa.int32()),
+                pa.array(np.concatenate(chunks), pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(edges).ravel())),
             ]
             return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
@@ -185,7 +185,7 @@ def cut_batches(
             chunks = np.maximum(1, -(-counts // edges_per_row))
             first = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
             lengths = np.minimum(np.repeat(counts, chunks) - first * edges_per_row, edges_per_row)
-            out.append((row, level, np.repeat(keys, chunks), np.repeat(chunks, chunks), lengths, edges))
+            out.append((row, level, np.repeat(keys, chunks), first, np.repeat(chunks, chunks), lengths, edges))
             size += len(lengths) + len(edges)
             if size > _ROWS_PER_BATCH:
                 yield flush()
@@ -194,6 +194,53 @@ def cut_batches(
             yield flush()
 
 
+def tile_of(xy: np.ndarray, level: int) -> np.ndarray:
+    """`tile_key` for an array of points."""
+    return (level << _LEVEL_SHIFT) + (_cells(xy[:, 0], 180.0, level) << _X_SHIFT) + _cells(xy[:, 1], 90.0, level)
+
+
+def covered_tiles(low: Column, high: Column) -> Column:
+    """Every tile of the rectangle whose south-west and north-east tiles are given."""
+    mask = F.lit((1 << _X_SHIFT) - 1).cast("bigint")
+
+    def column(tile: Column) -> Column:
+        return F.shiftright(tile, _X_SHIFT)
+
+    def row(tile: Column) -> Column:
+        return tile.bitwiseAND(mask)
+
+    # The level stays in the high bits of a column's number.
+    return F.flatten(
+        F.transform(
+            F.sequence(column(low), column(high)),
+            lambda c: F.transform(F.sequence(row(low), row(high)), lambda r: F.shiftleft(c, _X_SHIFT) + r),
+        )
+    )
+
+
+def contained_in_tiles(inner: geo.Geometry, level: int, tiles: list[int], edges: list[list[float]]) -> bool:
+    """`geometry.contains` for a polygon known by the tiles around `inner`."""
+    own: dict[int, np.ndarray] = {}
+    for tile, flat in zip(tiles, edges):
+        part = np.asarray(flat, "f8").reshape(-1, 4)
+        own[tile] = np.concatenate([own[tile], part]) if tile in own else part
+
+    def place(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odd, on = np.zeros(len(xy), bool), np.zeros(len(xy), bool)
+        keys = tile_of(xy, level)
+        for key in set(keys.tolist()) & own.keys():
+            at = keys == key
+            if len(own[key]):
+                odd[at], on[at] = geo.locate(xy[at, 0], xy[at, 1], own[key])
+            else:
+                odd[at] = True
+        return odd, on
+
+    near = np.concatenate([np.empty((0, 4)), *own.values()])
+    near = np.unique(near[near[:, 0] < _FAR], axis=0)
+    return geo.contained_in(inner, near, place)
+
+
 def crossings(x: np.ndarray, y: np.ndarray, edges: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(crossings of an eastward ray, edges the point is on) per row of a batch.
 

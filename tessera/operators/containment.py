@@ -22,10 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import InvalidRequestError
+from tessera.functions import geometry as geo
 from tessera.functions.boxes import BoundingBox
 from tessera.functions.paths import column_path, projection
 from tessera.functions.spatial import wkb_xy
-from tessera.functions.tiles import EDGES_PER_ROW, TILE_FIELDS, crossings, cut_batches, tile_key
+from tessera.functions.tiles import (
+    EDGES_PER_ROW,
+    TILE_FIELDS,
+    contained_in_tiles,
+    covered_tiles,
+    crossings,
+    cut_batches,
+    tile_key,
+)
 from tessera.operators.aggregate import top, within
 from tessera.plans.staging import broadcast_if, measured, stage
 
@@ -89,6 +98,39 @@ def _crossings(x: pa.Array, y: pa.Array, edges: pa.Array) -> pa.Array:
     return pa.array(crossed + touched * _ON_EDGE)
 
 
+def _candidates(
+    base: DataFrame,
+    tiles: DataFrame,
+    facts: dict,
+    extra_per_level,
+    broadcast_bytes: int,
+    hot_tile_points: int,
+) -> DataFrame:
+    """Every point with the rows of its tile, at each level the polygons use."""
+    x, y = F.col("__x"), F.col("__y")
+    per_level = [
+        F.struct(tile_key(x, y, level).alias("tile"), *extra_per_level(level)) for level in facts["levels"]
+    ]
+    if not per_level:
+        per_level = [F.struct(F.lit(None).cast("bigint").alias("tile"), *extra_per_level(0))]
+    keyed = base.withColumn("__at", F.explode(F.array(*per_level))).select("*", "__at.*").drop("__at")
+    if facts["size"] <= broadcast_bytes:
+        return keyed.join(broadcast_if(tiles, facts["size"], broadcast_bytes), "tile")
+    columns = [c for c in keyed.columns if c not in ("tile", "weight")]
+    return _shuffled_join(keyed, tiles, columns, hot_tile_points)
+
+
+def _tile_facts(tiles: DataFrame) -> dict:
+    facts = measured(
+        tiles,
+        rows=F.count(F.lit(1)),
+        edges=F.coalesce(F.sum(F.size("edges")) / 4, F.lit(0)),
+        chunks=F.coalesce(F.max("chunks"), F.lit(1)),
+        levels=F.sort_array(F.collect_set("level")),
+    )
+    return facts | {"size": 160 * facts["rows"] + 40 * facts["edges"]}
+
+
 def contained_pairs(
     points: DataFrame,
     tiles: DataFrame,
@@ -103,29 +145,13 @@ def contained_pairs(
     table. Equal points may come back as one row with their number as ``weight``. Points
     on a polygon's boundary are not inside it.
     """
-    facts = measured(
-        tiles,
-        rows=F.count(F.lit(1)),
-        edges=F.coalesce(F.sum(F.size("edges")) / 4, F.lit(0)),
-        chunks=F.coalesce(F.max("chunks"), F.lit(1)),
-        levels=F.sort_array(F.collect_set("level")),
-    )
-    size = 160 * facts["rows"] + 40 * facts["edges"]
+    facts = _tile_facts(tiles)
     split = facts["chunks"] > 1
     # With a tile spread over several rows, crossings are added up per point, so equal
     # points must be one row with a weight.
     base = points.select(*point_columns, "__x", "__y")
     base = _weighted(base, point_columns) if split else base.withColumn("weight", F.lit(1).cast("bigint"))
-    keyed = base.withColumn(
-        "tile",
-        F.explode(F.array(*(tile_key(F.col("__x"), F.col("__y"), level) for level in facts["levels"])))
-        if facts["levels"]
-        else F.lit(None).cast("bigint"),
-    )
-    if size <= broadcast_bytes:
-        joined = keyed.join(broadcast_if(tiles, size, broadcast_bytes), "tile")
-    else:
-        joined = _shuffled_join(keyed, tiles, point_columns, hot_tile_points)
+    joined = _candidates(base, tiles, facts, lambda level: [], broadcast_bytes, hot_tile_points)
     x, y = F.col("__x"), F.col("__y")
     kept = [*point_columns, *polygon_columns]
     whole = joined.where(F.col("chunks") == 1) if split else joined
@@ -143,46 +169,145 @@ def contained_pairs(
     return whole.unionByName(spread.select(*kept, "weight"))
 
 
+@F.arrow_udf(
+    T.StructType(
+        [T.StructField(n, T.DoubleType()) for n in ("x", "y", "xmin", "ymin", "xmax", "ymax")]
+    )
+)
+def _outline(wkb: pa.Array) -> pa.Array:
+    """First vertex and envelope of any geometry; NULL for an empty one."""
+    rows = []
+    for value in wkb.to_pylist():
+        xy = geo.vertices(geo.from_wkb(value)) if value is not None else ()
+        if not len(xy):
+            rows.append(None)
+            continue
+        (x0, y0), (x1, y1) = xy.min(axis=0), xy.max(axis=0)
+        rows.append({"x": xy[0, 0], "y": xy[0, 1], "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1})
+    return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("x", "y", "xmin", "ymin", "xmax", "ymax")]))
+
+
+@F.arrow_udf(T.BooleanType())
+def _in_or_on(x: pa.Array, y: pa.Array, edges: pa.Array) -> pa.Array:
+    crossed, touched = crossings(np.asarray(x), np.asarray(y), edges)
+    whole = np.diff(np.asarray(edges.offsets)) == 0
+    return pa.array(whole | (crossed % 2 == 1) | (touched > 0))
+
+
+@F.arrow_udf(T.BooleanType())
+def _contained_locally(wkb: pa.Array, level: pa.Array, around: pa.Array) -> pa.Array:
+    return pa.array(
+        [
+            contained_in_tiles(geo.from_wkb(w), lv, [t["tile"] for t in near], [t["edges"] for t in near])
+            for w, lv, near in zip(wkb.to_pylist(), level.to_pylist(), around.to_pylist())
+        ],
+        pa.bool_(),
+    )
+
+
+def areas_in_polygons(
+    areas: DataFrame,
+    tiles: DataFrame,
+    polygon_columns: Sequence[str] = (),
+    geometry: str = "geometry",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_tile_points: int = HOT_TILE_POINTS,
+) -> DataFrame:
+    """``polygon_columns, weight`` for every polygon and geometry of any kind inside it.
+
+    A geometry is looked up by its first vertex. One whose rectangle stays in a tile that
+    is wholly inside the polygon is contained without a test. For the others, whose
+    rectangle must lie in the polygon's (``__env`` of the staged tiles), the tiles under
+    their rectangle are fetched and the geometry is tested against those edges alone; the
+    number of such tiles is bounded by the polygon's own.
+    """
+    facts = _tile_facts(tiles)
+    outlined = areas.select(F.col(geometry).alias("__wkb"), _outline(F.col(geometry)).alias("__o"))
+    base = outlined.where(F.col("__o.x").isNotNull()).select(
+        "__wkb", "__o", F.col("__o.x").alias("__x"), F.col("__o.y").alias("__y"), F.lit(1).cast("bigint").alias("weight")
+    )
+
+    def corners(level: int) -> list[Column]:
+        return [
+            tile_key(F.col("__o.xmin"), F.col("__o.ymin"), level).alias("__low"),
+            tile_key(F.col("__o.xmax"), F.col("__o.ymax"), level).alias("__high"),
+        ]
+
+    found = _candidates(base, tiles, facts, corners, broadcast_bytes, hot_tile_points)
+    found = found.where(F.col("chunk") == 0)
+    plain = F.size("edges") == 0
+    one_tile = (F.col("__low") == F.col("tile")) & (F.col("__high") == F.col("tile"))
+    sure = found.where(plain & one_tile).select(*polygon_columns, "weight")
+    fits = (
+        (F.col("__env.xmin") <= F.col("__o.xmin"))
+        & (F.col("__env.ymin") <= F.col("__o.ymin"))
+        & (F.col("__env.xmax") >= F.col("__o.xmax"))
+        & (F.col("__env.ymax") >= F.col("__o.ymax"))
+    )
+    near = found.where(~(plain & one_tile) & fits)
+    near = near.where((F.col("chunks") > 1) | _in_or_on(F.col("__x"), F.col("__y"), F.col("edges")))
+    # Staged, so that the row number given here is the same wherever the rows are used.
+    open_cases = stage(
+        near.select(
+            "__wkb", "polygon_id", "level", "__low", "__high", "weight", *polygon_columns,
+            F.monotonically_increasing_id().alias("__case"),
+        ),
+        "open-cases",
+    )
+    under = open_cases.select(
+        "__case", "weight", "polygon_id", F.explode(covered_tiles(F.col("__low"), F.col("__high"))).alias("tile")
+    )
+    nearby = tiles.select("polygon_id", "tile", "edges")
+    keys = ["polygon_id", "tile"]
+    if facts["size"] <= broadcast_bytes:
+        fetched = under.join(broadcast_if(nearby, facts["size"], broadcast_bytes), keys)
+    else:
+        fetched = _shuffled_join(under, nearby, ["__case"], hot_tile_points, keys)
+    around = fetched.groupBy("__case").agg(F.collect_list(F.struct("tile", "edges")).alias("around"))
+    tested = open_cases.join(around, "__case").where(
+        _contained_locally(F.col("__wkb"), F.col("level"), F.col("around"))
+    )
+    return sure.unionByName(tested.select(*polygon_columns, "weight"))
+
+
 def _weighted(points: DataFrame, point_columns: Sequence[str]) -> DataFrame:
     return points.groupBy(*point_columns, "__x", "__y").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def _shuffled_join(
-    keyed: DataFrame, tiles: DataFrame, point_columns: Sequence[str], hot_tile_points: int
+    keyed: DataFrame,
+    tiles: DataFrame,
+    columns: Sequence[str],
+    hot_tile_points: int,
+    keys: Sequence[str] = ("tile",),
 ) -> DataFrame:
     """Both sides by tile, with the tiles that hold very many points split.
 
     The threshold is never below a fixed share of all points, so there are at most
     `MAX_HOT_TILES` hot tiles and their list may be broadcast. Points of a hot tile are
     first merged where they are equal (one place can hold any number of them), then
-    spread by a hash of their content, which a re-run task reproduces.
+    spread by a hash of their `columns`, which a re-run task reproduces.
     """
+    keys = list(keys)
     # The tile table may compress to less than Spark's own broadcast threshold.
     tiles = tiles.hint("merge")
-    per_tile = stage(keyed.groupBy("tile").agg(F.sum("weight").alias("held")), "points-per-tile")
+    per_tile = stage(keyed.groupBy(*keys).agg(F.sum("weight").alias("held")), "points-per-tile")
     facts = measured(per_tile, held=F.coalesce(F.sum("held"), F.lit(0)), largest=F.max("held"))
     threshold = max(hot_tile_points, facts["held"] // MAX_HOT_TILES)
     if (facts["largest"] or 0) <= threshold:
-        return keyed.join(tiles, "tile")
+        return keyed.join(tiles, keys)
     hot = F.broadcast(
         per_tile.where(F.col("held") > threshold).select(
-            "tile", F.ceil(F.col("held") / F.lit(threshold)).cast("int").alias("parts")
+            *keys, F.ceil(F.col("held") / F.lit(threshold)).cast("int").alias("parts")
         )
     )
-    cold = keyed.join(hot, "tile", "left_anti").join(tiles, "tile")
-    merged = (
-        keyed.join(hot, "tile", "left_semi")
-        .groupBy("tile", *point_columns, "__x", "__y")
-        .agg(F.sum("weight").alias("weight"))
+    cold = keyed.join(hot, keys, "left_anti").join(tiles, keys)
+    merged = keyed.join(hot, keys, "left_semi").groupBy(*keys, *columns).agg(F.sum("weight").alias("weight"))
+    spread = merged.join(hot, keys).withColumn(
+        "part", F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
     )
-    spread = merged.join(hot, "tile").withColumn(
-        "part",
-        F.pmod(F.xxhash64(*point_columns, "__x", "__y"), F.col("parts").cast("bigint")).cast("int"),
-    )
-    copies = tiles.join(hot, "tile").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
-    heated = spread.drop("parts").join(copies.drop("parts").hint("merge"), ["tile", "part"]).drop("part")
+    copies = tiles.join(hot, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    heated = spread.drop("parts").join(copies.drop("parts").hint("merge"), [*keys, "part"]).drop("part")
     return cold.unionByName(heated)
 
 
@@ -230,12 +355,14 @@ def count_in_polygons(
     polygon_geometry: str = "geometry",
     point_bbox: str = "bbox",
     polygon_bbox: str = "bbox",
+    areal: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_tile_points: int = HOT_TILE_POINTS,
 ) -> DataFrame:
     """``(polygon_name, polygon_subtype, feature_count)``: points inside each polygon.
 
-    The rectangle prunes both scans. Polygons of one name and subtype are counted
+    With `areal` the counted features are lines or areas and must lie wholly inside. The
+    rectangle prunes both scans. Polygons of one name and subtype are counted
     together, polygons without a point are absent.
     """
     areas = within(polygons, box, polygon_bbox)
@@ -249,14 +376,17 @@ def count_in_polygons(
             "polygon_subtype"
         ),
     ]
+    names = ["polygon_name", "polygon_subtype"]
+    if areal:
+        keep.append(_outline(F.col(polygon_geometry)).alias("__env"))
     tiles = stage(tile_table(areas, keep, polygon_geometry), "tiles")
-    inside = contained_pairs(
-        with_coordinates(within(points, box, point_bbox), point_bbox, point_geometry),
-        tiles,
-        polygon_columns=["polygon_name", "polygon_subtype"],
-        broadcast_bytes=broadcast_bytes,
-        hot_tile_points=hot_tile_points,
-    )
+    limits = {"broadcast_bytes": broadcast_bytes, "hot_tile_points": hot_tile_points}
+    chosen = within(points, box, point_bbox)
+    if areal:
+        inside = areas_in_polygons(chosen, tiles, names, point_geometry, **limits)
+    else:
+        located = with_coordinates(chosen, point_bbox, point_geometry)
+        inside = contained_pairs(located, tiles, polygon_columns=names, **limits)
     counts = inside.groupBy("polygon_name", "polygon_subtype").agg(F.sum("weight").alias("feature_count"))
     return top(
         counts,

@@ -279,6 +279,40 @@ def test_counts_equal_brute_force(spark, mosaic, options, edges_per_row):
     assert {(r["polygon_name"], r["polygon_subtype"]): r["n"] for r in rows} == wanted
 
 
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_tile_points": 5}],
+    ids=["broadcast", "shuffled", "hot tiles"],
+)
+@pytest.mark.parametrize("edges_per_row", [2048, 3], ids=["whole tiles", "spread tiles"])
+def test_areas_in_polygons_equal_brute_force(spark, mosaic, options, edges_per_row):
+    named, _, _ = mosaic
+    rng = np.random.default_rng(21)
+    inner = [star(rng, rng.uniform(-120, 120), rng.uniform(-45, 45), float(rng.choice([0.01, 0.5, 3])), 6) for _ in range(400)]
+    for _, _, rings in named[:20]:
+        centre = rings[0].mean(axis=0)
+        inner.append(star(rng, *(centre + 0.5 * (rings[0][1] - centre)), 0.004, 5))
+        inner.append(rings[0])
+    inner = [("Polygon", [ring]) for ring in inner]
+    wanted = {}
+    for name, subtype, rings in named:
+        n = sum(geo.contains(("Polygon", rings), g) for g in inner)
+        if n:
+            wanted[name, subtype] = wanted.get((name, subtype), 0) + n
+    polygons = spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA)
+    areas = spark.createDataFrame([(bytearray(geo.to_wkb(g)),) for g in inner], "geometry binary")
+    keep = [
+        F.col("names.primary").alias("polygon_name"),
+        F.col("subtype").alias("polygon_subtype"),
+        containment._outline(F.col("geometry")).alias("__env"),
+    ]
+    staged = containment.stage(containment.tile_table(polygons, keep, edges_per_row=edges_per_row), "test-areas")
+    found = containment.areas_in_polygons(areas, staged, ["polygon_name", "polygon_subtype"], **options)
+    rows = found.groupBy("polygon_name", "polygon_subtype").agg(F.sum("weight").alias("n")).collect()
+    assert {(r["polygon_name"], r["polygon_subtype"]): r["n"] for r in rows} == wanted
+    assert sum(wanted.values()) > 30
+
+
 def test_containment_never_compares_all_pairs(spark, mosaic):
     named, xy, _ = mosaic
     polygons = spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA)

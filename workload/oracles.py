@@ -134,6 +134,28 @@ def _polygons_meeting(areas: str, text: str) -> str:
     )
 
 
+def _areas_inside(inner: str, outer: str) -> str:
+    """Polygons strictly inside others, for shapes that never touch: every corner is
+    inside and no sides cross."""
+    p, q, u, v = ("z.x1", "z.y1"), ("z.x2", "z.y2"), ("e.x1", "e.y1"), ("e.x2", "e.y2")
+
+    def side(a, b, c):
+        return f"sign(({b[0]} - {a[0]}) * ({c[1]} - {a[1]}) - ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
+
+    crossing = f"{side(p, q, u)} * {side(p, q, v)} < 0 AND {side(u, v, p)} * {side(u, v, q)} < 0"
+    corner = "(e.y1 > z.y1) <> (e.y2 > z.y1) AND ({} > 0) = (e.y2 > e.y1)".format(
+        "((e.x2 - e.x1) * (z.y1 - e.y1) - (e.y2 - e.y1) * (z.x1 - e.x1))"
+    )
+    return (
+        f"WITH z AS ({edge_sql(inner)}), e AS ({edge_sql(outer)}), "
+        "c AS (SELECT z.polygon_name AS plot, e.polygon_name, e.polygon_subtype, z.x1, z.y1, "
+        f"sum(CASE WHEN {corner} THEN 1 ELSE 0 END) % 2 AS inside, bool_or({crossing}) AS crossed FROM z JOIN e "
+        "ON z.xmin >= e.xmin AND z.xmax <= e.xmax AND z.ymin >= e.ymin AND z.ymax <= e.ymax GROUP BY ALL), "
+        "w AS (SELECT plot, polygon_name, polygon_subtype FROM c GROUP BY ALL HAVING min(inside) = 1 AND NOT bool_or(crossed)) "
+        "SELECT polygon_name, polygon_subtype, count(*) AS feature_count FROM w GROUP BY ALL"
+    )
+
+
 # -- cells ----------------------------------------------------------------------------
 
 _X = 134217728  # 2^27
@@ -272,6 +294,7 @@ ORACLES: dict[str, str] = {
     "pip_counts_shuffled": _counts(_from("visits"), "zones"),
     "pip_counts_hot_tiles": _counts(_from("parcels"), "zones"),
     "pip_pairs": f"SELECT *, cast(1 as bigint) AS weight FROM ({_inside(_from('visits'), 'zones', 'id, polygon_name')})",
+    "pip_areas": _areas_inside("plots", "areas"),
     "footer_footprint": " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS row_count, cast(1 as bigint) AS files FROM {name}"
         for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -110,6 +110,15 @@ POLYGONS = {
         "cast(-80 + (s_suppkey * 53) % 150 as int)",
         [(0, 3), (4, 0), (9, 2), (7, 5), (10, 9), (3, 8)],
     ),
+    # Shifted off whole degrees, so that no side or corner touches a side of an area.
+    "plots": (
+        "supplier",
+        "s_name",
+        "s_nationkey",
+        "cast(cast(-170 + (s_suppkey * 37) % 330 as int) + 0.37 as decimal(9, 2))",
+        "cast(cast(-80 + (s_suppkey * 53) % 150 as int) + 0.21 as decimal(9, 2))",
+        [(0, 0), (4, 1), (6, 5), (1, 4)],
+    ),
 }
 
 
