@@ -27,6 +27,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as geo
+from tessera.functions.boxes import BoundingBox
 
 MAX_LEVEL = 12
 # Edges per row of the tile table; a tile with more is spread over several rows.
@@ -150,8 +151,21 @@ def cut(rings: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarra
     return level, keys, counts, all_edges
 
 
+def _near(keys: np.ndarray, level: int, box: BoundingBox) -> np.ndarray:
+    """Tiles at most one cell away from a rectangle: the slack covers points whose stored
+    rectangle was rounded."""
+    mask = (1 << _X_SHIFT) - 1
+    column, row = (keys >> _X_SHIFT) & mask, keys & mask
+    x = _cells(np.array([box.min_lon, box.max_lon]), 180.0, level)
+    y = _cells(np.array([box.min_lat, box.max_lat]), 90.0, level)
+    return (column >= x[0] - 1) & (column <= x[1] + 1) & (row >= y[0] - 1) & (row <= y[1] + 1)
+
+
 def cut_batches(
-    batches: Iterator[pa.RecordBatch], geometry: str, edges_per_row: int = EDGES_PER_ROW
+    batches: Iterator[pa.RecordBatch],
+    geometry: str,
+    edges_per_row: int = EDGES_PER_ROW,
+    box: BoundingBox | None = None,
 ) -> Iterator[pa.RecordBatch]:
     """The tiles of every polygon in a stream of batches; other columns are repeated."""
     for batch in batches:
@@ -182,6 +196,12 @@ def cut_batches(
             if not rings:
                 continue
             level, keys, counts, edges = cut(rings)
+            if box is not None:
+                near = _near(keys, level, box)
+                edges = edges[np.repeat(near, counts)]
+                keys, counts = keys[near], counts[near]
+            if not len(keys):
+                continue
             chunks = np.maximum(1, -(-counts // edges_per_row))
             first = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
             lengths = np.minimum(np.repeat(counts, chunks) - first * edges_per_row, edges_per_row)

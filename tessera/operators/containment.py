@@ -45,19 +45,18 @@ HOT_TILE_POINTS = 4_000_000
 # ... and the most tiles that may be treated as hot: the list of them is broadcast.
 MAX_HOT_TILES = 10_000
 
-# Marks a point on an edge when crossings are added up over several rows.
-_ON_EDGE = 1 << 32
-
 
 def tile_table(
     polygons: DataFrame,
     keep: Sequence[Column] = (),
     geometry: str = "geometry",
     edges_per_row: int = EDGES_PER_ROW,
+    box: BoundingBox | None = None,
 ) -> DataFrame:
     """The tiles of a polygon table: the kept columns, ``polygon_id``, the tile and edges.
 
-    One pass over the polygons, no shuffle.
+    One pass over the polygons, no shuffle. With a `box`, only tiles at or near it: a
+    country's polygon costs a city-sized question a few tiles.
     """
     source = polygons.select(
         *keep,
@@ -67,7 +66,7 @@ def tile_table(
     carried = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__geometry"
     )
-    return source.mapInArrow(lambda it: cut_batches(it, "__geometry", edges_per_row), f"{carried}, {TILE_FIELDS}")
+    return source.mapInArrow(lambda it: cut_batches(it, "__geometry", edges_per_row, box), f"{carried}, {TILE_FIELDS}")
 
 
 def with_coordinates(
@@ -91,11 +90,11 @@ def _inside_tile(x: pa.Array, y: pa.Array, edges: pa.Array) -> pa.Array:
     return pa.array(whole | ((crossed % 2 == 1) & (touched == 0)))
 
 
-@F.arrow_udf(T.LongType())
+@F.arrow_udf(T.StructType([T.StructField("crossed", T.LongType()), T.StructField("touched", T.LongType())]))
 def _crossings(x: pa.Array, y: pa.Array, edges: pa.Array) -> pa.Array:
-    """A summand per row of a tile that is spread over several rows."""
+    """What one row contributes for a tile that is spread over several rows."""
     crossed, touched = crossings(np.asarray(x), np.asarray(y), edges)
-    return pa.array(crossed + touched * _ON_EDGE)
+    return pa.StructArray.from_arrays([pa.array(crossed), pa.array(touched)], ["crossed", "touched"])
 
 
 def _candidates(
@@ -147,10 +146,7 @@ def contained_pairs(
     """
     facts = _tile_facts(tiles)
     split = facts["chunks"] > 1
-    # With a tile spread over several rows, crossings are added up per point, so equal
-    # points must be one row with a weight.
-    base = points.select(*point_columns, "__x", "__y")
-    base = _weighted(base, point_columns) if split else base.withColumn("weight", F.lit(1).cast("bigint"))
+    base = points.select(*point_columns, "__x", "__y", F.lit(1).cast("bigint").alias("weight"))
     joined = _candidates(base, tiles, facts, lambda level: [], broadcast_bytes, hot_tile_points)
     x, y = F.col("__x"), F.col("__y")
     kept = [*point_columns, *polygon_columns]
@@ -158,13 +154,19 @@ def contained_pairs(
     whole = whole.where(_inside_tile(x, y, F.col("edges"))).select(*kept, "weight")
     if not split:
         return whole
-    total = F.col("__crossings")
+    # A tile over several rows: every point meets each of them, so crossings are added up
+    # per place. Equal points (m of them) meet each row m times.
+    c, w = F.col("__c"), F.col("weight")
     spread = (
         joined.where(F.col("chunks") > 1)
-        .withColumn("__crossings", _crossings(x, y, F.col("edges")))
+        .withColumn("__c", _crossings(x, y, F.col("edges")))
         .groupBy("__x", "__y", "polygon_id", *kept)
-        .agg(F.sum("__crossings").alias("__crossings"), F.max("weight").alias("weight"))
-        .where((total < F.lit(_ON_EDGE)) & (total % 2 == 1))
+        .agg(
+            F.sum(c.getField("crossed") * w).alias("__crossed"),
+            F.max(c.getField("touched")).alias("__touched"),
+            (F.sum(w) / F.first("chunks")).cast("bigint").alias("weight"),
+        )
+        .where((F.col("__touched") == 0) & (F.col("__crossed") / F.col("weight") % 2 == 1))
     )
     return whole.unionByName(spread.select(*kept, "weight"))
 
@@ -270,10 +272,6 @@ def areas_in_polygons(
     return sure.unionByName(tested.select(*polygon_columns, "weight"))
 
 
-def _weighted(points: DataFrame, point_columns: Sequence[str]) -> DataFrame:
-    return points.groupBy(*point_columns, "__x", "__y").agg(F.count(F.lit(1)).alias("weight"))
-
-
 def _shuffled_join(
     keyed: DataFrame,
     tiles: DataFrame,
@@ -331,7 +329,7 @@ def points_in_polygons(
     for) may be returned once with their number in ``weight``.
     """
     keep = projection(polygons, None, tuple(polygon_columns))
-    tiles = stage(tile_table(within(polygons, box, polygon_bbox), keep, polygon_geometry), "tiles")
+    tiles = stage(tile_table(within(polygons, box, polygon_bbox), keep, polygon_geometry, box=box), "tiles")
     return contained_pairs(
         with_coordinates(within(points, box, point_bbox), point_bbox, point_geometry),
         tiles,
@@ -379,7 +377,7 @@ def count_in_polygons(
     names = ["polygon_name", "polygon_subtype"]
     if areal:
         keep.append(_outline(F.col(polygon_geometry)).alias("__env"))
-    tiles = stage(tile_table(areas, keep, polygon_geometry), "tiles")
+    tiles = stage(tile_table(areas, keep, polygon_geometry, box=None if areal else box), "tiles")
     limits = {"broadcast_bytes": broadcast_bytes, "hot_tile_points": hot_tile_points}
     chosen = within(points, box, point_bbox)
     if areal:

@@ -323,6 +323,40 @@ def test_containment_never_compares_all_pairs(spark, mosaic):
         assert ("SortMergeJoin" in plan) == bool(options)
 
 
+def test_a_rectangle_drops_far_tiles_only(spark, mosaic):
+    named, xy, _ = mosaic
+    polygons = spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA)
+    box = BoundingBox(-20.0, -15.0, 25.0, 30.0)
+    inside = (xy[:, 0] >= -20) & (xy[:, 0] <= 25) & (xy[:, 1] >= -15) & (xy[:, 1] <= 30)
+    wanted = {}
+    for name, _, rings in named:
+        odd, on = geo.locate(xy[inside, 0], xy[inside, 1], geo.ring_edges(rings))
+        if (odd & ~on).any():
+            wanted[name] = wanted.get(name, 0) + int((odd & ~on).sum())
+    rows = containment.count_in_polygons(
+        point_frame(spark, xy[:, 0], xy[:, 1]), polygons, box, point_geometry=None
+    ).collect()
+    assert {r["polygon_name"]: r["feature_count"] for r in rows} == wanted
+    every, near = containment.tile_table(polygons), containment.tile_table(polygons, box=box)
+    assert near.count() < every.count() / 2
+
+
+def test_counts_on_a_stream(spark, tmp_path):
+    """Without a row limit the grouped operators also run over a stream."""
+    x = np.arange(200) / 10.0
+    point_frame(spark, x, x).withColumn("kind", (F.col("id") % 3).cast("string")).write.parquet(str(tmp_path / "in"))
+    static = spark.read.parquet(str(tmp_path / "in"))
+    box = BoundingBox(0.0, 0.0, 10.0, 10.0)
+    for name, run in {
+        "groups": lambda df: aggregate.group_aggregate(df, "kind", box=box),
+        "cells": lambda df: aggregate.cell_density(df, box, 3),
+    }.items():
+        stream = run(spark.readStream.schema(static.schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, run(static).collect()))
+
+
 def test_no_polygons_and_no_points(spark, mosaic):
     named, xy, _ = mosaic
     polygons = spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA)
