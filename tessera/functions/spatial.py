@@ -58,6 +58,11 @@ def wkb_xy(wkb: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([_doubles(x), _doubles(y)], fields=list(XY))
 
 
+# A filter on the coordinates would otherwise be pushed below the projection that holds
+# them, and every geometry would be decoded twice.
+wkb_xy = wkb_xy.asNondeterministic()
+
+
 @F.arrow_udf(T.DoubleType())
 def st_x(wkb: pa.Array) -> pa.Array:
     return _doubles(point_coordinates(wkb)[0])

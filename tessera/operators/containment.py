@@ -6,9 +6,9 @@ so there is neither a nested-loop join nor an all-pairs step, and a point in a t
 wholly inside a polygon needs no test at all.
 
 The tile table is staged, so its size is known. While it is small it is broadcast and the
-points are never shuffled. Beyond that both sides are shuffled by tile, and tiles that hold
-too many points are split: the points of such a tile go to several tasks, each of which
-gets a copy of that tile's few polygon rows.
+points are never shuffled. Beyond that both sides are shuffled by tile, and a tile with too
+many candidate pairs is split in two directions, so that neither many points nor many
+polygons in one tile end up in one task.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ from tessera.plans.staging import broadcast_if, measured, stage
 
 # In-memory bytes of the tile table up to which it is broadcast.
 BROADCAST_BYTES = 128 << 20
-# Points one task should get from a single tile before the tile is split ...
-HOT_TILE_POINTS = 4_000_000
+# Candidate pairs (points times polygons) of one tile up to which one task handles it ...
+TILE_PAIRS = 20_000_000
+# ... polygon rows per task in a tile that is split ...
+TILE_POLYGONS = 10_000
 # ... and the most tiles that may be treated as hot: the list of them is broadcast.
 MAX_HOT_TILES = 10_000
 
@@ -103,7 +105,7 @@ def _candidates(
     facts: dict,
     extra_per_level,
     broadcast_bytes: int,
-    hot_tile_points: int,
+    tile_pairs: int,
 ) -> DataFrame:
     """Every point with the rows of its tile, at each level the polygons use."""
     x, y = F.col("__x"), F.col("__y")
@@ -116,7 +118,7 @@ def _candidates(
     if facts["size"] <= broadcast_bytes:
         return keyed.join(broadcast_if(tiles, facts["size"], broadcast_bytes), "tile")
     columns = [c for c in keyed.columns if c not in ("tile", "weight")]
-    return _shuffled_join(keyed, tiles, columns, hot_tile_points)
+    return _shuffled_join(keyed, tiles, columns, tile_pairs)
 
 
 def _tile_facts(tiles: DataFrame) -> dict:
@@ -136,7 +138,7 @@ def contained_pairs(
     point_columns: Sequence[str] = (),
     polygon_columns: Sequence[str] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_tile_points: int = HOT_TILE_POINTS,
+    tile_pairs: int = TILE_PAIRS,
 ) -> DataFrame:
     """``point_columns, polygon_columns, weight`` for every polygon and point inside it.
 
@@ -147,7 +149,7 @@ def contained_pairs(
     facts = _tile_facts(tiles)
     split = facts["chunks"] > 1
     base = points.select(*point_columns, "__x", "__y", F.lit(1).cast("bigint").alias("weight"))
-    joined = _candidates(base, tiles, facts, lambda level: [], broadcast_bytes, hot_tile_points)
+    joined = _candidates(base, tiles, facts, lambda level: [], broadcast_bytes, tile_pairs)
     x, y = F.col("__x"), F.col("__y")
     kept = [*point_columns, *polygon_columns]
     whole = joined.where(F.col("chunks") == 1) if split else joined
@@ -189,6 +191,10 @@ def _outline(wkb: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("x", "y", "xmin", "ymin", "xmax", "ymax")]))
 
 
+# As for `wkb_xy`: decode once, whatever filters follow.
+_outline = _outline.asNondeterministic()
+
+
 @F.arrow_udf(T.BooleanType())
 def _in_or_on(x: pa.Array, y: pa.Array, edges: pa.Array) -> pa.Array:
     crossed, touched = crossings(np.asarray(x), np.asarray(y), edges)
@@ -213,7 +219,7 @@ def areas_in_polygons(
     polygon_columns: Sequence[str] = (),
     geometry: str = "geometry",
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_tile_points: int = HOT_TILE_POINTS,
+    tile_pairs: int = TILE_PAIRS,
 ) -> DataFrame:
     """``polygon_columns, weight`` for every polygon and geometry of any kind inside it.
 
@@ -235,7 +241,7 @@ def areas_in_polygons(
             tile_key(F.col("__o.xmax"), F.col("__o.ymax"), level).alias("__high"),
         ]
 
-    found = _candidates(base, tiles, facts, corners, broadcast_bytes, hot_tile_points)
+    found = _candidates(base, tiles, facts, corners, broadcast_bytes, tile_pairs)
     found = found.where(F.col("chunk") == 0)
     plain = F.size("edges") == 0
     one_tile = (F.col("__low") == F.col("tile")) & (F.col("__high") == F.col("tile"))
@@ -264,7 +270,7 @@ def areas_in_polygons(
     if facts["size"] <= broadcast_bytes:
         fetched = under.join(broadcast_if(nearby, facts["size"], broadcast_bytes), keys)
     else:
-        fetched = _shuffled_join(under, nearby, ["__case"], hot_tile_points, keys)
+        fetched = _shuffled_join(under, nearby, ["__case"], tile_pairs, keys)
     around = fetched.groupBy("__case").agg(F.collect_list(F.struct("tile", "edges")).alias("around"))
     tested = open_cases.join(around, "__case").where(
         _contained_locally(F.col("__wkb"), F.col("level"), F.col("around"))
@@ -276,36 +282,61 @@ def _shuffled_join(
     keyed: DataFrame,
     tiles: DataFrame,
     columns: Sequence[str],
-    hot_tile_points: int,
+    tile_pairs: int,
     keys: Sequence[str] = ("tile",),
 ) -> DataFrame:
-    """Both sides by tile, with the tiles that hold very many points split.
+    """Both sides by tile, with the tiles that mean too many candidate pairs split.
 
-    The threshold is never below a fixed share of all points, so there are at most
-    `MAX_HOT_TILES` hot tiles and their list may be broadcast. Points of a hot tile are
-    first merged where they are equal (one place can hold any number of them), then
-    spread by a hash of their `columns`, which a re-run task reproduces.
+    The threshold is never below a fixed share of all pairs, so there are at most
+    `MAX_HOT_TILES` hot tiles and their list may be broadcast. In a hot tile equal points
+    are first merged (one place can hold any number of them). The points then go to
+    ``point_parts`` groups and the polygons to ``polygon_parts`` groups, by hashes of their
+    content, which a re-run task reproduces; each pair of groups meets in one task.
     """
     keys = list(keys)
     # The tile table may compress to less than Spark's own broadcast threshold.
     tiles = tiles.hint("merge")
-    per_tile = stage(keyed.groupBy(*keys).agg(F.sum("weight").alias("held")), "points-per-tile")
-    facts = measured(per_tile, held=F.coalesce(F.sum("held"), F.lit(0)), largest=F.max("held"))
-    threshold = max(hot_tile_points, facts["held"] // MAX_HOT_TILES)
-    if (facts["largest"] or 0) <= threshold:
+    held = keyed.groupBy(*keys).agg(F.sum("weight").alias("held"))
+    stacked = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("stacked"))
+    load = stage(
+        held.join(stacked, keys).withColumn("pairs", F.col("held").cast("double") * F.col("stacked")), "tile-load"
+    )
+    facts = measured(load, total=F.coalesce(F.sum("pairs"), F.lit(0.0)), largest=F.max("pairs"))
+    threshold = float(max(tile_pairs, facts["total"] / MAX_HOT_TILES))
+    if (facts["largest"] or 0.0) <= threshold:
         return keyed.join(tiles, keys)
+    polygon_parts = F.ceil(F.col("stacked") / F.lit(TILE_POLYGONS))
+    per_group = F.col("held") * F.col("stacked") / polygon_parts
     hot = F.broadcast(
-        per_tile.where(F.col("held") > threshold).select(
-            *keys, F.ceil(F.col("held") / F.lit(threshold)).cast("int").alias("parts")
+        load.where(F.col("pairs") > threshold).select(
+            *keys,
+            F.ceil(per_group / F.lit(threshold)).cast("int").alias("point_parts"),
+            polygon_parts.cast("int").alias("polygon_parts"),
         )
     )
     cold = keyed.join(hot, keys, "left_anti").join(tiles, keys)
+
+    def group_of(content: Sequence[str], parts: str) -> Column:
+        return F.pmod(F.xxhash64(*content), F.col(parts).cast("bigint")).cast("int")
+
+    def all_groups(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
     merged = keyed.join(hot, keys, "left_semi").groupBy(*keys, *columns).agg(F.sum("weight").alias("weight"))
-    spread = merged.join(hot, keys).withColumn(
-        "part", F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
+    spread = (
+        merged.join(hot, keys)
+        .withColumn("point_part", group_of(columns, "point_parts"))
+        .withColumn("polygon_part", all_groups("polygon_parts"))
+        .drop("point_parts", "polygon_parts")
+    )
+    copies = (
+        tiles.join(hot, keys)
+        .withColumn("polygon_part", group_of(["polygon_id"], "polygon_parts"))
+        .withColumn("point_part", all_groups("point_parts"))
+        .drop("point_parts", "polygon_parts")
     )
-    copies = tiles.join(hot, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    heated = spread.drop("parts").join(copies.drop("parts").hint("merge"), [*keys, "part"]).drop("part")
+    split = [*keys, "point_part", "polygon_part"]
+    heated = spread.join(copies.hint("merge"), split).drop("point_part", "polygon_part")
     return cold.unionByName(heated)
 
 
@@ -321,7 +352,7 @@ def points_in_polygons(
     point_bbox: str = "bbox",
     polygon_bbox: str = "bbox",
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_tile_points: int = HOT_TILE_POINTS,
+    tile_pairs: int = TILE_PAIRS,
 ) -> DataFrame:
     """The containment join itself: every (point, polygon around it).
 
@@ -336,7 +367,7 @@ def points_in_polygons(
         point_columns=list(point_columns),
         polygon_columns=[item.partition(" AS ")[2] or item for item in polygon_columns],
         broadcast_bytes=broadcast_bytes,
-        hot_tile_points=hot_tile_points,
+        tile_pairs=tile_pairs,
     )
 
 
@@ -355,7 +386,7 @@ def count_in_polygons(
     polygon_bbox: str = "bbox",
     areal: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_tile_points: int = HOT_TILE_POINTS,
+    tile_pairs: int = TILE_PAIRS,
 ) -> DataFrame:
     """``(polygon_name, polygon_subtype, feature_count)``: points inside each polygon.
 
@@ -378,7 +409,7 @@ def count_in_polygons(
     if areal:
         keep.append(_outline(F.col(polygon_geometry)).alias("__env"))
     tiles = stage(tile_table(areas, keep, polygon_geometry, box=None if areal else box), "tiles")
-    limits = {"broadcast_bytes": broadcast_bytes, "hot_tile_points": hot_tile_points}
+    limits = {"broadcast_bytes": broadcast_bytes, "tile_pairs": tile_pairs}
     chosen = within(points, box, point_bbox)
     if areal:
         inside = areas_in_polygons(chosen, tiles, names, point_geometry, **limits)

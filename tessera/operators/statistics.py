@@ -22,7 +22,7 @@ from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import BoundingBox
 from tessera.functions.paths import column_path, is_numeric, path_type
 from tessera.operators.aggregate import top, within
-from tessera.plans.staging import stage
+from tessera.plans.staging import measured, stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -136,32 +136,28 @@ def quartiles(df: DataFrame, column: str) -> DataFrame:
 def frequency_histogram(frequencies: DataFrame, buckets: int = 10) -> DataFrame:
     """Equal-width buckets over ``(value, n)``: bounds, count and share of **all** rows.
 
-    NULL and NaN are in no bucket but count in the share's denominator. Empty buckets are
+    NULL, NaN and infinity are in no bucket but count in the share's denominator. Empty buckets are
     absent; a column with fewer than two distinct numbers has no buckets.
     """
     if not 2 <= buckets <= 100:
         raise InvalidRequestError(f"a histogram has 2 to 100 buckets, got {buckets}")
     number = F.col("value").cast("double")
-    real = F.when(~F.isnan(number), number)
-    facts = frequencies.agg(
-        F.struct(
-            F.min(real).alias("low"), F.max(real).alias("high"), F.sum("n").alias("rows")
-        ).alias("facts")
-    ).scalar()
-    low, high = facts.getField("low"), facts.getField("high")
-    width = (high - low) / F.lit(float(buckets))
-    bucket = F.least(F.floor((real - low) / width), F.lit(buckets - 1).cast("bigint"))
-    counted = (
-        frequencies.where(real.isNotNull() & (high > low))
-        .groupBy(bucket.alias("bucket"))
-        .agg(F.sum("n").alias("count"))
-    )
+    real = F.when(F.abs(number) < F.lit(float("inf")), number)
+    facts = measured(frequencies, low=F.min(real), high=F.max(real), rows=F.sum("n"))
+    low, high = facts["low"], facts["high"]
+    if low is None or not low < high:
+        width, kept = 1.0, frequencies.where(F.lit(False))
+    else:
+        width, kept = (high - low) / buckets, frequencies.where(real.isNotNull())
+    first, step = F.lit(low).cast("double"), F.lit(width)
+    bucket = F.least(F.floor((real - first) / step), F.lit(buckets - 1).cast("bigint"))
+    counted = kept.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("count"))
     return counted.select(
         "bucket",
-        (low + F.col("bucket") * width).alias("lower_bound"),
-        (low + (F.col("bucket") + 1) * width).alias("upper_bound"),
+        (first + F.col("bucket") * step).alias("lower_bound"),
+        (first + (F.col("bucket") + 1) * step).alias("upper_bound"),
         "count",
-        F.round(F.col("count") / facts.getField("rows"), 6).alias("share"),
+        F.round(F.col("count") / F.lit(facts["rows"]), 6).alias("share"),
     )
 
 
@@ -263,28 +259,23 @@ def column_stats(
             frequency_top(frequencies, frequencies.agg(F.sum("n")).scalar(), top_k),
         )
     number = value.cast("double")
-    # The squares are taken around the mean, so a large mean does not swamp the spread.
-    mean = frequencies.agg((F.sum(F.when(number.isNotNull(), number * n)) / F.sum(F.when(number.isNotNull(), n)))).scalar()
     real = frequencies.where(number.isNotNull())
-    moments = real.agg(
+    total = F.sum(number * n) / F.sum(n)
+    # The squares are taken around the mean, so a large mean does not swamp the spread.
+    mean = F.lit(measured(real, mean=total)["mean"]).cast("double")
+    spread = F.sum(n * (number - mean) * (number - mean))
+    q = quantiles(ranked_frequencies(frequencies)).first()
+    summary = real.agg(
         F.min(value).alias("minimum"),
         F.max(value).alias("maximum"),
-        (F.sum(number * n) / F.sum("n")).alias("mean"),
-        F.when(F.sum("n") > 1, F.sqrt(F.sum(n * (number - mean) * (number - mean)) / (F.sum("n") - 1))).alias("stddev"),
+        total.alias("mean"),
+        F.when(F.sum(n) > 1, F.sqrt(spread / (F.sum(n) - 1))).alias("stddev"),
+    ).select(
+        "*",
+        F.lit(q["q_25"]).cast("double").alias("p25"),
+        F.lit(q["q_50"]).cast("double").alias("median"),
+        F.lit(q["q_75"]).cast("double").alias("p75"),
     )
-    q = quantiles(ranked_frequencies(frequencies))
-    summary = _side_by_side(moments, q)
     return ColumnProfile(
         column, data_type.simpleString(), "numeric", counts, summary, frequency_histogram(frequencies, buckets)
     )
-
-
-def _side_by_side(moments: DataFrame, q: DataFrame) -> DataFrame:
-    """Two one-row tables as one row."""
-    packed = q.select(F.struct("q_25", "q_50", "q_75")).scalar()
-    return moments.select(
-        "*",
-        packed.getField("q_25").alias("p25"),
-        packed.getField("q_50").alias("median"),
-        packed.getField("q_75").alias("p75"),
-    )

@@ -10,7 +10,6 @@ engine knows without touching a data page comes from this table: footprint, exte
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -51,12 +50,12 @@ def _text(value) -> str | None:
 
 
 def _open(path: str):
-    parsed = urlparse(path)
-    if parsed.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(parsed.path)
-    if parsed.scheme in ("s3a", "s3n"):
-        path = "s3" + path[len(parsed.scheme) :]
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a path as Spark writes it (not percent-encoded)."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return pafs.LocalFileSystem(), "/" + (rest or scheme).lstrip("/")
+    # The S3 connectors of Hadoop have their own scheme names.
+    return pafs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else path)
 
 
 def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -257,7 +257,7 @@ def mosaic():
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_tile_points": 50}],
+    [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "tile_pairs": 50}],
     ids=["broadcast", "shuffled", "hot tiles"],
 )
 @pytest.mark.parametrize("edges_per_row", [2048, 3], ids=["whole tiles", "spread tiles"])
@@ -281,7 +281,7 @@ def test_counts_equal_brute_force(spark, mosaic, options, edges_per_row):
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_tile_points": 5}],
+    [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "tile_pairs": 5}],
     ids=["broadcast", "shuffled", "hot tiles"],
 )
 @pytest.mark.parametrize("edges_per_row", [2048, 3], ids=["whole tiles", "spread tiles"])
@@ -323,6 +323,26 @@ def test_containment_never_compares_all_pairs(spark, mosaic):
         assert ("SortMergeJoin" in plan) == bool(options)
 
 
+def test_stacked_polygons_are_split_too(spark, monkeypatch):
+    """One tile holding most points and most polygons."""
+    monkeypatch.setattr(containment, "TILE_POLYGONS", 7)
+    rng = np.random.default_rng(31)
+    named = [(f"p{i}", "x", [star(rng, 10.0, 10.0, 5.0, 9)]) for i in range(40)]
+    xy = np.concatenate([rng.uniform(5, 15, (500, 2)), np.full((300, 2), 10.25)])
+    wanted = {}
+    for name, _, rings in named:
+        odd, on = geo.locate(xy[:, 0], xy[:, 1], geo.ring_edges(rings))
+        wanted[name] = int((odd & ~on).sum())
+    rows = containment.count_in_polygons(
+        point_frame(spark, xy[:, 0], xy[:, 1]),
+        spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA),
+        point_geometry=None,
+        broadcast_bytes=0,
+        tile_pairs=500,
+    ).collect()
+    assert {r["polygon_name"]: r["feature_count"] for r in rows} == wanted
+
+
 def test_a_rectangle_drops_far_tiles_only(spark, mosaic):
     named, xy, _ = mosaic
     polygons = spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA)
@@ -498,6 +518,13 @@ def test_scan_report_equals_enumeration(spark, layouts):
     assert found["sorted"]["pruning_ratio"] > 5 and found["shuffled"]["pruning_ratio"] == 1.0
 
 
+def test_odd_file_names(spark, tmp_path):
+    for name in ("with space", "a%20b", "hash#tag"):
+        pq.write_table(pa.table({"v": [1, 2, 3]}), tmp_path / f"{name}.parquet")
+    row = footers.footprint(footers.footers(spark, str(tmp_path))).first()
+    assert (row["files"], row["row_count"], row["row_groups"]) == (3, 9, 3)
+
+
 def test_missing_statistics(spark, tmp_path):
     bbox = pa.StructArray.from_arrays([pa.array([1.0, 2.0])] * 4, ["xmin", "xmax", "ymin", "ymax"])
     pq.write_table(pa.table({"bbox": bbox}), tmp_path / "a.parquet", write_statistics=False)

@@ -291,7 +291,7 @@ QUERIES: dict[str, Query] = {
     "pip_counts_boundary": _pip_lattice,
     "pip_counts_wkb": _pip_wkb,
     "pip_counts_shuffled": _pip("visits", "zones", broadcast_bytes=0),
-    "pip_counts_hot_tiles": _pip("parcels", "zones", broadcast_bytes=0, hot_tile_points=1000),
+    "pip_counts_hot_tiles": _pip("parcels", "zones", broadcast_bytes=0, tile_pairs=60),
     "pip_pairs": _pip_pairs,
     "pip_areas": lambda spark, sf: containment.count_in_polygons(
         polygons(spark, sf, "plots"), polygons(spark, sf, "areas"), subtype_column="subtype", areal=True
