@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tessera.functions.cells import hex_edge_km, quad_level
 from workload import sqlsuite
-from workload.queries import BOX, LATTICE, NOTCHED, SEVERAL, SEVERAL_SHAPES
+from workload.queries import BOX, LATTICE, NOTCHED, SEVERAL, SEVERAL_SHAPES, SMALL
 from workload.views import edge_sql, point_sql
 
 
@@ -303,6 +303,11 @@ ORACLES: dict[str, str] = {
         f"SELECT '{c}' AS \"column\", cast(min({c}) as double) AS minimum, cast(max({c}) as double) AS maximum, true AS complete FROM lineitem"
         for c in ("l_quantity", "l_extendedprice", "l_discount", "l_orderkey", "l_linenumber")
     ),
+    "footer_extent": "SELECT min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat, "
+    f"true AS complete FROM {_from('parcels')}",
+    "footer_pruning": f"SELECT count(*) AS rows, count(*) FILTER (WHERE {_in(SMALL)}) AS matches, true AS keeps_matches, "
+    f"true AS never_more FROM {_from('parcels')}",
+    "pushdown_report": f"SELECT 'whole_dataset' AS mode, count(*) AS matches FROM {_from('parcels')} WHERE {_in(SMALL)}",
     "scan_report": "SELECT count(*) AS rows_read, count(*) AS rows, cast(1 as bigint) AS files, true AS reads_something FROM lineitem",
     "schema_roles": "SELECT column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' "
     "WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, CASE column_name WHEN 'o_orderpriority' THEN 'name' "

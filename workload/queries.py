@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import BoundingBox
 from tessera.operators import aggregate, containment, features, nearest, statistics
+from tessera.plans.pushdown import pushdown_report
 from tessera.plans.sqlgate import run_sql
+from tessera.plans.staging import stage
 from tessera.sources import footers
 from tessera.sources.catalog import Source, schema_with_roles
 from workload import sqlsuite
@@ -159,6 +162,34 @@ def _footer_bounds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _staged_parcels(spark: SparkSession, sf: str) -> str:
+    """The parcels as Parquet files of their own, range-partitioned by longitude."""
+    ranged = points(spark, sf, "parcels").repartitionByRange("lon").sortWithinPartitions("lon")
+    return os.path.dirname(stage(ranged.select("id", "category", "bbox"), "parcels").inputFiles()[0])
+
+
+def _footer_extent(spark: SparkSession, sf: str) -> DataFrame:
+    return footers.extent(footers.footers(spark, _staged_parcels(spark, sf))).drop("row_groups")
+
+
+def _footer_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """Row groups cannot be skipped wrongly: those kept hold at least the matching rows."""
+    path = _staged_parcels(spark, sf)
+    report = footers.scan_report(footers.footers(spark, path), ["id"], SMALL)
+    matches = spark.read.parquet(path).where(SMALL.intersects()).agg(F.count(F.lit(1)).alias("matches"))
+    return report.select(
+        "rows",
+        matches.scalar().alias("matches"),
+        (F.col("rows_read") >= matches.scalar()).alias("keeps_matches"),
+        (F.col("bytes_scanned") <= F.col("bytes_unpruned")).alias("never_more"),
+    )
+
+
+def _pushdown(spark: SparkSession, sf: str) -> DataFrame:
+    report = pushdown_report(spark, _staged_parcels(spark, sf), SMALL, "category", "whole_dataset")
+    return report.select("mode", "matches")
+
+
 def _scan_report(spark: SparkSession, sf: str) -> DataFrame:
     report = footers.scan_report(
         footers.footers(spark, f"{sf}/lineitem.parquet"),
@@ -299,6 +330,9 @@ QUERIES: dict[str, Query] = {
     # footers
     "footer_footprint": _footprint,
     "footer_bounds": _footer_bounds,
+    "footer_extent": _footer_extent,
+    "footer_pruning": _footer_pruning,
+    "pushdown_report": _pushdown,
     "scan_report": _scan_report,
     "schema_roles": _schema_roles,
     # guarded SQL
