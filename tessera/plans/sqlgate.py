@@ -12,7 +12,7 @@ import json
 import re
 import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.errors import ParseException
@@ -284,16 +284,18 @@ def file_scans(df: DataFrame) -> list[dict]:
     return scans
 
 
-def query_cost(df: DataFrame) -> DataFrame:
-    """One row per Parquet scan of a query: what it will read, from footers, before it runs."""
+def query_cost(df: DataFrame, footers_of: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """One row per Parquet scan of a query: what it will read, from footers, before it runs.
+
+    `footers_of` gives the footer table for a scan's root paths; without it the footers are
+    read now.
+    """
     spark = df.sparkSession
-    reports = [
-        scan_report(footers(spark, *scan["paths"]), scan["columns"], scan["comparisons"])
-        for scan in file_scans(df)
-    ]
-    if not reports:
+    total: DataFrame | None = None
+    for scan in file_scans(df):
+        table = footers_of(scan["paths"]) if footers_of else footers(spark, *scan["paths"])
+        report = scan_report(table, scan["columns"], scan["comparisons"])
+        total = report if total is None else total.unionByName(report)
+    if total is None:
         raise InvalidRequestError("the query reads no Parquet file")
-    total = reports[0]
-    for report in reports[1:]:
-        total = total.unionByName(report)
     return total
