@@ -44,19 +44,21 @@ SQL: dict[str, tuple[str, str]] = {
     "sql_scalar_subquery": _same(
         "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)"
     ),
-    "sql_region_pairs": _same(
-        "SELECT a.r_name AS first_name, b.n_name AS second_name FROM region a JOIN nation b "
-        "ON a.r_regionkey = b.n_regionkey"
+    "sql_inner_join": _same(
+        "SELECT r_name, n_name, count(*) AS n, min(c_acctbal) AS low FROM region JOIN nation ON n_regionkey = r_regionkey "
+        "JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name"
     ),
     "sql_theta_join": _same(
-        "SELECT r.r_name, count(*) AS n FROM region r JOIN nation b ON b.n_regionkey > r.r_regionkey GROUP BY r.r_name"
+        "WITH per AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) "
+        "SELECT r_name, count(*) AS groups, cast(sum(per.n) AS bigint) AS n FROM region JOIN per ON per.k > r_regionkey "
+        "GROUP BY r_name"
     ),
     "sql_cross_join": _same(
-        "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n"
+        "SELECT r_name, t.n FROM region CROSS JOIN (SELECT count(*) AS n FROM orders) t"
     ),
     "sql_self_join": _same(
-        "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b "
-        "ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"
+        "WITH per AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) "
+        "SELECT a.k, a.n, b.n AS next_n FROM per a JOIN per b ON b.k = a.k + 1"
     ),
     "sql_having": _same(
         "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15"
