@@ -74,14 +74,18 @@ def tile_table(
 def with_coordinates(
     points: DataFrame, bbox: str = "bbox", geometry: str | None = "geometry"
 ) -> DataFrame:
-    """Adds ``__x`` and ``__y``: exact from the geometry, or from the bbox without one."""
+    """Adds ``__x`` and ``__y``: exact from the geometry, or from the bbox without one.
+
+    Rows without finite coordinates are left out; they are inside nothing.
+    """
     if geometry:
         points = points.withColumn("__xy", wkb_xy(F.col(geometry)))
         x, y = F.col("__xy.x"), F.col("__xy.y")
     else:
         x, y = F.col(f"{bbox}.xmin"), F.col(f"{bbox}.ymin")
     located = points.select("*", x.cast("double").alias("__x"), y.cast("double").alias("__y"))
-    return located.where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    infinite = F.lit(float("inf"))
+    return located.where((F.abs("__x") < infinite) & (F.abs("__y") < infinite))
 
 
 @F.arrow_udf(T.BooleanType())

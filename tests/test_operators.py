@@ -343,6 +343,15 @@ def test_stacked_polygons_are_split_too(spark, monkeypatch):
     assert {r["polygon_name"]: r["feature_count"] for r in rows} == wanted
 
 
+def test_points_without_coordinates_are_nowhere(spark):
+    everywhere = [("world", "x", [np.array([[-180, -90], [180, -90], [180, 90], [-180, 90], [-180, -90.0]])])]
+    x = np.array([0.0, np.nan, 1.0, np.inf, -np.inf])
+    y = np.array([0.0, 0.0, np.nan, 0.0, 0.0])
+    polygons = spark.createDataFrame(polygon_rows(everywhere), POLYGON_SCHEMA)
+    df = point_frame(spark, x, y).unionByName(point_frame(spark, x, y).withColumn("bbox", F.lit(None).cast("struct<xmin:double,xmax:double,ymin:double,ymax:double>")))
+    assert containment.count_in_polygons(df, polygons, point_geometry=None).first()["feature_count"] == 1
+
+
 def test_a_rectangle_drops_far_tiles_only(spark, mosaic):
     named, xy, _ = mosaic
     polygons = spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA)
