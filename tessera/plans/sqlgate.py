@@ -34,7 +34,7 @@ _PLAN_NODES = frozenset(
     """Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Union
     Intersect Except SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith
     UnresolvedHaving UnresolvedInlineTable OneRowRelation WithWindowDefinition Pivot UnresolvedPivot
-    Unpivot Generate Sample UnionLoop""".split()
+    Unpivot Generate Sample LocalRelation""".split()
 )
 _FUNCTION_GROUPS = frozenset(
     """agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs
