@@ -25,7 +25,7 @@ def column_path(path: str) -> Column:
         step = _STEP.fullmatch(text)
         if step is None:
             raise InvalidRequestError(
-                f"{path!r} is not a valid column reference; write a name ('confidence'), a nested "
+                f"{path!r} is no column path; write a name ('confidence'), a nested "
                 f"field ('categories.primary') or a list item counted from 1 ('addresses[1].freeform')"
             )
         field = step["field"]
