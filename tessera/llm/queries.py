@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import oracles, quality_rules
+from tessera.llm import oracles, quality_rules, simhash_dedup
 from tessera.llm.common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 def _bounded(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bound_batches(spark)
@@ -28,6 +32,7 @@ QUERIES: dict[str, Query] = {
     name: _bounded(query)
     for name, query in {
         "op3_quality_rules": op3_quality_rules,
+        "op10_simhash": op10_simhash,
     }.items()
 }
 
