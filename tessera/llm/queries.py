@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import oracles, quality_rules, simhash_dedup
+from tessera.llm import decontamination, oracles, quality_rules, secret_scan, simhash_dedup
 from tessera.llm.common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_copies(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,8 @@ QUERIES: dict[str, Query] = {
     name: _bounded(query)
     for name, query in {
         "op3_quality_rules": op3_quality_rules,
+        "op5_decontamination": op5_decontamination,
+        "op6_secret_scan": op6_secret_scan,
         "op10_simhash": op10_simhash,
     }.items()
 }
