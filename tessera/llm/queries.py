@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, oracles, quality_rules, secret_scan, simhash_dedup
+from tessera.llm import (
+    decontamination,
+    oracles,
+    quality_rules,
+    secret_scan,
+    sentencepiece_codec,
+    simhash_dedup,
+    tokenizer_files,
+)
 from tessera.llm.common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trips(read_table(spark, sf_dir, "documents"), tokenizer_files.PIECES)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,7 @@ def _bounded(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _bounded(query)
     for name, query in {
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_quality_rules": op3_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_secret_scan": op6_secret_scan,
