@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch on its way to a Python worker: a few long texts fill a batch
 #: as surely as many short ones, so a worker's memory does not depend on text lengths.
@@ -23,9 +24,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def need(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that an extra column of any name does no harm."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; there are {df.columns}")
-    return df.select(*(df[c] for c in columns))
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of a DataFrame by name, whatever signs the names have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]

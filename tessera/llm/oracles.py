@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import quality_rules as rules
+from tessera.llm.url_filters import Rule
 
 _WHITE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -86,3 +87,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        base_failed, divergent, NOT base_failed AND NOT divergent AS kept
 FROM judged"""
+
+
+def url_filters(rules_of: list[Rule], words: tuple[str, ...], source: str = "pages") -> str:
+    """Every rule tried on every url, the longest kept; the list as a condition on the labels."""
+    values = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in rules_of)
+    return rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM (SELECT page_id, coalesce(url, '') AS url FROM {source})
+), part AS (
+  SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rule(text, rule_host, rule_path, verdict) AS (VALUES {values}
+), best AS (
+  SELECT rid, arg_max(rule, length(rule.text)) AS r
+  FROM part JOIN rule ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY rid
+)
+SELECT page_id, host, path, r.text AS rule,
+       regexp_matches(host, '(^|[.-])({"|".join(words)})([.-]|$)') AS listed,
+       coalesce(r.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
+FROM part LEFT JOIN best USING (rid)"""

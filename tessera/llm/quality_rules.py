@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import INNER
+from tessera.llm.common import INNER, own_columns
 from tessera.plans.staging import stage
 
 WHITE = " \t\n\x0b\f\r"
@@ -183,7 +183,7 @@ def _features(docs: DataFrame, text: str, lang: str) -> DataFrame:
         F.col(i + "class_bins").alias("class_bins"), F.col(i + "word_bins").alias("word_bins"),
         *(value.cast("long").alias(name) for name, value in fields.items()),
     )
-    return df.select(*(df[c] for c in docs.columns), measures.alias(i + "measures"))
+    return df.select(*own_columns(docs), measures.alias(i + "measures"))
 
 
 def _references(measures: DataFrame) -> DataFrame:
@@ -228,8 +228,7 @@ def _verdict(features: DataFrame, references: DataFrame) -> DataFrame:
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     verdict = F.struct(*counts, failed.alias("base_failed"), divergent.alias("divergent"), (~failed & ~divergent).alias("kept"))
-    carried = [features[c] for c in features.columns if c != i + "measures"]
-    return df.select(*carried, verdict.alias(i + "quality"))
+    return df.select(*own_columns(features.drop(i + "measures")), verdict.alias(i + "quality"))
 
 
 def quality_counts(
@@ -253,4 +252,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", reference
     if references is None:
         references = language_references(docs, text, lang)
     judged = _verdict(_features(docs, text, lang), references)
-    return judged.where(F.col(INNER + "quality.kept")).select(*(judged[c] for c in docs.columns))
+    # a filter would be pushed below the projections, which repeats every measurement inside it;
+    # a generator of one row or none stays where it is
+    one = F.explode(F.when(F.col(INNER + "quality.kept"), F.array(F.lit(True))))
+    return judged.select(*own_columns(docs), one.alias(INNER + "one")).select(*own_columns(docs))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import (
     decontamination,
@@ -14,12 +15,33 @@ from tessera.llm import (
     sentencepiece_codec,
     simhash_dedup,
     tokenizer_files,
+    url_filters,
 )
 from tessera.llm.common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rules of the url query, and the words in a domain's first label that put it on its list.
+URL_RULES = [
+    url_filters.Rule("allow", "org", "/"),
+    url_filters.Rule("block", "example.org", "/es/"),
+    url_filters.Rule("block", "example.org", "/en/1"),
+    url_filters.Rule("allow", "com", "/fr/"),
+    url_filters.Rule("block", "com", "/de/"),
+]
+LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is made of the corpus's own domains whose first label holds a listed word."""
+    pages = read_table(spark, sf_dir, "pages")
+    host = url_filters.host_of(F.col("url"))
+    domains = pages.select(F.explode(url_filters.keys_of(host, F.lit(""))).alias("key")).distinct()
+    listed = domains.where(F.col("key").rlike(rf"^([^.]*-)?({'|'.join(LISTED_WORDS)})(-[^.]*)?(\.|$)"))
+    return url_filters.judge(pages, URL_RULES, listed)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trips(read_table(spark, sf_dir, "documents"), tokenizer_files.PIECES)
 
@@ -51,6 +73,7 @@ def _bounded(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _bounded(query)
     for name, query in {
+        "op1_url_filters": op1_url_filters,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality_rules": op3_quality_rules,
         "op5_decontamination": op5_decontamination,
@@ -60,5 +83,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filters": oracles.url_filters(URL_RULES, LISTED_WORDS),
     "op3_quality_rules": oracles.quality_rules(),
 }

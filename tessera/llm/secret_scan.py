@@ -149,7 +149,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
     if length in columns:
         kind = docs.schema[length].dataType
         masked = masked.withColumn(length, F.char_length(F.col(text)).cast(kind))
-    return masked.select(*columns)
+    return masked
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
