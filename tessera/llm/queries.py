@@ -14,6 +14,7 @@ from tessera.llm import (
     secret_scan,
     sentencepiece_codec,
     simhash_dedup,
+    token_files,
     tokenizer_files,
     url_filters,
 )
@@ -58,6 +59,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_folder(spark, "token-files")
+    token_files.write_tokens(token_files.token_ids(read_table(spark, sf_dir, "documents"), tokenizer_files.WORDS), path)
+    return token_files.digest(token_files.read_tokens(spark, path))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_copies(read_table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Query] = {
         "op3_quality_rules": op3_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_secret_scan": op6_secret_scan,
+        "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
     }.items()
 }
