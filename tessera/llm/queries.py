@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
+    chat_format,
     decontamination,
+    html_extract,
     oracles,
     quality_rules,
     secret_scan,
@@ -59,6 +61,22 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+#: A conversation whose texts look like the template's marks.
+LOOKALIKE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", LOOKALIKE), (-7, 1, "assistant", LOOKALIKE)], turns.schema)
+    count = lambda text: F.size(sentencepiece_codec.encode(text, tokenizer_files.PIECES))
+    return chat_format.read_back(chat_format.windows(turns.union(added), count_tokens=count))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_folder(spark, "token-files")
     token_files.write_tokens(token_files.token_ids(read_table(spark, sf_dir, "documents"), tokenizer_files.WORDS), path)
@@ -85,6 +103,8 @@ QUERIES: dict[str, Query] = {
         "op3_quality_rules": op3_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_secret_scan": op6_secret_scan,
+        "op7_chat_format": op7_chat_format,
+        "op8_html_extract": op8_html_extract,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
     }.items()
