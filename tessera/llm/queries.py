@@ -12,6 +12,7 @@ from tessera.llm import (
     decontamination,
     html_extract,
     oracles,
+    quality_classifier,
     quality_rules,
     secret_scan,
     sentencepiece_codec,
@@ -53,6 +54,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
         "op1_url_filters": op1_url_filters,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality_rules": op3_quality_rules,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_decontamination": op5_decontamination,
         "op6_secret_scan": op6_secret_scan,
         "op7_chat_format": op7_chat_format,
