@@ -21,8 +21,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,24 +69,36 @@ def _worst_labels(labels: DataFrame, id: str, worst: dict[str, str]) -> DataFram
     return labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("labelled")).agg(*chosen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, worst: dict[str, str], id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> dict[str, LogisticRegressionModel | float]:
+def fit(docs: DataFrame, labels: DataFrame, worst: dict[str, str], id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> dict[str, PipelineModel | float]:
     """A model for every label, or the share of ones where the labels have fewer than two classes."""
     sample = _worst_labels(labels, id, worst).orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
     # at most `rows` ids and labels: broadcast
     given = docs.select(docs[id].alias("id"), docs[text].alias("text")).join(F.broadcast(sample), F.col("id") == F.col("labelled"))
     terms = stage(given.select(evidence_terms(F.col("text")).alias("terms"), *worst), "fit-terms")
-    models: dict[str, LogisticRegressionModel | float] = {}
+    models: dict[str, PipelineModel | float] = {}
     for name in worst:
         known = terms.where(F.col(name).isNotNull())
         stats = measured(known, n=F.count("*"), ones=F.sum(name), classes=F.count_distinct(name))
         if stats["classes"] < 2:
             models[name] = stats["ones"] / stats["n"] if stats["n"] else 0.5
             continue
-        regression = LogisticRegression(featuresCol="features", labelCol=name, maxIter=25, regParam=1e-4, standardization=False)
-        models[name] = regression.fit(_vectors(known))
+        models[name] = _fit_one(_vectors(known), name) or stats["ones"] / stats["n"]
     return models
 
 
+def _fit_one(known: DataFrame, label: str) -> PipelineModel | None:
+    """A sparse regression picks the buckets that matter, a second one weighs them unshrunk; None if
+    no bucket matters."""
+    options = {"featuresCol": "features", "labelCol": label, "maxIter": 50, "regParam": 5e-4, "elasticNetParam": 1.0, "standardization": False}
+    chosen = np.flatnonzero(LogisticRegression(**options).fit(known).coefficients.toArray())
+    if not len(chosen):
+        return None
+    slicer = VectorSlicer(inputCol="features", outputCol="chosen", indices=chosen.tolist())
+    options |= {"featuresCol": "chosen", "regParam": 1e-4, "elasticNetParam": 0.0}
+    columns = {"probabilityCol": "probability", "rawPredictionCol": "raw", "predictionCol": "predicted"}
+    return Pipeline(stages=[slicer, LogisticRegression(**options, **columns)]).fit(known)
+
+
 def evidence(docs: DataFrame, models: dict, host: str, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``id``, ``host``, ``path`` and a probability for every label."""
     df = docs.select(
@@ -96,8 +110,7 @@ def evidence(docs: DataFrame, models: dict, host: str, path: str, id: str = "doc
         if isinstance(model, float):
             df = df.withColumn(name, F.lit(model))
             continue
-        model.setFeaturesCol("features").setProbabilityCol("probability").setRawPredictionCol("raw").setPredictionCol("predicted")
-        df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("probability", "raw", "predicted")
+        df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("chosen", "probability", "raw", "predicted")
     clipped = lambda c: F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c))).alias(c)
     return df.select("id", "host", "path", *(clipped(name) for name in models))
 
