@@ -84,7 +84,9 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_folder(spark, "token-files")
-    token_files.write_tokens(token_files.token_ids(read_table(spark, sf_dir, "documents"), tokenizer_files.WORDS), path)
+    kind = token_files.id_kind(tokenizer_files.WORDS)
+    tokens = token_files.token_ids(read_table(spark, sf_dir, "documents"), tokenizer_files.WORDS, id_type=kind)
+    token_files.write_tokens(tokens, path, kind)
     return token_files.digest(token_files.read_tokens(spark, path))
 
 

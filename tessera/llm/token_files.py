@@ -39,7 +39,8 @@ STEP = 128
 #: Longest code; longer only if the vocabulary in use needs it.
 MAX_LENGTH = 18
 END_ID = 1
-CACHE = 400_000
+#: Words in a worker's memo, and in the one before it.
+CACHE = 350_000
 
 
 class WordEncoder:
@@ -49,56 +50,88 @@ class WordEncoder:
     and the splitting pattern of the file say): then a text's ids are those of its words in order.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kind = kind
+
+        # a special token between words shows where each word's ids end
+        specials = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
+        self.mark = (specials[0][0], specials[0][1].content) if specials else None
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, many in one call: the library's cost is per call more than per word."""
+        if self.mark is None or any(self.mark[1] in w for w in words):
+            for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.memo[word] = np.array(found.ids, self.kind).tobytes()
+            return
+        joined = f" {self.mark[1]} ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        raw, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        for word, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist(), strict=True):
+            self.memo[word] = raw[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
+        """Little-endian unsigned ids of every text."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > CACHE:
-            memo.clear()
-        fresh = list({w for words in split for w in words if w not in memo})
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            memo[word] = np.array(found.ids, "<u4").tobytes()
+        if len(self.memo) > CACHE:  # words in use move on to the new memo, the others are forgotten
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        fresh = {w for words in split for w in words if w not in memo}
+        known = {w: older[w] for w in fresh if w in older}
+        memo.update(known)
+        fresh = list(fresh - known.keys())
+        for at in range(0, len(fresh), 1000):
+            self._learn(fresh[at : at + 1000])
         return [b"".join([memo[w] for w in words]) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, str], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, kind: str) -> WordEncoder:
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = WordEncoder(path, kind)
+    return _encoders[path, kind]
 
 
-def token_ids(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Columns ``id`` and ``ids`` (little-endian unsigned 32-bit, the end id last)."""
+def id_kind(tokenizer: str) -> str:
+    """The narrower numpy type that holds every id of a tokenizer file: two or four bytes."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def token_ids(
+    docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID, id_type: str = "<u4"
+) -> DataFrame:
+    """Columns ``id`` and ``ids`` (binary, of the numpy type ``id_type``; the end id last)."""
     given = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    last = np.array([end_id], "<u4").tobytes()
+    last = np.array([end_id], id_type).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x + last for x in _encoder(tokenizer).encode(batch.column("text").to_pylist())]
+            found = [x + last for x in _encoder(tokenizer, id_type).encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "ids"])
 
     return given.mapInArrow(work, f"id {kind}, ids binary")
 
 
-def token_counts(tokens: DataFrame, ids: str = "ids") -> DataFrame:
+def token_counts(tokens: DataFrame, ids: str = "ids", id_type: str = "<u4") -> DataFrame:
     """Columns ``token``, ``n``: counted within tasks, then summed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                own = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(value.as_buffer(), id_type))
                 if len(own) > len(total):
                     own[: len(total)] += total
                     total = own
@@ -180,13 +213,14 @@ class Codebook:
         return out.reshape(-1)[:n]
 
 
-def write_tokens(tokens: DataFrame, path: str) -> None:
+def write_tokens(tokens: DataFrame, path: str, id_type: str = "<u4") -> None:
     """Write ``token_ids`` in ascending order of ``id`` to the folder ``path``."""
+    width = np.dtype(id_type).itemsize
     spark = tokens.sparkSession
     staged = f"{path}/staged-{uuid.uuid4().hex}"
     tokens.write.option("compression", "zstd").parquet(staged)
     tokens = spark.read.schema(tokens.schema).parquet(staged)
-    counted = token_counts(tokens).collect()  # at most a row for each id of the vocabulary
+    counted = token_counts(tokens, "ids", id_type).collect()  # at most a row for each id of the vocabulary
     lengths = code_lengths([r["n"] for r in counted])
     codes = spark.createDataFrame([(r["token"], k) for r, k in zip(counted, lengths, strict=True)], "token bigint, length int")
     codes.coalesce(1).write.parquet(f"{path}/codes")
@@ -198,22 +232,22 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
         names, held, waiting, before, block = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            payload, offsets = codebook.encode(np.frombuffer(b"".join(held), "<u4"))
+            payload, offsets = codebook.encode(np.frombuffer(b"".join(held), id_type))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
-                    pa.array([names], pa.list_(id_type)), pa.array([[len(x) // 4 for x in held]], pa.list_(pa.int32())),
+                    pa.array([names], pa.list_(name_type)), pa.array([[len(x) // width for x in held]], pa.list_(pa.int32())),
                     pa.array([payload], pa.binary()), pa.array([offsets], pa.list_(pa.int64())),
                 ],
                 names=["part", "block", "before", "documents", "sizes", "payload", "checkpoints"],
             )
 
         for batch in batches:
-            id_type = batch.schema.field("id").type
+            name_type = batch.schema.field("id").type
             for name, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 names.append(name)
                 held.append(ids)
-                waiting += len(ids) // 4
+                waiting += len(ids) // width
                 if waiting >= BLOCK_IDS:
                     yield flush()
                     names, held, waiting, before, block = [], [], 0, before + waiting, block + 1
