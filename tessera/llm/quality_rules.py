@@ -126,6 +126,7 @@ def jensen_shannon(bins: Column, total: Column, reference: Column) -> Column:
     def part(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
+    total = F.greatest(total, F.lit(1))  # an empty text has an empty histogram
     both = F.zip_with(bins, reference, lambda n, q: part(n / total, q) + part(q, n / total))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2))
 
@@ -221,7 +222,7 @@ def _verdict(features: DataFrame, references: DataFrame) -> DataFrame:
     of_words = jensen_shannon(m["word_bins"], m["n_words"], F.col(i + "word_ref"))
     df = df.withColumns({i + "class": of_class, i + "word": of_words})
     x, y = F.col(i + "class"), F.col(i + "word")
-    limit = lambda pair: pair[0] + pair[1] / F.sqrt(m["n_words"])
+    limit = lambda pair: pair[0] + pair[1] / F.sqrt(F.greatest(m["n_words"], F.lit(1)))
     far = (x > limit(CLASS_LIMIT)) | (y > limit(WORD_LIMIT)) | (F.sqrt(x * x + y * y) > limit(JOINT_LIMIT))
     judgeable = (m["n_chars"] >= GUARD_CHARS) & (m["n_words"] >= GUARD_WORDS)
     divergent = F.when(judgeable, F.coalesce(far, F.lit(False))).otherwise(False)
