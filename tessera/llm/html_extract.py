@@ -53,6 +53,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that take no place on the page and so break no line.
+UNSEEN = frozenset(("script", "style", "template"))
 #: Elements that are never main text, by tag, by role, and by a word of class or id.
 DROPPED_TAGS = frozenset(
     "nav header footer aside form script style noscript iframe template svg math head title button select "
@@ -197,7 +199,7 @@ def blocks(top: Node, recurring: frozenset[int] | set[int], inside: bool = True)
         elif isinstance(item, str):
             line.append(item)
         elif item is not top and (item.dropped or (item.hash in recurring and not (inside and item.tag in _PROSE))):
-            if item.tag not in INLINE:
+            if item.tag not in INLINE and item.tag not in UNSEEN:
                 end()
         elif item.tag == "br":
             line.append(" ")
