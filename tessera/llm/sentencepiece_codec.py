@@ -11,7 +11,8 @@ For a unigram model the best segmentation has the largest sum of scores. For a B
 is the one that merging gives: a sequence of pieces is that one exactly if every two
 neighbours, merged on their own, stay as they are, so each position has one valid last
 piece. Both give the ids of the ``sentencepiece`` library. Where no piece crosses a word
-start, all paths meet there, so words are memoised (``CACHE`` words a worker).
+start, all paths meet there, so words are memoised
+(``CACHE`` words a worker); so are their parts where no piece holds two characters side by side.
 
 Characters outside the vocabulary become byte pieces, or the unknown id if the model has
 none. Defined cases: a null or empty text has no ids; other columns are carried along or not
@@ -23,7 +24,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import sentencepiece
@@ -31,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 300_000
+#: Words in a worker's memo, and in the one before it.
+CACHE = 400_000
 _LONGEST_MEMO = 40
 
 
@@ -57,9 +60,11 @@ class Model:
         joined = set("".join(long))
         solo = re.escape("".join(c for c in "\n\t" if c not in joined))
         self.segment = re.compile(f"{SPACE}+[^{SPACE}{solo}]*|[{solo}]|[^{SPACE}{solo}]+" if solo else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self._valid: dict[tuple[str, str], bool] = {}
-        self._stable: dict[str, bool] = {}
+        self.prefixes = {p[:k] for p in long for k in range(1, len(p))}
+        self.pairs = {p[k : k + 2] for p in long for k in range(len(p) - 1)}
+        self.valid: dict[tuple[str, str], bool] = {}
         self._memo: dict[str, list[int]] = {}
+        self._older: dict[str, list[int]] = {}
         self.surface = self._surfaces(n)
 
     def _surfaces(self, n: int) -> list[bytes]:
@@ -83,20 +88,12 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stable(self, piece: str) -> bool:
-        known = self._stable.get(piece)
-        if known is None:
-            known = self._stable[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return known
-
     def neighbours(self, left: str, right: str) -> bool:
-        """Whether two pieces, merged on their own, stay as they are."""
-        known = self._valid.get((left, right))
-        if known is None:
-            if len(self._valid) > 4 * CACHE:
-                self._valid.clear()
-            known = self._valid[left, right] = self.merged(left + right) == [left, right]
-        return known
+        """Whether two pieces, merged on their own, stay as they are; with no left one, whether the right does."""
+        if len(self.valid) > 4 * CACHE:
+            self.valid.clear()
+        fits = self.valid[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return fits
 
     def piece_ids(self, piece: str) -> list[int]:
         own = self.ids.get(piece)
@@ -114,15 +111,34 @@ class Model:
         memo = self._memo
         for word in self.segment.findall(normal):
             found = memo.get(word)
-            if found is None:
-                found = list(stream(self, word))
-                if len(word) <= _LONGEST_MEMO:
-                    if len(memo) >= CACHE:
-                        memo.clear()
-                    memo[word] = found
-            out += found
+            out += self._word(word) if found is None else found
+        if len(memo) > CACHE:  # words in use move on to the new memo, the others are forgotten
+            self._memo, self._older = {}, memo
         return out
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word that is not in the memo: from the one before, or part by part, as paths meet
+        between two characters that no piece holds side by side."""
+        found = self._older.get(word)
+        if found is None:
+            pairs, parts, at = self.pairs, [], 0
+            for k in range(1, len(word)):
+                if word[k - 1 : k + 1] not in pairs:
+                    parts.append(word[at:k])
+                    at = k
+            if at:
+                parts.append(word[at:])
+                found = [i for part in parts for i in (self._memo.get(part) or self._word(part))]
+            elif len(word) <= 2 * self.longest:  # the word is all of the window
+                back, total = [0] + [-1] * len(word), [0.0] * (len(word) + 1)
+                _expand(self, word, back, total, "", 0, len(word))
+                found = [i for piece in _pieces(word, back, len(word)) for i in self.piece_ids(piece)]
+            else:
+                found = list(stream(self, word))
+        if len(word) <= _LONGEST_MEMO:
+            self._memo[word] = found
+        return found
+
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
@@ -157,59 +173,76 @@ def _model_type(content: bytes) -> int:
 
 
 def stream(model: Model, characters: Iterable[str]) -> Iterator[int]:
-    """Ids of normalised characters, committed as soon as every surviving path agrees."""
-    longest, ids, bpe = model.longest, model.ids, model.bpe
+    """Ids of normalised characters, committed as soon as every surviving path agrees.
+
+    A position is expanded into the pieces that begin there once as many characters follow as
+    the longest piece has, or none do.
+    """
+    longest = model.longest
     window = ""  # characters behind the last committed boundary
-    back: list[int] = [0]  # start of the last piece, by position in the window
-    total: list[float] = [0.0]
-    before = ""  # the piece that ends at the committed boundary
-    alive: list[bool] = [True]
-    for sign in characters:
-        window += sign
-        end = len(window)
-        best, start = None, -1
-        for begin in range(max(0, end - longest), end):
-            if not alive[begin]:
-                continue
-            piece = window[begin:end]
-            known = piece in ids
-            if not known and end - begin > 1:
-                continue
-            if bpe:
-                left = window[back[begin] : begin] if begin else before
-                if model.stable(piece) and (not left or model.neighbours(left, piece)):
-                    best, start = 0.0, begin
-                    break
-            else:
-                score = total[begin] + (model.scores[piece] if known else model.unknown_score)
-                if best is None or score > best:
-                    best, start = score, begin
-        alive.append(best is not None)
-        back.append(start)
-        total.append(best or 0.0)
-        if end >= 2 * longest:
-            cut = _meeting(back, alive, longest)
-            if cut:
-                pieces = _pieces(window, back, cut)
-                for piece in pieces:
-                    yield from model.piece_ids(piece)
-                before, window = pieces[-1], window[cut:]
-                base = total[cut]
-                back = [max(0, b - cut) for b in back[cut:]]
-                total, alive = [t - base for t in total[cut:]], alive[cut:]
+    back, total = [0], [0.0]  # start of the last piece and score of the path, by position
+    before, done = "", 0  # the piece that ends at the committed boundary; positions expanded
+    source = iter(characters)
+    while True:
+        more = "".join(islice(source, 2 * longest))
+        window += more
+        size = len(window)
+        back += [-1] * (size + 1 - len(back))
+        total += [0.0] * (size + 1 - len(total))
+        ready = size - longest if more else size
+        if ready > done:
+            _expand(model, window, back, total, before, done, ready)
+            done = ready
+        if not more:
+            break
+        cut = _meeting(back, done)
+        if cut:
+            pieces = _pieces(window, back, cut)
+            for piece in pieces:
+                yield from model.piece_ids(piece)
+            before, window, done = pieces[-1], window[cut:], done - cut
+            base = total[cut]
+            back = [max(-1, b - cut) for b in back[cut:]]
+            back[0] = 0
+            total = [t - base for t in total[cut:]]
     for piece in _pieces(window, back, len(window)):
         yield from model.piece_ids(piece)
 
 
-def _meeting(back: list[int], alive: list[bool], longest: int) -> int:
-    """The last boundary that the paths of all positions in reach of later pieces pass."""
-    end = len(back) - 1
-    heads = {k for k in range(max(0, end - longest + 1), end + 1) if alive[k]}
+def _expand(model: Model, window: str, back: list[int], total: list[float], before: str, first: int, last: int) -> None:
+    """Enter the pieces that begin at the positions into the positions where they end."""
+    ids, prefixes, valid, bpe = model.ids, model.prefixes, model.valid, model.bpe
+    size = len(window)
+    for begin in range(first, last):
+        left = (window[back[begin] : begin] if begin else before) if bpe else ""
+        end = begin + 1
+        piece = window[begin:end]
+        while True:
+            known = piece in ids
+            if known or end == begin + 1:
+                if not bpe:
+                    score = total[begin] + (model.scores[piece] if known else model.unknown_score)
+                    if back[end] < 0 or score > total[end]:
+                        back[end], total[end] = begin, score
+                elif back[end] < 0:
+                    fits = valid.get((left, piece))
+                    if model.neighbours(left, piece) if fits is None else fits:
+                        back[end] = begin
+            end += 1
+            if end > size or piece not in prefixes:
+                break
+            piece = window[begin:end]
+
+
+def _meeting(back: list[int], done: int) -> int:
+    """The last boundary that the paths of all positions that later pieces can follow pass: those from
+    the first unexpanded one on."""
+    heads = {k for k in range(done, len(back)) if back[k] >= 0}
     while len(heads) > 1:
         last = max(heads)
         heads.remove(last)
         heads.add(back[last])
-    return heads.pop() if heads else 0
+    return min(heads.pop(), done) if heads else 0
 
 
 def _pieces(window: str, back: list[int], end: int) -> list[str]:
