@@ -22,6 +22,7 @@ table gives files without blocks, which read back as an empty table.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as file:
+            rules = json.load(file)
+        self.folds = '"Lowercase"' in json.dumps(rules["normalizer"])
+        # the pattern has letters, and signs that are neither letters nor numbers, in parts of their own
+        self.apart = r"[\p{L}]+" in (text := json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\")) and r"[^\s\p{L}\p{N}]+" in text
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kind = kind
@@ -77,6 +83,14 @@ class WordEncoder:
         for word, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist(), strict=True):
             self.memo[word] = raw[a:b]
 
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """A word of letters with a full stop or comma as these two, in lower case if the file's normaliser
+        sees no difference; other words whole."""
+        stem, tail = (word[:-1], (word[-1],)) if word[-1:] in (".", ",") else (word, ())
+        if not stem.isalpha() or not self.apart:
+            return (word,)
+        return (stem.lower() if self.folds and stem.isascii() else stem, *tail)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned ids of every text."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -84,11 +98,14 @@ class WordEncoder:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         fresh = {w for words in split for w in words if w not in memo}
-        known = {w: older[w] for w in fresh if w in older}
-        memo.update(known)
-        fresh = list(fresh - known.keys())
-        for at in range(0, len(fresh), 1000):
-            self._learn(fresh[at : at + 1000])
+        made = {w: parts for w in fresh if w not in older and (parts := self._parts(w)) != (w,)}
+        need = {x for parts in made.values() for x in parts if x not in memo} | (fresh - made.keys())
+        memo.update((w, older[w]) for w in need if w in older)
+        need = [w for w in need if w not in memo]
+        for at in range(0, len(need), 1000):
+            self._learn(need[at : at + 1000])
+        for word, parts in made.items():
+            memo[word] = b"".join([memo[x] for x in parts])
         return [b"".join([memo[w] for w in words]) for words in split]
 
 
