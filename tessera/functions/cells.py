@@ -4,24 +4,21 @@
           strictly, so a finer resolution only splits them.
 ``hex``   hexagons on the Lambert cylindrical equal-area plane, edge 1100 km / sqrt(7)^res.
           Cells of one resolution have equal area; they do not nest.
-``h3``    the H3 grid, when the ``h3`` package is installed.
 
-A cell id is written as 15 hexadecimal digits. Ids of ``quad`` and ``hex`` are this
-package's own; they are not H3 ids.
+The ids are this package's own.
 """
 
 from __future__ import annotations
 
-import importlib.util
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.errors import CapabilityUnavailableError, InvalidRequestError
+from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import EARTH_RADIUS_KM
 
-GRIDS = ("quad", "hex", "h3")
+GRIDS = ("quad", "hex")
 MIN_RESOLUTION, MAX_RESOLUTION = 0, 15
 
 # id = resolution << 54 | x << 27 | y; hexagon coordinates are shifted to be positive.
@@ -106,14 +103,6 @@ def _hex_centre(cell: Column, resolution: int) -> tuple[Column, Column]:
     return F.degrees(x / F.lit(EARTH_RADIUS_KM)), F.degrees(F.asin(sine))
 
 
-def _require_h3() -> None:
-    if importlib.util.find_spec("h3") is None:
-        raise CapabilityUnavailableError(
-            "grid='h3' needs the h3 package on the driver and the executors; "
-            "grid='quad' and grid='hex' work without it"
-        )
-
-
 def cell_id(lon: Column, lat: Column, resolution: int, grid: str = "quad") -> Column:
     """The cell holding a point, as a bigint."""
     check_resolution(resolution)
@@ -121,11 +110,6 @@ def cell_id(lon: Column, lat: Column, resolution: int, grid: str = "quad") -> Co
         return _quad_cell(lon, lat, resolution)
     if grid == "hex":
         return _hex_cell(lon, lat, resolution)
-    if grid == "h3":
-        _require_h3()
-        from tessera.functions.h3grid import h3_cell
-
-        return h3_cell(lat, lon, F.lit(resolution))
     raise InvalidRequestError(f"unknown grid {grid!r}; choose one of {', '.join(GRIDS)}")
 
 
@@ -135,12 +119,6 @@ def cell_centre(cell: Column, resolution: int, grid: str = "quad") -> tuple[Colu
         return _quad_centre(cell, resolution)
     if grid == "hex":
         return _hex_centre(cell, resolution)
-    if grid == "h3":
-        _require_h3()
-        from tessera.functions.h3grid import h3_centre
-
-        centre = h3_centre(cell)
-        return centre.getField("lon"), centre.getField("lat")
     raise InvalidRequestError(f"unknown grid {grid!r}; choose one of {', '.join(GRIDS)}")
 
 

@@ -40,12 +40,12 @@ from tessera.plans.staging import broadcast_if, measured, stage
 
 # In-memory bytes of the tile table up to which it is broadcast.
 BROADCAST_BYTES = 128 << 20
+# In-memory bytes of one row of the list of tiles that are split.
+HOT_ROW_BYTES = 64
 # Candidate pairs (points times polygons) of one tile up to which one task handles it ...
 TILE_PAIRS = 20_000_000
-# ... polygon rows per task in a tile that is split ...
+# ... and polygon rows per task in a tile that is split.
 TILE_POLYGONS = 10_000
-# ... and the most tiles that may be treated as hot: the list of them is broadcast.
-MAX_HOT_TILES = 10_000
 
 
 def tile_table(
@@ -125,15 +125,18 @@ def _candidates(
     return _shuffled_join(keyed, tiles, columns, tile_pairs)
 
 
-def _tile_facts(tiles: DataFrame) -> dict:
+def _tile_facts(tiles: DataFrame, kept: Sequence[str] = ()) -> dict:
+    """What the tile table holds; its in-memory size counts the kept columns, which every tile repeats."""
+    carried = F.octet_length(F.to_json(F.struct(*kept))) if kept else F.lit(0)
     facts = measured(
         tiles,
+        carried=F.coalesce(F.sum(carried), F.lit(0)),
         rows=F.count(F.lit(1)),
         edges=F.coalesce(F.sum(F.size("edges")) / 4, F.lit(0)),
         chunks=F.coalesce(F.max("chunks"), F.lit(1)),
         levels=F.sort_array(F.collect_set("level")),
     )
-    return facts | {"size": 160 * facts["rows"] + 40 * facts["edges"]}
+    return facts | {"size": 160 * facts["rows"] + 40 * facts["edges"] + facts["carried"]}
 
 
 def contained_pairs(
@@ -144,13 +147,27 @@ def contained_pairs(
     broadcast_bytes: int = BROADCAST_BYTES,
     tile_pairs: int = TILE_PAIRS,
 ) -> DataFrame:
-    """``point_columns, polygon_columns, weight`` for every polygon and point inside it.
+    """``point_columns, polygon_columns``: one row for every polygon and point inside it.
 
     `points` has ``__x`` and ``__y`` (`with_coordinates`), `tiles` is a **staged** tile
-    table. Equal points may come back as one row with their number as ``weight``. Points
-    on a polygon's boundary are not inside it.
+    table. Points on a polygon's boundary are not inside it. Equal points that were merged
+    on the way to a hot tile become rows of their own again, so no limit changes the result.
     """
-    facts = _tile_facts(tiles)
+    pairs = _weighted_pairs(points, tiles, point_columns, polygon_columns, broadcast_bytes, tile_pairs)
+    again = pairs.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
+    return again.select(*point_columns, *polygon_columns)
+
+
+def _weighted_pairs(
+    points: DataFrame,
+    tiles: DataFrame,
+    point_columns: Sequence[str],
+    polygon_columns: Sequence[str],
+    broadcast_bytes: int,
+    tile_pairs: int,
+) -> DataFrame:
+    """`contained_pairs` with equal points merged where that saves work: their number is ``weight``."""
+    facts = _tile_facts(tiles, polygon_columns)
     split = facts["chunks"] > 1
     base = points.select(*point_columns, "__x", "__y", F.lit(1).cast("bigint").alias("weight"))
     joined = _candidates(base, tiles, facts, lambda level: [], broadcast_bytes, tile_pairs)
@@ -233,7 +250,7 @@ def areas_in_polygons(
     their rectangle are fetched and the geometry is tested against those edges alone; the
     number of such tiles is bounded by the polygon's own.
     """
-    facts = _tile_facts(tiles)
+    facts = _tile_facts(tiles, [*polygon_columns, "__env"])
     outlined = areas.select(F.col(geometry).alias("__wkb"), _outline(F.col(geometry)).alias("__o"))
     base = outlined.where(F.col("__o.x").isNotNull()).select(
         "__wkb", "__o", F.col("__o.x").alias("__x"), F.col("__o.y").alias("__y"), F.lit(1).cast("bigint").alias("weight")
@@ -291,8 +308,8 @@ def _shuffled_join(
 ) -> DataFrame:
     """Both sides by tile, with the tiles that mean too many candidate pairs split.
 
-    The threshold is never below a fixed share of all pairs, so there are at most
-    `MAX_HOT_TILES` hot tiles and their list may be broadcast. In a hot tile equal points
+    Every tile beyond the threshold is split, however many there are; the list of them is
+    broadcast only if its measured size allows. In a hot tile equal points
     are first merged (one place can hold any number of them). The points then go to
     ``point_parts`` groups and the polygons to ``polygon_parts`` groups, by hashes of their
     content, which a re-run task reproduces; each pair of groups meets in one task.
@@ -305,19 +322,18 @@ def _shuffled_join(
     load = stage(
         held.join(stacked, keys).withColumn("pairs", F.col("held").cast("double") * F.col("stacked")), "tile-load"
     )
-    facts = measured(load, total=F.coalesce(F.sum("pairs"), F.lit(0.0)), largest=F.max("pairs"))
-    threshold = float(max(tile_pairs, facts["total"] / MAX_HOT_TILES))
-    if (facts["largest"] or 0.0) <= threshold:
+    threshold = float(tile_pairs)
+    n_hot = measured(load, hot=F.count_if(F.col("pairs") > threshold))["hot"]
+    if not n_hot:
         return keyed.join(tiles, keys)
     polygon_parts = F.ceil(F.col("stacked") / F.lit(TILE_POLYGONS))
     per_group = F.col("held") * F.col("stacked") / polygon_parts
-    hot = F.broadcast(
-        load.where(F.col("pairs") > threshold).select(
-            *keys,
-            F.ceil(per_group / F.lit(threshold)).cast("int").alias("point_parts"),
-            polygon_parts.cast("int").alias("polygon_parts"),
-        )
+    hot = load.where(F.col("pairs") > threshold).select(
+        *keys,
+        F.ceil(per_group / F.lit(threshold)).cast("int").alias("point_parts"),
+        polygon_parts.cast("int").alias("polygon_parts"),
     )
+    hot = broadcast_if(hot, HOT_ROW_BYTES * n_hot, BROADCAST_BYTES)
     cold = keyed.join(hot, keys, "left_anti").join(tiles, keys)
 
     def group_of(content: Sequence[str], parts: str) -> Column:
@@ -360,8 +376,7 @@ def points_in_polygons(
 ) -> DataFrame:
     """The containment join itself: every (point, polygon around it).
 
-    `polygon_columns` are ``path AS alias`` items. Equal points (in all the columns asked
-    for) may be returned once with their number in ``weight``.
+    `polygon_columns` are ``path AS alias`` items. Every pair is a row, at every size.
     """
     keep = projection(polygons, None, tuple(polygon_columns))
     tiles = stage(tile_table(within(polygons, box, polygon_bbox), keep, polygon_geometry, box=box), "tiles")
@@ -419,7 +434,7 @@ def count_in_polygons(
         inside = areas_in_polygons(chosen, tiles, names, point_geometry, **limits)
     else:
         located = with_coordinates(chosen, point_bbox, point_geometry)
-        inside = contained_pairs(located, tiles, polygon_columns=names, **limits)
+        inside = _weighted_pairs(located, tiles, (), names, **limits)
     counts = inside.groupBy("polygon_name", "polygon_subtype").agg(F.sum("weight").alias("feature_count"))
     return top(
         counts,

@@ -130,32 +130,46 @@ def preview(
 ) -> DataFrame:
     """The first n rows in file order.
 
-    Only as many leading files as hold n rows are read; their row counts come from the
-    footers. A DataFrame that does not come straight from files has no file order, and
-    its first n rows are whatever Spark produces first.
+    The given DataFrame is read, with whatever filters and projections it has. Of a bare
+    scan only as many leading files as hold n rows are read. A DataFrame without file
+    positions has no file order, and its first n rows are whatever Spark produces first.
     """
-    if not 1 <= n <= 100:
-        raise InvalidRequestError(f"a preview holds 1 to 100 rows, got {n}")
+    if n < 1:
+        raise InvalidRequestError(f"a preview holds at least one row, got {n}")
     chosen = projection(df, columns, default_columns)
-    files = sorted(df.inputFiles()) if _is_file_scan(df) else []
-    if not files:
+    if not _has_positions(df):
         return df.select(*chosen).limit(n)
-    spark, held, taken = df.sparkSession, 0, 0
-    while taken < len(files) and held < n:
-        held += spark.read.schema(df.schema).parquet(files[taken]).count()
-        taken += 1
-    head = spark.read.schema(df.schema).parquet(*files[:taken])
     position = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-    return head.orderBy(*position).limit(n).select(*chosen)
+    last = _last_file_needed(df, n) if _is_bare_scan(df) else None
+    head = df if last is None else df.where(position[0] <= last)
+    placed = head.select(*chosen, *(p.alias(f"__at{k}") for k, p in enumerate(position)))
+    return placed.orderBy("__at0", "__at1").limit(n).drop("__at0", "__at1")
 
 
-def _is_file_scan(df: DataFrame) -> bool:
+def _has_positions(df: DataFrame) -> bool:
     try:
         return df.select("_metadata.row_index").schema[0].dataType == T.LongType()
-    except Exception:  # no such hidden column: not a file scan
+    except Exception:  # no such hidden column: not from files
         return False
 
 
+def _is_bare_scan(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def _last_file_needed(df: DataFrame, n: int) -> str | None:
+    """The file that holds the n-th row, from row counts (no column is read) of the first files; None
+    if those hold fewer."""
+    files = sorted(df.inputFiles())[:n]
+    first = df.where(F.col("_metadata.file_path") <= files[-1]) if files else df.limit(0)
+    held = 0
+    for row in first.groupBy(F.col("_metadata.file_path").alias("file")).count().orderBy("file").collect():
+        held += row["count"]
+        if held >= n:
+            return row["file"]
+    return None
+
+
 def with_file_name(df: DataFrame, name: str = "filename") -> DataFrame:
     """Every row with the path of the file it was read from."""
     return df.select("*", F.col("_metadata.file_path").alias(name))

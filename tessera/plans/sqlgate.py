@@ -164,9 +164,9 @@ def check_sql(spark: SparkSession, catalog: Catalog, sql: str) -> tuple[str, lis
 
 
 def run_sql(
-    spark: SparkSession, catalog: Catalog, sql: str, max_rows: int | None = 100
+    spark: SparkSession, catalog: Catalog, sql: str, max_rows: int | None = None
 ) -> DataFrame:
-    """The result of one read-only SELECT, cut to `max_rows` whatever it asks for.
+    """The result of one read-only SELECT; with `max_rows`, cut to that whatever it asks for.
 
     Only the datasets it names are bound, and only while Spark analyses the text; temp
     views of the same name are put back afterwards.

@@ -275,7 +275,7 @@ def test_counts_equal_brute_force(spark, mosaic, options, edges_per_row):
     pairs = containment.contained_pairs(
         containment.with_coordinates(points, geometry=None), staged, polygon_columns=["polygon_name", "polygon_subtype"], **options
     )
-    rows = pairs.groupBy("polygon_name", "polygon_subtype").agg(F.sum("weight").alias("n")).collect()
+    rows = pairs.groupBy("polygon_name", "polygon_subtype").agg(F.count("*").alias("n")).collect()
     assert {(r["polygon_name"], r["polygon_subtype"]): r["n"] for r in rows} == wanted
 
 
@@ -408,7 +408,20 @@ def test_pairs_keep_their_points(spark, mosaic):
         odd, on = geo.locate(xy[:, 0], xy[:, 1], geo.ring_edges(rings))
         wanted |= {(int(i), name, subtype) for i in np.flatnonzero(odd & ~on)}
     assert {(r["id"], r["polygon_name"], r["subtype"]) for r in pairs} == wanted
-    assert all(r["weight"] == 1 for r in pairs)
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "tile_pairs": 10}, {"broadcast_bytes": 0, "tile_pairs": 1}])
+def test_equal_points_are_rows_of_their_own_at_every_limit(spark, mosaic, limits):
+    named, xy, wanted = mosaic
+    thrice = np.concatenate([xy, xy, xy])
+    pairs = containment.points_in_polygons(
+        point_frame(spark, thrice[:, 0], thrice[:, 1]).select(F.lit("p").alias("label"), "bbox"),
+        spark.createDataFrame(polygon_rows(named), POLYGON_SCHEMA),
+        point_columns=["label"], polygon_columns=["names.primary AS polygon_name", "subtype"], point_geometry=None, **limits,
+    )
+    assert pairs.columns == ["label", "polygon_name", "subtype"]
+    got = {(r["polygon_name"], r["subtype"]): r["count"] for r in pairs.groupBy("polygon_name", "subtype").count().collect()}
+    assert got == {k: 3 * n for k, n in wanted.items()}
 
 
 # -- statistics -----------------------------------------------------------------------

@@ -250,6 +250,13 @@ ORACLES: dict[str, str] = {
     "read_forcing": f"SELECT count(*) AS matches, max(length(name)) AS longest_name FROM {_PLACES} WHERE {_in(BOX)}",
     "busiest_file": "SELECT 'orders.parquet' AS filename, count(*) AS matches FROM orders WHERE o_totalprice >= 1000.0",
     "preview": "SELECT c_custkey, c_name FROM customer LIMIT 7",
+    "preview_filtered": "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 7",
+    "preview_view": f"SELECT id, category FROM {_from('visits')} WHERE id > 20 ORDER BY id LIMIT 5",
+    "filter_limited": f"SELECT id, measure FROM {_from('visits')} WHERE {_in(BOX)} ORDER BY id LIMIT 1400",
+    "sql_limit": "SELECT * FROM (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50) LIMIT 12",
+    "file_names": "SELECT 'customer.parquet' AS file, count(*) AS row_count FROM customer",
+    "geojson_geometry": f"SELECT id, 'Point' AS type, lon, lat FROM {_from('visits')}",
+    "footprint": "SELECT count(*) AS row_count, cast(1 as bigint) AS files, true AS has_bytes FROM orders",
     "nearest_point": _nearest(2.35, 48.85, 400.0),
     "nearest_all_in_radius": _nearest(-70.25, -12.5, 350.0, "parcels", k=None),
     "nearest_pole": _nearest(30.0, 89.5, 450.0, span=18000),
@@ -293,7 +300,8 @@ ORACLES: dict[str, str] = {
     "pip_counts_wkb": _counts(_from("visits"), "areas"),
     "pip_counts_shuffled": _counts(_from("visits"), "zones"),
     "pip_counts_hot_tiles": _counts(_from("parcels"), "zones"),
-    "pip_pairs": f"SELECT *, cast(1 as bigint) AS weight FROM ({_inside(_from('visits'), 'zones', 'id, polygon_name')})",
+    "pip_pairs": _inside(_from("visits"), "zones", "id, polygon_name"),
+    "pip_pairs_hot": f"SELECT id % 5 AS label, polygon_name FROM ({_inside(_from('visits'), 'zones', 'id, polygon_name')}) p, range(3)",
     "pip_areas": _areas_inside("plots", "areas"),
     "footer_footprint": " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS row_count, cast(1 as bigint) AS files FROM {name}"

@@ -118,6 +118,39 @@ def _pip_pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _pip_pairs_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point three times under labels that many points share, in tiles that are all split."""
+    visits = points(spark, sf, "visits").withColumn("label", (F.col("id") % 5).cast("bigint"))
+    return containment.points_in_polygons(
+        visits.withColumn("copy", F.explode(F.array(*map(F.lit, range(3))))).drop("copy"),
+        polygons(spark, sf, "zones"),
+        point_columns=["label"],
+        polygon_columns=["names.primary AS polygon_name"],
+        point_geometry=None,
+        broadcast_bytes=0,
+        tile_pairs=10,
+    )
+
+
+def _file_names(spark: SparkSession, sf: str) -> DataFrame:
+    named = features.with_file_name(table(spark, sf, "customer"))
+    return named.groupBy(F.regexp_extract("filename", r"([a-z]+\.parquet)", 1).alias("file")).agg(F.count("*").alias("row_count"))
+
+
+def _geojson_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Points through binary geometry and back out of its GeoJSON text."""
+    from tessera.functions.spatial import st_asgeojson, st_point
+
+    text = st_asgeojson(st_point(F.col("lon"), F.col("lat")))
+    read = points(spark, sf, "visits").select("id", F.from_json(text, "type string, coordinates array<double>").alias("g"))
+    return read.select("id", "g.type", F.col("g.coordinates")[0].alias("lon"), F.col("g.coordinates")[1].alias("lat"))
+
+
+def _orders_footprint(spark: SparkSession, sf: str) -> DataFrame:
+    whole = footers.footprint(footers.footers(spark, f"{sf}/orders.parquet"))
+    return whole.select("row_count", "files", (F.col("bytes") > 0).alias("has_bytes"))
+
+
 def _wkt(wkt: str, view: str = "visits") -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         df = lattice(spark, sf) if view == "lattice" else points(spark, sf, view)
@@ -280,6 +313,16 @@ QUERIES: dict[str, Query] = {
     "extent_scan": lambda spark, sf: features.extent_by_scan(points(spark, sf, "parcels")),
     "read_forcing": lambda spark, sf: features.forced_read(places(spark, sf), BOX, "names.primary"),
     "busiest_file": _busiest,
+    "preview_filtered": lambda spark, sf: features.preview(
+        table(spark, sf, "customer").where("c_custkey > 100"), ["c_custkey", "c_name"], 7
+    ),
+    "preview_view": lambda spark, sf: features.preview(points(spark, sf, "visits").where("id > 20"), ["id", "category"], 5),
+    "filter_limited": lambda spark, sf: features.spatial_filter(
+        points(spark, sf, "visits"), box=BOX, columns=["id", "measure"], geometry=None, limit=1400, order_by=["id"]
+    ).drop(features.GEOMETRY),
+    "sql_limit": lambda spark, sf: run_sql(
+        spark, catalog(sf), "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50", max_rows=12
+    ),
     "preview": lambda spark, sf: features.preview(table(spark, sf, "customer"), ["c_custkey", "c_name"], 7),
     # nearest
     "nearest_point": _nearest(2.35, 48.85, 400.0),
@@ -324,11 +367,15 @@ QUERIES: dict[str, Query] = {
     "pip_counts_shuffled": _pip("visits", "zones", broadcast_bytes=0),
     "pip_counts_hot_tiles": _pip("parcels", "zones", broadcast_bytes=0, tile_pairs=60),
     "pip_pairs": _pip_pairs,
+    "pip_pairs_hot": _pip_pairs_hot,
     "pip_areas": lambda spark, sf: containment.count_in_polygons(
         polygons(spark, sf, "plots"), polygons(spark, sf, "areas"), subtype_column="subtype", areal=True
     ),
     # footers
     "footer_footprint": _footprint,
+    "footprint": _orders_footprint,
+    "file_names": _file_names,
+    "geojson_geometry": _geojson_geometry,
     "footer_bounds": _footer_bounds,
     "footer_extent": _footer_extent,
     "footer_pruning": _footer_pruning,
