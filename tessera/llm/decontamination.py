@@ -33,7 +33,7 @@ Q = 12
 PROBE, STRIDE = 100, 50
 #: Edits allowed per character of a probe.
 EDIT_RATE = 0.05
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 _FILTER_BITS = 22
 _OTHER = re.compile(r"[\W_]+")
 

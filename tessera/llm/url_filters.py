@@ -30,7 +30,7 @@ from tessera.llm.common import INNER
 from tessera.plans.staging import stage
 
 ALLOW, BLOCK = "allow", "block"
-MAX_BITS = 1 << 27
+MAX_BITS = 1 << 25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
