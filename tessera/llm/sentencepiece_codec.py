@@ -24,9 +24,11 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,9 @@ SPACE = "▁"
 #: Words in a worker's memo, and in the one before it.
 CACHE = 400_000
 _LONGEST_MEMO = 40
+#: The code before any piece, and a factor over all codes.
+START = 1 << 22
+WIDE = 1 << 23
 
 
 class Model:
@@ -49,6 +54,15 @@ class Model:
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.scores = {piece: sp.get_score(i) for piece, i in self.ids.items()}
+        self.names = [sp.id_to_piece(i) for i in range(n)]
+        self.score_of = [sp.get_score(i) for i in range(n)]
+        # nodes are (children by character, id of the piece that ends here or -1)
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for sign in piece[:-1]:
+                node = node.setdefault(sign, [{}, -1])[0]
+            node.setdefault(piece[-1], [{}, -1])[1] = i
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.longest = max(map(len, self.ids))
         self.bpe = _model_type(content) == 2
@@ -60,11 +74,10 @@ class Model:
         joined = set("".join(long))
         solo = re.escape("".join(c for c in "\n\t" if c not in joined))
         self.segment = re.compile(f"{SPACE}+[^{SPACE}{solo}]*|[{solo}]|[^{SPACE}{solo}]+" if solo else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.prefixes = {p[:k] for p in long for k in range(1, len(p))}
         self.pairs = {p[k : k + 2] for p in long for k in range(len(p) - 1)}
-        self.valid: dict[tuple[str, str], bool] = {}
-        self._memo: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self.valid: dict[int, bool] = {}
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self.surface = self._surfaces(n)
 
     def _surfaces(self, n: int) -> list[bytes]:
@@ -88,35 +101,48 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def neighbours(self, left: str, right: str) -> bool:
-        """Whether two pieces, merged on their own, stay as they are; with no left one, whether the right does."""
+    def text_of(self, code: int) -> str:
+        """The text of a code: an id, or beyond the ids a character that is no piece; empty for `START`."""
+        n = len(self.names)
+        return "" if code == START else self.names[code] if code < n else chr(code - n)
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether two codes, merged on their own, stay as they are; after `START`, whether one does."""
         if len(self.valid) > 4 * CACHE:
             self.valid.clear()
-        fits = self.valid[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        parts = [self.text_of(code) for code in (left, right)]
+        fits = self.valid[left * WIDE + right] = self.merged("".join(parts)) == [x for x in parts if x]
         return fits
 
-    def piece_ids(self, piece: str) -> list[int]:
-        own = self.ids.get(piece)
-        if own is not None:
-            return [own]
-        if self.bytes:
-            return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return [self.unknown]
+    def ids_of(self, codes: Iterable[int]) -> list[int]:
+        """Ids of codes: a character that is no piece has its bytes' ids, or the unknown id."""
+        n, out = len(self.names), []
+        for code in codes:
+            if code < n:
+                out.append(code)
+            elif self.bytes:
+                out += [self.bytes[b] for b in chr(code - n).encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.unknown)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as native 32-bit integers."""
         normal = self.library.normalize(text or "")
         if self.crosses:
-            return list(stream(self, normal))
-        out: list[int] = []
-        memo = self._memo
+            return array("i", stream(self, normal)).tobytes()
+        memo, out = self._memo, []
         for word in self.segment.findall(normal):
             found = memo.get(word)
-            out += self._word(word) if found is None else found
+            out.append(self._word(word) if found is None else found)
         if len(memo) > CACHE:  # words in use move on to the new memo, the others are forgotten
             self._memo, self._older = {}, memo
-        return out
+        return b"".join(out)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of a word that is not in the memo: from the one before, or part by part, as paths meet
         between two characters that no piece holds side by side."""
         found = self._older.get(word)
@@ -128,13 +154,14 @@ class Model:
                     at = k
             if at:
                 parts.append(word[at:])
-                found = [i for part in parts for i in (self._memo.get(part) or self._word(part))]
+                found = b"".join([self._memo.get(part) or self._word(part) for part in parts])
             elif len(word) <= 2 * self.longest:  # the word is all of the window
-                back, total = [0] + [-1] * len(word), [0.0] * (len(word) + 1)
-                _expand(self, word, back, total, "", 0, len(word))
-                found = [i for piece in _pieces(word, back, len(word)) for i in self.piece_ids(piece)]
+                size = len(word)
+                back, last, total = [0] + [-1] * size, [START] * (size + 1), [0.0] * (size + 1)
+                _expand(self, word, back, last, total, 0, size)
+                found = array("i", self.ids_of(_codes(back, last, size))).tobytes()
             else:
-                found = list(stream(self, word))
+                found = array("i", stream(self, word)).tobytes()
         if len(word) <= _LONGEST_MEMO:
             self._memo[word] = found
         return found
@@ -179,59 +206,61 @@ def stream(model: Model, characters: Iterable[str]) -> Iterator[int]:
     the longest piece has, or none do.
     """
     longest = model.longest
-    window = ""  # characters behind the last committed boundary
-    back, total = [0], [0.0]  # start of the last piece and score of the path, by position
-    before, done = "", 0  # the piece that ends at the committed boundary; positions expanded
+    window, done = "", 0  # characters behind the last committed boundary; positions expanded
+    # by position: start and code of the last piece, score of the path
+    back, last, total = [0], [START], [0.0]
     source = iter(characters)
     while True:
         more = "".join(islice(source, 2 * longest))
         window += more
         size = len(window)
         back += [-1] * (size + 1 - len(back))
+        last += [START] * (size + 1 - len(last))
         total += [0.0] * (size + 1 - len(total))
         ready = size - longest if more else size
         if ready > done:
-            _expand(model, window, back, total, before, done, ready)
+            _expand(model, window, back, last, total, done, ready)
             done = ready
         if not more:
             break
         cut = _meeting(back, done)
         if cut:
-            pieces = _pieces(window, back, cut)
-            for piece in pieces:
-                yield from model.piece_ids(piece)
-            before, window, done = pieces[-1], window[cut:], done - cut
-            base = total[cut]
+            yield from model.ids_of(_codes(back, last, cut))
+            window, done, base = window[cut:], done - cut, total[cut]
             back = [max(-1, b - cut) for b in back[cut:]]
             back[0] = 0
-            total = [t - base for t in total[cut:]]
-    for piece in _pieces(window, back, len(window)):
-        yield from model.piece_ids(piece)
+            last, total = last[cut:], [t - base for t in total[cut:]]
+    yield from model.ids_of(_codes(back, last, len(window)))
 
 
-def _expand(model: Model, window: str, back: list[int], total: list[float], before: str, first: int, last: int) -> None:
+def _expand(model: Model, window: str, back: list[int], last: list[int], total: list[float], first: int, until: int) -> None:
     """Enter the pieces that begin at the positions into the positions where they end."""
-    ids, prefixes, valid, bpe = model.ids, model.prefixes, model.valid, model.bpe
-    size = len(window)
-    for begin in range(first, last):
-        left = (window[back[begin] : begin] if begin else before) if bpe else ""
-        end = begin + 1
-        piece = window[begin:end]
-        while True:
-            known = piece in ids
-            if known or end == begin + 1:
-                if not bpe:
-                    score = total[begin] + (model.scores[piece] if known else model.unknown_score)
-                    if back[end] < 0 or score > total[end]:
-                        back[end], total[end] = begin, score
-                elif back[end] < 0:
-                    fits = valid.get((left, piece))
-                    if model.neighbours(left, piece) if fits is None else fits:
-                        back[end] = begin
+    trie, valid, bpe, n, size = model.trie, model.valid, model.bpe, len(model.names), len(window)
+    for begin in range(first, until):
+        node, end, left = trie, begin, last[begin]
+        while end < size:
+            hit = node.get(window[end])
             end += 1
-            if end > size or piece not in prefixes:
+            if hit is None:
+                if end > begin + 1:
+                    break
+                code = -1
+            else:
+                node, code = hit
+            if code < 0 and end == begin + 1:  # a character that is no piece stands for itself
+                code = n + ord(window[begin])
+            if code >= 0:
+                if bpe:
+                    if back[end] < 0:
+                        fits = valid.get(left * WIDE + code)
+                        if model.neighbours(left, code) if fits is None else fits:
+                            back[end], last[end] = begin, code
+                else:
+                    score = total[begin] + (model.score_of[code] if code < n else model.unknown_score)
+                    if back[end] < 0 or score > total[end]:
+                        back[end], last[end], total[end] = begin, code, score
+            if hit is None:
                 break
-            piece = window[begin:end]
 
 
 def _meeting(back: list[int], done: int) -> int:
@@ -245,10 +274,11 @@ def _meeting(back: list[int], done: int) -> int:
     return min(heads.pop(), done) if heads else 0
 
 
-def _pieces(window: str, back: list[int], end: int) -> list[str]:
+def _codes(back: list[int], last: list[int], end: int) -> list[int]:
+    """Codes of the pieces up to a position."""
     out = []
     while end > 0:
-        out.append(window[back[end] : end])
+        out.append(last[end])
         end = back[end]
     return out[::-1]
 
@@ -263,17 +293,15 @@ def model_at(path: str) -> Model:
     return _loaded[path]
 
 
-def _lists(found: list[list[int]]) -> pa.Array:
-    return pa.array(found, pa.list_(pa.int32()))
-
-
 def encode(text: Column, path: str) -> Column:
     """Array of ids of a text."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         model = model_at(path)
-        return _lists([model.encode(t) for t in texts.to_pylist()])
+        found = [model.packed(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
     return ids(text)
 
@@ -284,7 +312,9 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
         model = model_at(path)
-        return pa.array([None if x is None else model.decode(x) for x in lists.to_pylist()], pa.string())
+        flat, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy().tolist()
+        known = lists.is_valid().to_pylist()
+        return pa.array([model.decode(flat[a:b]) if k else None for k, a, b in zip(known, ends[:-1], ends[1:], strict=True)], pa.string())
 
     return texts(ids)
 
