@@ -1,6 +1,6 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic regression over hashed words and style marks gives every document its own evidence
+A logistic regression over words and style marks gives every document its own evidence
 for a label (good quality, toxic). Sites are estimated from that evidence by grouped
 aggregation: the mean of a host is shrunk toward the global mean, that of a path within the
 host toward the host's, each by as many pseudo-documents as the spread between sites warrants
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorSlicer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import broadcast_if, measured, stage
 
 FIT_ROWS = 20_000
-BUCKETS = 1 << 18
+#: Terms of a model: those that the labels set apart most, among terms of so many fitting documents.
+TERMS, MIN_DOCUMENTS = 128, 10
 #: Probabilities are kept this far from 0 and 1.
 EDGE = 1e-6
 #: Pseudo-documents by which sites are shrunk, at least and at most.
@@ -59,10 +60,6 @@ def evidence_terms(text: Column) -> Column:
     return F.concat(distinct, style)
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="terms", outputCol="features").transform(df)
-
-
 def _worst_labels(labels: DataFrame, id: str, worst: dict[str, str]) -> DataFrame:
     """One row a labelled document; ``worst`` says whether min or max of a label is the worse."""
     chosen = [getattr(F, how)(F.col(name)).cast("double").alias(name) for name, how in worst.items()]
@@ -82,21 +79,30 @@ def fit(docs: DataFrame, labels: DataFrame, worst: dict[str, str], id: str = "do
         if stats["classes"] < 2:
             models[name] = stats["ones"] / stats["n"] if stats["n"] else 0.5
             continue
-        models[name] = _fit_one(_vectors(known), name) or stats["ones"] / stats["n"]
+        models[name] = _fit_one(known, name, stats["n"], stats["ones"]) or stats["ones"] / stats["n"]
     return models
 
 
-def _fit_one(known: DataFrame, label: str) -> PipelineModel | None:
-    """A sparse regression picks the buckets that matter, a second one weighs them unshrunk; None if
-    no bucket matters."""
+def _fit_one(known: DataFrame, label: str, n: int, ones: float) -> PipelineModel | None:
+    """A sparse regression over the terms that differ most between the classes picks those that matter,
+    a second one weighs them unshrunk; None if no term matters."""
+    held = known.select(F.explode("terms").alias("term"), label).groupBy("term").agg(F.count("*").alias("n"), F.sum(label).alias("ones"))
+    apart = F.abs(F.col("ones") / ones - (F.col("n") - F.col("ones")) / (n - ones)) / F.sqrt(F.col("n"))
+    rows = held.where(F.col("n") >= MIN_DOCUMENTS).orderBy(apart.desc(), "term").limit(TERMS).collect()
+    if not rows:
+        return None
+    words = [row["term"] for row in rows]
+
+    def counts(vocabulary: list[str]) -> CountVectorizerModel:
+        return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features").setBinary(True)
+
     options = {"featuresCol": "features", "labelCol": label, "maxIter": 50, "regParam": 5e-4, "elasticNetParam": 1.0, "standardization": False}
-    chosen = np.flatnonzero(LogisticRegression(**options).fit(known).coefficients.toArray())
-    if not len(chosen):
+    weights = LogisticRegression(**options).fit(counts(words).transform(known)).coefficients.toArray()
+    chosen = [words[k] for k in np.flatnonzero(weights)]
+    if not chosen:
         return None
-    slicer = VectorSlicer(inputCol="features", outputCol="chosen", indices=chosen.tolist())
-    options |= {"featuresCol": "chosen", "regParam": 1e-4, "elasticNetParam": 0.0}
-    columns = {"probabilityCol": "probability", "rawPredictionCol": "raw", "predictionCol": "predicted"}
-    return Pipeline(stages=[slicer, LogisticRegression(**options, **columns)]).fit(known)
+    options |= {"regParam": 1e-4, "elasticNetParam": 0.0, "probabilityCol": "probability", "rawPredictionCol": "raw", "predictionCol": "predicted"}
+    return Pipeline(stages=[counts(chosen), LogisticRegression(**options)]).fit(known)
 
 
 def evidence(docs: DataFrame, models: dict, host: str, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,12 +111,11 @@ def evidence(docs: DataFrame, models: dict, host: str, path: str, id: str = "doc
         docs[id].alias("id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"),
         F.coalesce(docs[path].cast("string"), F.lit("")).alias("path"), evidence_terms(docs[text]).alias("terms"),
     )
-    df = _vectors(df).drop("terms")
     for name, model in models.items():
         if isinstance(model, float):
             df = df.withColumn(name, F.lit(model))
             continue
-        df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("chosen", "probability", "raw", "predicted")
+        df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("features", "probability", "raw", "predicted")
     clipped = lambda c: F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c))).alias(c)
     return df.select("id", "host", "path", *(clipped(name) for name in models))
 
