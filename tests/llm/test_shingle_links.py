@@ -1,0 +1,59 @@
+"""Near-copies of the pipeline's stage: all pairs of Jaccard similarity 0.8 against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tessera.llm import shingle_links as links
+from tessera.llm import simhash_dedup as dedup
+from tests.llm.conftest import DOC
+from tests.llm.test_simhash_dedup import roots
+
+
+def shingles(text: str) -> set:
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def family(seed: int, size: int) -> list[str]:
+    """Texts of 150 words, each with some words of its own in the place of the first one's."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = []
+    for k in range(size):
+        words = list(base)
+        for at in rng.sample(range(150), k % 6):
+            words[at] = f"own{seed}x{k}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [links.TILE, 3])
+def test_stage_drops_what_is_similar_and_keeps_the_rest(llm, monkeypatch, tile):
+    monkeypatch.setattr(links.similar_roots, "__defaults__", (tile,))
+    texts = [t for seed in range(8) for t in family(seed, 12)]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    rows += [(k + 500, t.upper(), "en", "s", 0) for k, t in enumerate(texts[:3])] + [(900, None, "en", "s", 0), (901, " ", "en", "s", 0)]
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    got = {r.doc_id for r in stage(llm, llm.createDataFrame(rows, DOC), "").collect()}
+    assert got == {*roots(list(range(len(texts))), pairs).values(), 900}
+    apart = dedup.near_copies(llm.createDataFrame(rows[: len(texts)], DOC)).select("component_id").distinct().count()
+    assert len(got) - 1 < apart  # four bits leave similar texts
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_forest_joins_all_similar_pairs(across):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 62, 60, np.uint64))
+    sets = [np.unique(np.append(rng.choice(base, 60 - k % 9, replace=False), rng.integers(0, 1 << 62, k % 5, np.uint64))) for k in range(40)]
+    sides = np.arange(40) % 2 if across else np.zeros(40, int)
+    found = links.forest(sets, np.arange(40), sides, 0.8)
+    want = [(a, b) for a in range(40) for b in range(a) if links.similar(sets[a], sets[b], 0.8) and (not across or sides[a] != sides[b])]
+    assert roots(list(range(40)), found) == roots(list(range(40)), want)
+    assert all((max(p), min(p)) in want for p in found)
