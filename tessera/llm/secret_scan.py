@@ -2,9 +2,10 @@
 
 Strong patterns (assignments, access identifiers, long hexadecimal runs) are always spans.
 Weak candidates - a random-looking token, an account name, an endpoint - mean nothing alone.
-They are joined on position: a token becomes a span only if an identifier lies within
-``REACH`` characters of it in the same scope, the account names that it meets become spans
-with it, and so do endpoints within reach of that pair. A scope is a stretch of text
+They are joined on position: a secret part (a token, or the span of an assignment or a
+hexadecimal run) is linked if an identifier (an account name or access identifier) lies within
+``REACH`` characters of it in the same scope. A linked token becomes a span, the account names
+that a secret part meets become spans with it, and so do endpoints within its reach. A scope is a stretch of text
 without a blank line. The join is a search in sorted positions, so no pairs are written, and
 spans never leave their document, so nothing is shuffled.
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("assign", "access", "hex")
 LINKED_KINDS = ("token", "account", "endpoint")
 KINDS = BASE_KINDS + LINKED_KINDS
+#: Base kinds that are the secret part of a credential, as tokens are.
+SECRET_KINDS = ("assign", "hex")
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -91,7 +94,8 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         return not any(e > start for _, e in covered[max(0, k - 3) : k])
 
     tokens = [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if _looks_random(m[0]) and free(m.start(), m.end())]
-    if not tokens:
+    secrets = tokens + [s for s in base if s[2] in SECRET_KINDS]
+    if not secrets:
         return []
     accounts = [(m.start(), m.end(), "account") for m in _ACCOUNT.finditer(text) if free(m.start(), m.end())]
     identifiers = sorted(accounts + [s for s in base if s[2] == "access"])
@@ -101,12 +105,13 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     scope = [m.end() for m in _BLANK_LINE.finditer(text)]
     id_starts, end_starts = [s[0] for s in identifiers], [s[0] for s in endpoints]
     found: set[Span] = set()
-    for token in tokens:
-        met = _near(token, id_starts, identifiers, scope)
+    for secret in secrets:
+        met = _near(secret, id_starts, identifiers, scope)
         if met:
-            found.add(token)
+            if secret[2] == "token":
+                found.add(secret)
             found.update(s for s in met if s[2] == "account")
-            found.update(_near(token, end_starts, endpoints, scope))
+            found.update(_near(secret, end_starts, endpoints, scope))
     return list(found)
 
 
