@@ -12,7 +12,7 @@ benchmark characters (a few hundred bytes a character at most); a larger benchma
 several chunks, each over all documents. Documents are never shuffled.
 
 Defined cases: null and empty texts leak nothing and null or empty items are not looked for;
-an item shorter than ``q`` characters has no q-gram and cannot be found; repeated items and
+an item shorter than ``Q`` characters is too little to tell a leak and is not looked for; repeated items and
 documents are judged one by one; other columns are carried along; empty tables give what they
 should: no leaks, all documents kept.
 """
@@ -20,7 +20,7 @@ should: no leaks, all documents kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +29,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
-PROBE, STRIDE = 100, 50
-#: Edits allowed per character of a probe.
-EDIT_RATE = 0.05
+#: Characters of a q-gram at most; short probes have shorter ones, so that the bound is the lemma's.
+Q = 8
+#: An excerpt of PROBE + STRIDE - 1 characters holds a whole probe at any offset.
+PROBE, STRIDE = 60, 10
+#: Edits allowed per character of a probe: one replaced word of six letters in a whole probe.
+EDIT_RATE = 0.1
 CHUNK_CHARS = 1_000_000
+#: Regions verified side by side.
+TOGETHER = 4096
 _FILTER_BITS = 22
 _OTHER = re.compile(r"[\W_]+")
 
@@ -64,8 +68,9 @@ def grams(text: str, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Probes:
-    """Probe texts with the item, band step and bound of each, and their q-grams sorted by hash."""
+    """Probe texts of one ``q`` with the item, band step and bound of each, and their q-grams sorted by hash."""
 
+    q: int
     items: list[int]
     texts: list[str]
     steps: np.ndarray
@@ -76,15 +81,21 @@ class Probes:
     present: np.ndarray
 
     @staticmethod
-    def of(items: list[str]) -> Probes:
-        owners, texts = [], []
+    def of(items: list[str]) -> list[Probes]:
+        """The probes of all items, by their q."""
+        cut: dict[int, tuple[list[int], list[str]]] = {}
         for number, text in enumerate(map(normal, items)):
             last = max(0, len(text) - PROBE)
             for start in sorted({*range(0, last, STRIDE), last}):
                 if len(text) >= Q:
+                    owners, texts = cut.setdefault(gram_length(min(len(text), PROBE)), ([], []))
                     owners.append(number)
                     texts.append(text[start : start + PROBE])
-        each = [grams(t) for t in texts]
+        return [Probes._of(q, owners, texts) for q, (owners, texts) in sorted(cut.items())]
+
+    @staticmethod
+    def _of(q: int, owners: list[int], texts: list[str]) -> Probes:
+        each = [grams(t, q) for t in texts]
         hashes = np.concatenate([*each, np.empty(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
         owner = np.repeat(np.arange(len(texts)), [len(g) for g in each])[order]
@@ -94,80 +105,140 @@ class Probes:
         present[hashes >> np.uint64(64 - _FILTER_BITS)] = True
         steps = np.array([budget(len(t)) + 1 for t in texts], np.int64)
         bounds = np.array([bound(len(t)) for t in texts], np.int64)
-        return Probes(owners, texts, steps, bounds, hashes, owner, place, present)
+        return Probes(q, owners, texts, steps, bounds, hashes, owner, place, present)
 
 
 def budget(length: int) -> int:
     return int(EDIT_RATE * length)
 
 
+def gram_length(length: int) -> int:
+    """The longest q up to ``Q`` of which a region within the budget shares at least one q-gram."""
+    return max(1, min(Q, length // (budget(length) + 1)))
+
+
 def bound(length: int) -> int:
-    """Shared q-grams of a region within the budget; one at least."""
-    return max(1, length + 1 - Q * (budget(length) + 1))
+    """Shared q-grams of a region within the budget."""
+    return length + 1 - gram_length(length) * (budget(length) + 1)
 
 
 def within(probe: str, region: str, edits: int) -> bool:
     """Whether some part of the region is within ``edits`` of the probe: alignment with free ends in
-    the region, only over the diagonals that the region's slack and the edits allow."""
-    if probe in region:
+    the region, a column of differences being the bits of two integers (Myers)."""
+    if len(probe) <= edits or probe in region:
         return True
-    slack = len(region) - len(probe)
-    if edits == 0 or slack < -edits:
+    if edits == 0:
         return False
-    far = edits + 1
-    width = max(slack, 0) + 2 * edits + 1  # diagonals -edits .. slack + edits
-    before = [0 if d >= edits else far for d in range(width)]  # cell (0, j) costs nothing for j >= 0
-    for i, sign in enumerate(probe, 1):
-        row = [far] * width
-        for d in range(width):
-            j = i + d - edits
-            if 0 <= j <= len(region):
-                best = before[d] + (j == 0 or region[j - 1] != sign) if j else far
-                if d + 1 < width:
-                    best = min(best, before[d + 1] + 1)
-                if d and j:
-                    best = min(best, row[d - 1] + 1)
-                if j == 0:
-                    best = min(i, far)
-                row[d] = min(best, far)
-        if min(row) >= far:
-            return False
-        before = row
-    return min(before) <= edits
-
-
-def leaked_items(text: str | None, probes: Probes) -> list[int]:
+    places: dict[str, int] = {}
+    for i, sign in enumerate(probe):
+        places[sign] = places.get(sign, 0) | 1 << i
+    full, top = (1 << len(probe)) - 1, 1 << len(probe) - 1
+    more, less, score = full, 0, len(probe)
+    for sign in region:
+        same = places.get(sign, 0)
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up = less | (full & ~(across | more))
+        fall = more & across
+        if up & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+            if score <= edits:
+                return True
+        up = up << 1 & full
+        more = (fall << 1 & full) | (full & ~(down | up))
+        less = up & down
+    return False
+
+
+def all_within(probes: list[str], regions: list[str], edits: list[int]) -> np.ndarray:
+    """``within`` of many probes of at most 64 characters, side by side."""
+    # padding of two signs that no text has
+    points = lambda texts, width, fill: np.frombuffer(
+        "".join(t.ljust(width, fill) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32
+    ).reshape(-1, width)
+    sizes, most = np.array([len(p) for p in probes], np.uint64), np.array(edits)
+    signs = points(probes, 64, "\x00")
+    columns = np.ascontiguousarray(points(regions, max(1, *map(len, regions)), "\x01").T)
+    one = np.uint64(1)
+    top = one << (sizes - one)
+    full = top | (top - one)
+    more, less, score = full.copy(), np.zeros(len(probes), np.uint64), sizes.astype(np.int64)
+    found = score <= most
+    for column in columns:
+        same = np.packbits(signs == column[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up = less | (full & ~(across | more))
+        fall = more & across
+        score += ((up & top) != 0).astype(np.int64) - ((fall & top) != 0)
+        found |= score <= most
+        up = up << one & full
+        more = (fall << one & full) | (full & ~(down | up))
+        less = up & down
+    return found
+
+
+def leaked_items(text: str | None, groups: list[Probes]) -> list[int]:
     """Numbers of the items that the text leaks, ascending."""
-    text = normal(text)
-    found = grams(text)
-    if not len(found) or not len(probes.hashes):
-        return []
+    return leaked_rows([text], groups)[0]
+
+
+def leaked_rows(texts: Iterable[str | None], groups: list[Probes]) -> list[list[int]]:
+    """``leaked_items`` of every text, verified ``TOGETHER`` regions at a time."""
+    leaks: list[set[int]] = []
+    held: list[tuple[int, int, str, str, int]] = []
+
+    def verify() -> None:
+        while held:
+            rows, items, patterns, regions, edits = zip(*held[:TOGETHER], strict=True)
+            del held[:TOGETHER]
+            for k in np.flatnonzero(all_within(patterns, regions, edits)):
+                leaks[rows[k]].add(items[k])
+
+    for row, text in enumerate(texts):
+        leaks.append(set())
+        text = normal(text)
+        for probes in groups:
+            held += ((row, *candidate) for candidate in _candidates(text, probes))
+        if len(held) >= TOGETHER:
+            verify()
+    verify()
+    return [sorted(own) for own in leaks]
+
+
+def _candidates(text: str, probes: Probes) -> Iterator[tuple[int, str, str, int]]:
+    """Item, probe, region and edits of every band that meets its bound."""
+    found = grams(text, probes.q)
+    if not len(found):
+        return
     at = np.flatnonzero(probes.present[found >> np.uint64(64 - _FILTER_BITS)])
     low = np.searchsorted(probes.hashes, found[at], "left")
     many = np.searchsorted(probes.hashes, found[at], "right") - low
     at, low, many = at[many > 0], low[many > 0], many[many > 0]
-    if len(at) < probes.bounds.min():
-        return []
+    if not len(at):
+        return
     entry = np.repeat(low - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
     owner, diagonal = probes.owners[entry], np.repeat(at, many) - probes.places[entry]
     band = diagonal // probes.steps[owner]
     # every diagonal lies in two bands of twice the step, so any run of `step` lies in one
-    keys = np.stack([np.append(owner, owner), np.append(band, band - 1), np.append(probes.places[entry], probes.places[entry])], 1)
-    keys = np.unique(keys, axis=0)  # a probe's q-gram counts once in a band
-    change = np.flatnonzero(np.append(True, (keys[1:, :2] != keys[:-1, :2]).any(1)))
-    counts = np.diff(np.append(change, len(keys)))
-    retained = change[counts >= probes.bounds[keys[change, 0]]]
-    leaks: set[int] = set()
-    for probe, cell, _ in keys[retained].tolist():
-        item, pattern = probes.items[probe], probes.texts[probe]
-        if item in leaks:
-            continue
+    low_band, width = int(band.min()) - 1, int(band.max() - band.min()) + 2
+    cells = owner * width + (band - low_band)
+    cells = np.append(cells, cells - 1)
+    places = np.append(probes.places[entry], probes.places[entry])
+    _, where, many = np.unique(cells, return_inverse=True, return_counts=True)
+    enough = many[where] >= probes.bounds[cells // width]
+    # a probe's q-gram counts once in a band
+    keys = np.unique(cells[enough] * PROBE + places[enough]) // PROBE
+    cells, counts = np.unique(keys, return_counts=True)
+    cells = cells[counts >= probes.bounds[cells // width]]
+    retained = zip((cells // width).tolist(), (cells % width + low_band).tolist(), strict=True)
+    for probe, cell in retained:
+        pattern = probes.texts[probe]
         edits = budget(len(pattern))
         first = cell * (edits + 1)
-        region = text[max(0, first - edits) : first + 2 * (edits + 1) + len(pattern) + edits]
-        if within(pattern, region, edits):
-            leaks.add(item)
-    return sorted(leaks)
+        yield probes.items[probe], pattern, text[max(0, first - edits) : first + 2 * (edits + 1) + len(pattern) + edits], edits
 
 
 def _chunks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, Broadcast]]:
@@ -184,7 +255,7 @@ def _chunks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list,
 def _numbers(probes: Broadcast, text: Column) -> Column:
     @F.pandas_udf("array<int>")
     def numbers(texts: pd.Series) -> pd.Series:
-        return pd.Series([leaked_items(t, probes.value) for t in texts])
+        return pd.Series(leaked_rows(texts, probes.value))
 
     return numbers(text)
 

@@ -39,6 +39,13 @@ def test_alignment_is_exact_within_its_band(seed):
         assert dc.within(probe, region, edits) == (free_distance(probe, region) <= edits), (probe, region, edits)
 
 
+def test_alignment_side_by_side_is_that_of_one():
+    rng = random.Random(1)
+    texts = [prose(k, 30)[:60] for k in range(40)]
+    cases = [(t[: rng.randint(8, 60)], prose(90, 2) + t[:30] + "".join(c if rng.random() > 0.15 else "z" for c in t[30:]), k % 8) for k, t in enumerate(texts)]
+    assert dc.all_within(*zip(*cases, strict=True)).tolist() == [dc.within(*c) for c in cases]
+
+
 def test_planted_passages_are_found_and_clean_documents_stay(llm):
     items = [(k, prose(k, 40)) for k in range(8)] + [(8, "short item text of it"), (9, None), (10, ""), (11, "tiny"), (0, prose(0, 40))]
     edited = list(items[1][1])
@@ -73,6 +80,41 @@ def test_bound_is_the_lemma():
     assert dc.bound(dc.Q) == 1
 
 
+def leaked(text: str, items: list[str]) -> list[int]:
+    return dc.leaked_items(text, dc.Probes.of(items))
+
+
+def test_excerpts_are_found_at_every_offset():
+    item = dc.normal(prose(1, 60))[:300]
+    length = dc.PROBE + dc.STRIDE - 1
+    around = prose(2, 30), prose(3, 30)
+    assert all(leaked(f"{around[0]} {item[at : at + length]} {around[1]}", [item]) == [0] for at in range(len(item) - length + 1))
+
+
+def test_replaced_words_do_not_hide_an_item():
+    for seed in range(30):
+        words = prose(seed, 40).split()
+        spoiled, run = [], 0
+        for word in words:
+            run += len(word) + 1
+            spoiled.append("x" * len(word) if run >= 50 and len(word) <= 6 else word)
+            run = 0 if spoiled[-1] != word else run
+        assert spoiled != words
+        assert leaked(f"{prose(100 + seed, 30)} {' '.join(spoiled)} {prose(200 + seed, 30)}", [" ".join(words)]) == [0]
+
+
+@pytest.mark.parametrize("length", [*range(8, 40), 60])
+def test_edits_within_the_budget_are_found_in_short_items(length):
+    rng = random.Random(length)
+    item = "".join(rng.choice("abcdefghijklmnop") for _ in range(length))
+    assert dc.bound(length) >= 1
+    for _ in range(20):
+        edited = list(item)
+        for at in rng.sample(range(length), dc.budget(length)):
+            edited[at] = "z"
+        assert leaked(f"{prose(7, 20)} {''.join(edited)} {prose(8, 20)}", [item]) == [0]
+
+
 def test_awkward_rows_and_empty_tables(llm, docs, no_docs):
     none, some = llm.createDataFrame([], ITEM), llm.createDataFrame([(1, PROSE)], ITEM)
     assert dc.leaks(docs, none).count() == 0 and dc.leaks(no_docs, some).count() == 0
