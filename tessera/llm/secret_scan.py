@@ -39,10 +39,10 @@ _ASSIGN = re.compile(
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this finds what `+` finds at 24 or more
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,128}")
-_ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client[_-]?id)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,64}", re.IGNORECASE | re.ASCII)
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client[_-]?id)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,}", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(
-    r"\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,200}|\b(?:[a-z0-9-]{1,63}\.){1,6}(?:com|net|org|io|dev|cloud|internal|local)(?::\d{2,5})?\b"
+    r"\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,}|\b(?:[a-z0-9-]{1,63}\.){1,6}(?:com|net|org|io|dev|cloud|internal|local)(?::\d{2,5})?\b"
 )
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 

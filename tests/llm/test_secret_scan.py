@@ -57,6 +57,12 @@ def test_assigned_and_hexadecimal_secrets_are_linked():
     assert scan._redacted("user=alice password=abcdefgh https://db.example.com/x") == "[account] [assign] [endpoint]"
 
 
+def test_long_parts_are_whole_spans():
+    token, url, name = "aB3dE5fG7hJ9kL1mN2pQ4" * 10, "https://db.example.com/" + "x" * 400, "user=" + "n" * 100
+    text = f"{name} {token} {url}"
+    assert [text[s:e] for s, e, _ in scan.find_spans(text)] == [name, token, url]
+
+
 def test_digest_of_awkward_rows(docs):
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in scan.digest(scan.scan(docs)).collect()}
     want = set()
