@@ -110,3 +110,54 @@ SELECT page_id, host, path, r.text AS rule,
        regexp_matches(host, '(^|[.-])({"|".join(words)})([.-]|$)') AS listed,
        coalesce(r.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
 FROM part LEFT JOIN best USING (rid)"""
+
+
+def merkle_manifest(group_levels: int = 8, root_levels: int = 4) -> str:
+    """Trees of up to 8^group_levels leaves a language and 8^root_levels languages, a level at a time."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    encode = lambda e: f"coalesce(octet_length(encode({e}::VARCHAR))::VARCHAR || ':' || {e}::VARCHAR, '-')"
+    leaf = lambda last: f"sha256({' || '.join(encode(e) for e in (*fields[:-1], last))})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {byte}), 4294967295)"
+
+    def tree(name: str, source: str, levels: int) -> list[str]:
+        """Level by level: nodes with what stands left and right of them, and the paths upward."""
+        out = [f"{name}0 AS (SELECT k, idx, n, digest FROM {source})"]
+        for j in range(levels):
+            own = "PARTITION BY k, idx // 8 ORDER BY idx ROWS BETWEEN"
+            out += [
+                f"{name}s{j} AS (SELECT *, coalesce(string_agg(digest, '') OVER ({own} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                f"coalesce(string_agg(digest, '') OVER ({own} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{j})",
+                f"{name}{j + 1} AS (SELECT k, idx // 8 AS idx, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) = 1 "
+                f"THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest FROM {name}{j} GROUP BY k, idx // 8)",
+            ]
+        return out
+
+    def climb(name: str, key: str, position: str, levels: int, start: str, after: str) -> list[str]:
+        """Folds of every leaf along its path; ``f`` is the fold, ``p`` the siblings so far."""
+        out = []
+        for j in range(levels):
+            out.append(
+                f"{after}{j + 1} AS (SELECT c.* EXCLUDE (f, p), c.p || s.l || s.r AS p, CASE WHEN s.n = 1 THEN c.f ELSE sha256(s.l || c.f || s.r) END AS f "
+                f"FROM {start if j == 0 else f'{after}{j}'} c JOIN {name}s{j} s ON s.k = c.{key} AND s.idx = c.{position} // {8 ** j})"
+            )
+        return out
+
+    steps = [
+        f"base AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, "
+        f"CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} END AS claimed FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS total FROM base)",
+        "own AS (SELECT g AS k, pos AS idx, total AS n, leaf AS digest FROM placed)",
+        *tree("a", "own", group_levels),
+        f"tops AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n, digest, k AS g FROM a{group_levels})",
+        *tree("b", "tops", root_levels),
+        "start AS (SELECT p.*, t.digest AS subroot, t.idx AS gpos, '' AS gk, coalesce(claimed, leaf) AS f, '' AS p FROM placed p JOIN tops t USING (g))",
+        *climb("a", "g", "pos", group_levels, "start", "c"),
+        *climb("b", "gk", "gpos", root_levels, f"c{group_levels}", "d"),
+    ]
+    return (
+        f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, (SELECT digest FROM b{root_levels}) AS root, sha256(p) AS proof_sha256, "
+        f"f AS folded_root, f = (SELECT digest FROM b{root_levels}) AS verified FROM d{root_levels}"
+    )

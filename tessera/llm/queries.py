@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tessera.llm import (
     chat_format,
     decontamination,
     html_extract,
+    merkle_manifest,
     oracles,
     quality_classifier,
     quality_rules,
@@ -94,6 +96,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by the checksum of its id, is claimed with a text in lower case."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = docs.select(
+        F.col("doc_id").alias("id"),
+        F.col("lang").alias("group"),
+        merkle_manifest.leaf_digest(*fields).alias("leaf"),
+        F.when(tampered, merkle_manifest.leaf_digest(*fields[:-1], lowered)).alias("claimed"),
+    )
+    found = merkle_manifest.proofs(merkle_manifest.build(leaves), siblings=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def _bounded(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bound_batches(spark)
@@ -115,10 +133,12 @@ QUERIES: dict[str, Query] = {
         "op8_html_extract": op8_html_extract,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }.items()
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES, LISTED_WORDS),
     "op3_quality_rules": oracles.quality_rules(),
+    "op13_merkle_manifest": oracles.merkle_manifest(),
 }
