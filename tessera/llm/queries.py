@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import (
     chat_format,
     decontamination,
+    hard_negatives,
     html_extract,
     merkle_manifest,
     oracles,
@@ -96,6 +97,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select(
+        F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor")
+    )
+    return hard_negatives.mine(rows)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document, by the checksum of its id, is claimed with a text in lower case."""
     docs = read_table(spark, sf_dir, "documents")
@@ -133,6 +143,7 @@ QUERIES: dict[str, Query] = {
         "op8_html_extract": op8_html_extract,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
+        "op11_hard_negatives": op11_hard_negatives,
         "op13_merkle_manifest": op13_merkle_manifest,
     }.items()
 }
@@ -140,5 +151,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES, LISTED_WORDS),
     "op3_quality_rules": oracles.quality_rules(),
+    "op11_hard_negatives": oracles.hard_negatives(),
     "op13_merkle_manifest": oracles.merkle_manifest(),
 }
