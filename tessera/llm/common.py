@@ -27,3 +27,22 @@ def bound_batches(spark: SparkSession) -> None:
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of a DataFrame by name, whatever signs the names have."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+#: Keys that may be called hot: those that hold over 1 in so many rows, so never more keys than this.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, class_key: str, size: str) -> DataFrame:
+    """Rows with the one class of their key, every row having one, without a task for a frequent key.
+
+    ``classes`` is a staged table with the number of rows of each key in ``size``. The at most
+    ``HOT_KEYS`` frequent ones are broadcast, so their rows stay where they are.
+    """
+    total = classes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    frequent = F.col(size) * HOT_KEYS > total
+    hot = F.broadcast(classes.where(frequent))
+    named = F.col(key) == F.col(class_key)
+    return rows.join(hot, named).unionByName(
+        rows.join(F.broadcast(classes.where(frequent).select(class_key)), named, "left_anti").join(classes.where(~frequent), named)
+    )

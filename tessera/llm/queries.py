@@ -14,6 +14,7 @@ from tessera.llm import (
     hard_negatives,
     html_extract,
     merkle_manifest,
+    minhash_dedup,
     oracles,
     quality_classifier,
     quality_rules,
@@ -106,6 +107,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document, by the checksum of its id, is claimed with a text in lower case."""
     docs = read_table(spark, sf_dir, "documents")
@@ -144,6 +149,7 @@ QUERIES: dict[str, Query] = {
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_minhash": op12_minhash,
         "op13_merkle_manifest": op13_merkle_manifest,
     }.items()
 }
