@@ -256,6 +256,7 @@ def build(leaves: DataFrame) -> Manifest:
     """The manifest of ``id``, ``group``, ``leaf`` (a digest) and ``claimed``, a digest to be
     judged in place of the leaf or null."""
     keyed = leaves.select(group_key(F.col("group")).alias("key"), "id", F.col("leaf").alias("digest"), "claimed")
+    keyed = stage(keyed, "merkle-digests")  # the sort reads its rows twice, the documents only once
     numbered = stage(_numbered(keyed, ["id", "digest"], "merkle"), "merkle-leaves")
     nodes = _nodes(numbered, "merkle")
     tops = nodes.where("top").select(F.lit("").alias("key"), F.col("key").alias("of"), "digest")
