@@ -60,10 +60,10 @@ def test_planted_passages_are_found_and_clean_documents_stay(llm):
     docs = llm.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
     benchmark = llm.createDataFrame(items, ITEM)
     got = {(r.doc_id, r.item_id) for r in dc.leaks(docs, benchmark).collect()}
-    assert got == {(0, 0), (1, 1), (3, 2), (7, 3), (8, 4), (9, 8), (10, 0), (10, 5), (None, 6)}
+    assert got == {(0, 0), (1, 1), (3, 2), (7, 3), (8, 4), (9, 8), (10, 0), (10, 5), (None, 6), (6, 11)}
     kept = dc.keep_clean(docs, benchmark)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5]
 
 
 def test_chunks_of_a_large_benchmark_give_the_same(llm, monkeypatch):
@@ -120,3 +120,54 @@ def test_awkward_rows_and_empty_tables(llm, docs, no_docs):
     assert dc.leaks(docs, none).count() == 0 and dc.leaks(no_docs, some).count() == 0
     assert dc.keep_clean(docs, none).count() == docs.count() and dc.keep_clean(no_docs, some).count() == 0
     assert {r.doc_id for r in dc.leaks(docs, some).collect()} == {0, 1, 2, 90}
+
+
+def searched_plainly(text: str, items: list[str]) -> list[int]:
+    """Every probe of every item against the whole text."""
+    text, out = dc.normal(text), []
+    for number, item in enumerate(map(dc.normal, items)):
+        if 0 < len(item) < dc.Q:
+            hit = f" {item} " in f" {text} "
+        else:
+            last = max(0, len(item) - dc.PROBE)
+            starts = {*range(0, last, dc.STRIDE), last} if item else ()
+            hit = any(dc.within(p := item[s : s + dc.PROBE], text, dc.budget(len(p))) for s in starts)
+        if hit:
+            out.append(number)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_the_whole_search_against_every_probe(monkeypatch, seed):
+    rng = random.Random(seed)
+    if seed % 3 == 0:  # many pieces and halves
+        monkeypatch.setattr(dc, "SLICE", 300)
+        monkeypatch.setattr(dc, "ENTRIES", 500)
+    items = [prose(1000 * seed + k, rng.choice([1, 2, 3, 8, 15, 40, 90])) for k in range(12)] + ["ha " * 40, "ab", "x y", "", "über naïve Größe " * 6]
+    texts = [None, "", "ab", "x y z", "xab y", "ha " * 300, "HA! " * 20]
+    for _ in range(20):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            item = list(rng.choice(items) or "none")
+            for _ in range(rng.choice([0, 0, 2, 5, 9])):
+                at = rng.randrange(len(item) + 1)
+                item[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "w"])
+            start = rng.choice([0, 0, rng.randrange(max(1, len(item)))])
+            parts += [prose(rng.randrange(10**6), rng.randint(0, 40)), "".join(item[start:])]
+        texts.append(" ".join(parts))
+    assert dc.leaked_rows(texts, dc.Probes.of(items)) == [searched_plainly(t or "", items) for t in texts]
+
+
+def test_memory_does_not_grow_with_repetition():
+    import tracemalloc
+
+    probes = dc.Probes.of(["ha " * 130])
+    tracemalloc.start()
+    assert dc.leaked_rows(["ha " * 40_000], probes) == [[0]]
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("text", ["A_b  C", "it's\t1,2\x1c3", "Ünï_cödé!", "", "  x", "a\x00b"])
+def test_plain_letters_take_the_same_way(text):
+    assert dc.normal(text) == dc._OTHER.sub(" ", text.lower()).strip()
