@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,10 +89,11 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates that complement each other within a scope."""
     covered = sorted((s, e) for s, e, _ in base)
     begins = [s for s, _ in covered]
+    reached = list(accumulate((e for _, e in covered), max))  # the furthest end of all spans so far
 
     def free(start: int, end: int) -> bool:
         k = bisect_left(begins, end)
-        return not any(e > start for _, e in covered[max(0, k - 3) : k])
+        return not k or reached[k - 1] <= start
 
     tokens = [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if _looks_random(m[0]) and free(m.start(), m.end())]
     secrets = tokens + [s for s in base if s[2] in SECRET_KINDS]
