@@ -83,11 +83,14 @@ class WordEncoder:
         for word, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist(), strict=True):
             self.memo[word] = raw[a:b]
 
+    def _folded(self, stem: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(stem) if self.tokenizer.normalizer else stem
+
     def _parts(self, word: str) -> tuple[str, ...]:
         """A word of letters with a full stop or comma as these two, in lower case if the file's normaliser
-        sees no difference; other words whole."""
+        sees no difference; other words whole, as are those that the normaliser gives more than letters."""
         stem, tail = (word[:-1], (word[-1],)) if word[-1:] in (".", ",") else (word, ())
-        if not stem.isalpha() or not self.apart:
+        if not stem.isalpha() or not self.apart or not (stem.isascii() or self._folded(stem).isalpha()):
             return (word,)
         return (stem.lower() if self.folds and stem.isascii() else stem, *tail)
 

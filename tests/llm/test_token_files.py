@@ -83,6 +83,18 @@ def test_words_with_the_separator_in_them():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
+def test_random_words_with_final_stops():
+    """Letters that the normaliser turns into more than letters may not be parted from the stop."""
+    rng = random.Random(5)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250), *range(0x370, 0x530), *range(0x5D0, 0x5EB), *range(0x900, 0x940), *range(0x1E00, 0x1F00))]
+    letters += list("İŉǰΐᾲﬁﬀßſK①²ªʼ\u0307\u0345日本の가")
+    words = ["İ.", "İ,", "aİ.", "ŉ."] + ["".join(rng.choices(letters, k=rng.randint(1, 5))) + rng.choice(".,.,;") for _ in range(6000)]
+    texts = [" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]
+    encoder = tf.WordEncoder(tokenizer_files.WORDS)
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
 def test_empty_table(llm, no_docs):
     path = tf.new_folder(llm, "test-none")
     tf.write_tokens(tf.token_ids(no_docs, tokenizer_files.WORDS), path)
