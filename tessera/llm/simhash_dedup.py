@@ -22,11 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import shingle_links
-from tessera.llm.common import INNER
+from tessera.llm.common import INNER, join_hot
 from tessera.llm.components import connected_components
 from tessera.plans.staging import stage
 
@@ -233,17 +232,9 @@ def _classed(docs: DataFrame, id: str, text: str, radius: int) -> DataFrame:
     return _firsts(marks, nodes, roots)
 
 
-def _similar(docs: DataFrame, id: str, text: str, similarity: float, width: int) -> DataFrame:
-    """As ``_classed``, with links between texts of similar shingle sets."""
-    marks = stage(shingle_links.marks(docs, width, id, text), "shingle-marks")
-    nodes = stage(_nodes(marks, F.any_value("bands").alias("bands")), "shingle-nodes")
-    roots = stage(shingle_links.similar_roots(docs, nodes, width, similarity, id, text), "shingle-roots")
-    return _firsts(marks, nodes, roots)
-
-
-def _nodes(marks: DataFrame, *more: Column) -> DataFrame:
+def _nodes(marks: DataFrame) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
-    return marks.groupBy("fp").agg(F.min(order).alias("first"), *more)
+    return marks.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
 
 
 def _firsts(marks: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,9 +242,10 @@ def _firsts(marks: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     firsts = linked.groupBy("root").agg(F.min("first").alias("least")).select(F.col("root").alias("of"), "least")
     moved = roots.join(firsts, roots["root"] == firsts["of"]).select("node", "least")
     classes = nodes.join(moved, nodes["fp"] == moved["node"], "left").select(
-        nodes["fp"].alias("class_fp"), F.coalesce("least", "first").alias("first")
+        nodes["fp"].alias("class_fp"), F.coalesce("least", "first").alias("first"), "copies"
     )
-    return marks.join(classes, marks["fp"] == classes["class_fp"]).select("id", "text_hash", "fp", "first")
+    named = join_hot(marks, stage(classes, "fingerprint-classes"), "fp", "class_fp", "copies")
+    return named.select("id", "text_hash", "fp", "first")
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -266,14 +258,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     )
 
 
-def keep_first(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float | None = None, width: int = 5
-) -> DataFrame:
-    """One document of each component, that of the smallest id, with its own columns. Links are
-    fingerprints within the radius or, with a ``similarity``, shingle sets (of ``width`` words) of
-    at least that Jaccard similarity."""
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that of the smallest id, with its own columns."""
     i = INNER
-    classed = _classed(docs, id, text, radius) if similarity is None else _similar(docs, id, text, similarity, width)
+    classed = _classed(docs, id, text, radius)
     firsts = classed.select(F.col("first.id").alias(i + "id"), F.col("first.text_hash").alias(i + "text_hash")).distinct()
     hashed = docs.withColumn(i + "hash", F.xxhash64(docs[text]))
     kept = hashed.join(
