@@ -7,10 +7,11 @@ except in 1 of 10^10 cases, while a passage that many texts quote seldom fills a
 within the sketch size always share one, if runs of two are added for sets of up to
 five (see ``runs_of``).
 
-Inverted lists of runs give the candidates. Equal sets are one node. Every list is first compared with
+Inverted lists of runs give the candidates. Equal sets are one node, and of lists with the same
+members one is kept. Every list is first compared with
 its most linked node, which settles groups of copies in as many comparisons as they have members;
 lists that are not one component by then are compared in tiles, leaving out pairs within a
-component. A candidate pair passes the estimate from its union sketch (within ``SLACK``; in full for
+component: overlaps of a whole tile are one product of incidence matrices, of the sketches first. A candidate pair passes the estimate from its union sketch (within ``SLACK``; in full for
 sets within the sketch size) before the exact similarity of the full sets decides. No pair of copies
 is written, and no candidate is capped.
 
@@ -41,8 +42,10 @@ SKETCH = 64
 RUN = 3
 #: How far the estimate may lie below the similarity: six standard deviations at 0.8.
 SLACK = 0.3
-#: Bytes of shingle sets in one slice of an inverted list.
-SLICE_BYTES = 4 << 20
+#: Bytes of shingle sets in one slice of an inverted list, and sets.
+SLICE_BYTES, SLICE_SETS = 4 << 20, 1024
+#: Columns of an incidence matrix held at a time.
+COLUMNS = 4096
 SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,33 +194,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.mapInArrow(work, "a bigint, b bigint")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    out = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact to 2^24
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    for start in range(0, len(shared), COLUMNS):
+        part = shared[start : start + COLUMNS]
+        incidence = []
+        for row, values in zip(rows, flat, strict=True):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            matrix = np.zeros((row[-1] + 1, len(part)), np.float32)
+            matrix[row[hit], at[hit]] = 1
+            incidence.append(matrix)
+        out += incidence[0] @ incidence[1].T
+    return out
+
+
 def forest(sets: list[np.ndarray], components: np.ndarray, sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that join all similar pairs not in one component yet; across sides, if there are two."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[k]) for k in order])
-    label, side = components[order].copy(), sides[order]
-    across = bool(side.any() and not side.all())
-    bottoms = [sets[k][:SKETCH] for k in order]
-    flat = np.concatenate(bottoms)
-    ends = np.cumsum([len(b) for b in bottoms])
-    links = []
-    for i in range(len(order)):
-        # only larger ones: a pair is met at its smaller member
-        upper = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6, "right"))
-        open_ = label[i + 1 : upper] != label[i]
-        if across:
-            open_ &= side[i + 1 : upper] != side[i]
-        if not open_.any():
-            continue
-        own = bottoms[i]
-        part = flat[ends[i] : ends[upper - 1]]
-        hit = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
-        shared = np.add.reduceat(hit, ends[i : upper - 1] - ends[i], dtype=np.int64)
-        # a union sketch holds no more shared values than the sketches do
-        for j in np.flatnonzero(open_ & (shared >= (similarity - SLACK) * len(own))) + i + 1:
-            if label[j] != label[i] and similar(sets[order[i]], sets[order[j]], similarity):
-                label[label == label[j]] = label[i]
-                links.append((int(order[i]), int(order[j])))
+    across = bool(sides.any() and not sides.all())
+    left = np.flatnonzero(sides == 0) if across else np.arange(len(sets))
+    right = np.flatnonzero(sides == 1) if across else left
+    sizes = np.array([len(s) for s in sets], float)
+    both = lambda f, a, b: f(sizes[a][:, None], sizes[b][None, :])
+    likely = components[left][:, None] != components[right][None, :]
+    likely &= both(np.minimum, left, right) >= similarity * both(np.maximum, left, right) - 1e-9
+    if not likely.any():
+        return []
+    # a union sketch holds no more shared values than the sketches do
+    retained = overlaps([sets[k][:SKETCH] for k in left], [sets[k][:SKETCH] for k in right])
+    likely &= retained >= (similarity - SLACK) * np.minimum(both(np.minimum, left, right), SKETCH) - 1e-6
+    rows, columns = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+    if not len(rows):
+        return []
+    likely, left, right = likely[np.ix_(rows, columns)], left[rows], right[columns]
+    common = overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(float)
+    linked = likely & (common >= similarity * (both(np.add, left, right) - common) - 1e-9)
+    label, links = components.copy(), []
+    for row, a in zip(linked, left, strict=True):
+        met = right[row & (label[right] != label[a])]
+        for name, first in zip(*np.unique(label[met], return_index=True), strict=True):
+            links.append((int(a), int(met[first])))
+            label[label == name] = label[a]
     return links
 
 
@@ -227,7 +248,9 @@ def _tiled(members: DataFrame, sets: DataFrame, similarity: float, slice_bytes:
     A list's largest component is not compared with itself. Each side is cut into slices of about
     ``slice_bytes`` of sets by a hash; a row goes to one unit of work for every slice it meets.
     """
-    per = members.groupBy("run", "component").agg(F.sum("n_shingles").alias("size"))
+    # a set of few shingles weighs as much as its place in a tile
+    weight = F.greatest(F.col("n_shingles"), F.lit(max(1, slice_bytes // (8 * SLICE_SETS))))
+    per = members.groupBy("run", "component").agg(F.sum(weight).alias("size"))
     core = per.groupBy("run").agg(
         F.max_by("component", F.struct("size", "component")).alias("core"), F.max("size").alias("core_size"), F.sum("size").alias("all_size")
     )
@@ -308,12 +331,15 @@ def similar_roots(
     """Columns ``node``, ``root`` of the nodes that are linked to others."""
     if similarity < 0.8:
         raise ValueError("runs of three find all pairs from a similarity of 0.8 on")
-    keyed = stage(_lists(nodes), "minhash-lists")
-    lists = keyed.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select(F.col("run").alias("in_run"), "n")
-    lists = stage(lists, "minhash-runs")
-    met = keyed.join(lists, F.col("run") == F.col("in_run")).select("run", "fp", "n_shingles", "n")
+    keyed = _lists(nodes)
+    mark = F.xxhash64("fp")
+    contents = (F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("s"))
+    lists = keyed.groupBy("run").agg(*contents).where("n > 1")
+    lists = lists.groupBy("n", "x", "s").agg(F.min("run").alias("in_run"), F.count("*").alias("same"))
+    lists = stage(lists.select("in_run", "n", "same"), "minhash-runs")
+    met = keyed.join(lists, F.col("run") == F.col("in_run")).select("run", "fp", "n_shingles", "n", "same")
     met = stage(met, "minhash-met")
-    degrees = met.groupBy("fp").agg(F.sum("n").alias("degree")).select(F.col("fp").alias("of"), "degree")
+    degrees = met.groupBy("fp").agg(F.sum(F.col("n") * F.col("same")).alias("degree")).select(F.col("fp").alias("of"), "degree")
     members = met.join(degrees, F.col("fp") == F.col("of")).select("run", "fp", "n_shingles", "degree", F.col("fp").alias("component"))
     members = stage(members, "minhash-members")
     likely = stage(_likely(_centred(members), nodes, similarity), "minhash-likely")
