@@ -92,6 +92,23 @@ def _choose_level(ax, ay, bx, by) -> int:
     return level
 
 
+def tile_key_sql(x: str, y: str, level: int) -> str:
+    """`tile_key` as SQL text over two expressions."""
+
+    def axis(value: str, origin: float) -> str:
+        cell = f"floor(({value} + {origin!r}D) * {_scale(level)!r}D)"
+        return f"greatest(0L, least(cast({cell} AS bigint), {4**level}L))"
+
+    return f"({level << _LEVEL_SHIFT}L + shiftleft({axis(x, 180.0)}, {_X_SHIFT}) + {axis(y, 90.0)})"
+
+
+def level_of(rings: list[np.ndarray]) -> int:
+    """The level on which `cut` lays a polygon."""
+    closed = [geo.closed(ring) for ring in rings]
+    edges = np.concatenate([np.hstack([ring[:-1], ring[1:]]) for ring in closed])
+    return _choose_level(*edges.T)
+
+
 def cut(rings: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(level, tile keys, edge counts, edges) of one polygon; edges are grouped by tile."""
     edges, previous, start = [], [], 0

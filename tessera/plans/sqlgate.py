@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import CapabilityUnavailableError, InvalidRequestError, QueryTimeoutError
 from tessera.functions.spatial import SQL_FUNCTIONS, register_functions
+from tessera.plans.spatialjoin import SpatialRewrite, register_join_functions
 from tessera.sources.catalog import Catalog
 from tessera.sources.footers import footers, scan_report
 
@@ -147,6 +148,11 @@ class _Gate:
 
 def check_sql(spark: SparkSession, catalog: Catalog, sql: str) -> tuple[str, list[str], bool]:
     """(text, datasets it reads, whether it calls the spatial functions), or an error."""
+    text, names, gate, _ = _checked(spark, catalog, sql)
+    return text, names, bool(gate.own_functions)
+
+
+def _checked(spark: SparkSession, catalog: Catalog, sql: str) -> tuple[str, list[str], _Gate, JavaObject]:
     text = sql.strip().rstrip(";").strip()
     if not text:
         raise InvalidRequestError("the SQL text is empty; pass one SELECT statement")
@@ -160,26 +166,32 @@ def check_sql(spark: SparkSession, catalog: Catalog, sql: str) -> tuple[str, lis
         raise
     gate = _Gate(spark, [name for name in catalog.names if name.isidentifier()])
     gate.walk(plan)
-    return text, gate.tables(), bool(gate.own_functions)
+    return text, gate.tables(), gate, plan
 
 
 def run_sql(
-    spark: SparkSession, catalog: Catalog, sql: str, max_rows: int | None = None
+    spark: SparkSession, catalog: Catalog, sql: str, max_rows: int | None = None, max_seconds: float | None = None
 ) -> DataFrame:
     """The result of one read-only SELECT; with `max_rows`, cut to that whatever it asks for.
 
     Only the datasets it names are bound, and only while Spark analyses the text; temp
-    views of the same name are put back afterwards.
+    views of the same name are put back afterwards. Spatial predicates go through tiles and
+    rectangles (`tessera.plans.spatialjoin`); a join first asks for its polygons' levels and rectangle, a
+    small query that `max_seconds` bounds.
     """
-    text, names, uses_functions = check_sql(spark, catalog, sql)
+    text, names, gate, plan = _checked(spark, catalog, sql)
     if max_rows is not None and max_rows < 1:
         raise InvalidRequestError(f"max_rows must be at least 1, got {max_rows}")
-    if uses_functions:
+    if gate.own_functions:
         register_functions(spark)
     temp_view = spark._jsparkSession.sessionState().catalog().getTempView
     replaced = {name: spark.table(name) for name in names if temp_view(name).isDefined()}
     try:
         catalog.register_views(spark, names)
+        if gate.own_functions & {"st_contains", "st_intersects"}:
+            register_join_functions(spark)
+            collect = collect_within if max_seconds is None else lambda df: collect_within(df, max_seconds)
+            text = SpatialRewrite(spark, catalog, text, plan, gate.named_here).apply(collect)
         result = spark.sql(text)
     finally:
         for name in names:

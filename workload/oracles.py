@@ -302,6 +302,15 @@ ORACLES: dict[str, str] = {
     "pip_counts_hot_tiles": _counts(_from("parcels"), "zones"),
     "pip_pairs": _inside(_from("visits"), "zones", "id, polygon_name"),
     "pip_pairs_hot": f"SELECT id % 5 AS label, polygon_name FROM ({_inside(_from('visits'), 'zones', 'id, polygon_name')}) p, range(3)",
+    "sql_spatial_join": _counts(_from("visits"), "zones"),
+    "sql_spatial_join_pairs": "SELECT id, polygon_name, lon, category FROM ("
+    + _inside(_from("visits"), "zones", "id, polygon_name, polygon_subtype").replace("SELECT id, lon, lat,", "SELECT *,", 1)
+    + f") JOIN (SELECT id, lon, category, measure FROM {_from('visits')}) v USING (id) "
+    "WHERE polygon_subtype >= '2' AND measure > 50000 AND (id + cast(polygon_subtype as int)) % 3 <> 0",
+    "sql_spatial_join_edges": "SELECT polygon_name, count(*) AS n FROM (" + _inside(_LATTICE_POINTS, "areas", "id, polygon_name").replace(
+        f"HAVING sum({_CROSSES}) % 2 = 1 AND sum({_TOUCHES}) = 0", f"HAVING sum({_CROSSES}) % 2 = 1 OR sum({_TOUCHES}) > 0"
+    ) + ") GROUP BY polygon_name",
+    "sql_shape_literal": _polygons_meeting("zones", NOTCHED),
     "pip_areas": _areas_inside("plots", "areas"),
     "footer_footprint": " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS row_count, cast(1 as bigint) AS files FROM {name}"

@@ -14,7 +14,7 @@ from tessera.plans.pushdown import pushdown_report
 from tessera.plans.sqlgate import run_sql
 from tessera.plans.staging import stage
 from tessera.sources import footers
-from tessera.sources.catalog import Source, schema_with_roles
+from tessera.sources.catalog import Catalog, Source, schema_with_roles
 from workload import sqlsuite
 from workload.views import catalog, places, points, polygons, table
 
@@ -166,6 +166,23 @@ def _polygon_intersects(spark: SparkSession, sf: str) -> DataFrame:
     ).select(F.col("`names.primary`").alias("polygon_name"))
 
 
+_WIDE_ZONES = "(p.id + cast(z.subtype AS int)) % 3 <> 0"
+
+
+def _sql_join_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A spatial join in SQL with conditions on either side and on both, and a star."""
+    text = (
+        "WITH hits AS (SELECT p.*, z.names.primary AS polygon_name FROM visits p, zones AS z WHERE st_contains(z.geometry, "
+        f"st_point(p.lon, p.lat)) AND z.subtype >= '2' AND p.measure > 50000 AND {_WIDE_ZONES}) SELECT id, polygon_name, lon, category FROM hits"
+    )
+    return run_sql(spark, catalog(sf), text, max_rows=None)
+
+
+def _with_lattice(spark: SparkSession, sf: str) -> Catalog:
+    own = Source(name="lattice", view=lambda spark: lattice(spark, sf), geometry_column=None, name_column=None)
+    return Catalog.of("driver", own, catalog(sf).get("areas"))
+
+
 def _density(resolution: int, grid: str) -> Query:
     return lambda spark, sf: rounded(
         aggregate.cell_density(points(spark, sf, "parcels"), BOX, resolution, grid),
@@ -368,6 +385,18 @@ QUERIES: dict[str, Query] = {
     "pip_counts_hot_tiles": _pip("parcels", "zones", broadcast_bytes=0, tile_pairs=60),
     "pip_pairs": _pip_pairs,
     "pip_pairs_hot": _pip_pairs_hot,
+    "sql_spatial_join": _run_sql(
+        "SELECT z.names.primary AS polygon_name, z.subtype AS polygon_subtype, count(*) AS feature_count FROM zones z "
+        "JOIN visits p ON st_contains(z.geometry, st_point(p.lon, p.lat)) GROUP BY z.names.primary, z.subtype"
+    ),
+    "sql_spatial_join_pairs": _sql_join_pairs,
+    "sql_spatial_join_edges": lambda spark, sf: run_sql(
+        spark, _with_lattice(spark, sf), "SELECT a.names.primary AS polygon_name, count(*) AS n FROM lattice p JOIN areas a "
+        "ON st_intersects(st_point(p.lon, p.lat), a.geometry) GROUP BY 1", max_rows=None,
+    ),
+    "sql_shape_literal": _run_sql(
+        f"SELECT names.primary AS polygon_name FROM zones WHERE st_intersects(geometry, st_geomfromtext('{NOTCHED}'))"
+    ),
     "pip_areas": lambda spark, sf: containment.count_in_polygons(
         polygons(spark, sf, "plots"), polygons(spark, sf, "areas"), subtype_column="subtype", areal=True
     ),

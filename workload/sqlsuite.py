@@ -123,6 +123,26 @@ SQL: dict[str, tuple[str, str]] = {
         f"cos(radians(lat)) * cos(radians(48.85)) * power(sin(radians(2.35 - lon) / 2), 2)))), 3) AS km "
         f"FROM ({point_sql('visits')})",
     ),
+    "sql_shape_text": (
+        "SELECT id, cast(get_json_object(st_asgeojson(st_point(lon, lat)), '$.coordinates[1]') AS double) AS y, "
+        "get_json_object(st_asgeojson(st_geomfromtext('LINESTRING (1 2, 3 4)')), '$.type') AS kind FROM visits",
+        f"SELECT id, lat AS y, 'LineString' AS kind FROM ({point_sql('visits')})",
+    ),
+    "sql_shape_corners": (
+        "SELECT polygon.names.primary AS polygon_name, st_ymax(geometry) AS north, st_ymin(geometry) AS south, "
+        "st_contains(geometry, st_point((st_xmin(geometry) + st_xmax(geometry)) / 2, (st_ymin(geometry) + st_ymax(geometry)) / 2)) "
+        "AS holds_centre FROM areas polygon",
+        f"WITH e AS ({edge_sql('areas')}), c AS (SELECT *, (xmin + xmax) / 2 AS lon, (ymin + ymax) / 2 AS lat FROM e) "
+        "SELECT polygon_name, max(ymax) AS north, min(ymin) AS south, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND "
+        "(((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) > 0) = (y2 > y1) THEN 1 ELSE 0 END) % 2 = 1 AS holds_centre "
+        "FROM c GROUP BY polygon_name",
+    ),
+    "sql_cell_centres": (
+        "SELECT cell, cell_lon(cell) AS lon, cell_lat(cell) AS lat, count(*) AS n FROM (SELECT cell_id(lon, lat, 3) AS cell FROM visits) GROUP BY cell",
+        "SELECT cell, (cx + 0.5) * (360 / 256.0) - 180 AS lon, (cy + 0.5) * (180 / 256.0) - 90 AS lat, count(*) AS n FROM (SELECT *, "
+        "lpad(lower(to_hex(3 * 18014398509481984 + cx * 134217728 + cy)), 15, '0') AS cell FROM (SELECT least(cast(floor((lon + 180) / 360 * 256) "
+        f"as bigint), 255) AS cx, least(cast(floor((lat + 90) / 180 * 256) as bigint), 255) AS cy FROM ({point_sql('visits')}))) GROUP BY cell, cx, cy",
+    ),
     "sql_cells": (
         "SELECT cell_id(lon, lat, 3) AS cell, count(*) AS n FROM visits GROUP BY 1",
         f"SELECT lpad(lower(to_hex(3 * 18014398509481984 + least(cast(floor((lon + 180) / 360 * 256) as bigint), 255) * 134217728 "
