@@ -38,6 +38,8 @@ SLACK = 1e-4
 _PLAN = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
 _EXPRESSION = "org.apache.spark.sql.catalyst.expressions.Expression"
 _PREDICATES = ("st_contains", "st_intersects")
+#: Spark's functions whose value differs from call to call.
+_CHANCE = frozenset("rand random randn randstr uniform uuid shuffle monotonically_increasing_id".split())
 
 
 # -- functions that only rewritten statements call -------------------------------------
@@ -108,6 +110,7 @@ class _Relation:
     stop: int
     text: str
     hidden: list[str] = field(default_factory=list)
+    rectangles: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -295,10 +298,12 @@ class SpatialRewrite:
         """The new text. `rows` collects the small result that says which levels the polygons use."""
         for scope in self.scopes:
             conditions = [c for whole in scope.conditions for c in self._conjuncts(whole)]
-            for condition in conditions:
-                name, arguments = self._called(condition)
-                if name in _PREDICATES and len(arguments) == 2 and self._span(condition):
-                    self._literal(scope, condition, arguments) or self._joined(scope, condition, name, arguments, conditions, rows)
+            spatial = [(c, *called) for c in conditions if (called := self._called(c))[0] in _PREDICATES and self._span(c)]
+            for condition, _, arguments in spatial:
+                self._literal(scope, condition, arguments)
+            for condition, name, arguments in spatial:
+                if len(arguments) == 2 and self._span(condition) not in self.changes:
+                    self._joined(scope, condition, name, arguments, conditions, rows)
             self._hide(scope)
         out, at = [], 0
         for (start, stop), text in sorted(self.changes.items()):
@@ -322,21 +327,32 @@ class SpatialRewrite:
         quoted = f"`{alias}`.{relation.source.bbox_column}"
         return " AND ".join(f"{path} {op} {value!r}D" for path, op, value in box.comparisons(quoted))
 
-    def _literal(self, scope: _Scope, condition: JavaObject, arguments: list[JavaObject]) -> bool:
+    def _own(self, relation: _Relation, scope: _Scope, conditions: list[JavaObject]) -> list[str]:
+        """Conditions on one dataset alone, to be applied to it before anything else as well."""
+        out = list(relation.rectangles)
+        for condition in conditions:
+            called = {self._called(each)[0] for each in self._all(condition)}
+            if called & (_CHANCE | set(_PREDICATES)) or self._owner(condition, scope) is not relation:
+                continue
+            text = self._verbatim(condition)
+            out += [f"({text})"] if text else []
+        return out
+
+    def _literal(self, scope: _Scope, condition: JavaObject, arguments: list[JavaObject]) -> None:
         """A dataset's geometry against ``st_geomfromtext('...')``: its rectangle is added."""
         fixed = [a for a in arguments if self._constant(a)]
         other = [a for a in arguments if not self._constant(a)]
-        if len(fixed) != 1 or not other:
-            return False
+        if len(fixed) != 1 or len(other) != 1:
+            return
         name, inner = self._called(fixed[0])
         relation = self._owner(other[0], scope)
         if name != "st_geomfromtext" or self._name(inner[0]) != "Literal" or not relation or not relation.source.bbox_column:
-            return False
+            return
         if not self._geometry_of(other[0], relation):
-            return False
-        box = Shape(str(inner[0].value())).box
-        self.changes[self._span(condition)] = f"({self._rectangle(relation, box, relation.alias)} AND {self._text(condition)})"
-        return True
+            return
+        rectangle = self._rectangle(relation, Shape(str(inner[0].value())).box, relation.alias)
+        relation.rectangles.append(rectangle)
+        self.changes[self._span(condition)] = f"({rectangle} AND {self._text(condition)})"
 
     def _joined(
         self, scope: _Scope, condition: JavaObject, name: str, arguments: list[JavaObject], conditions: list[JavaObject],
@@ -360,21 +376,20 @@ class SpatialRewrite:
             return
         self.number += 1
         n = self.number
-        own = [text for c in conditions if self._owner(c, scope) is area and (text := self._verbatim(c))]
-        levels, box = self._facts(area, arguments[outer], own, rows)
+        levels, box = self._facts(area, arguments[outer], self._own(area, scope, conditions), rows)
         shape, x, y = self._text(arguments[outer]), f"__x_{n}", f"__y_{n}"
         keys = ", ".join(tile_key_sql(x, y, level) for level in levels) or "cast(NULL AS bigint)"
-        pruned = ""
+        pruned = self._own(point, scope, conditions)
         if called == "st_point" and len(coordinates) == 2:
             lon, lat = (f"cast({self._verbatim(c)} AS double)" for c in coordinates)
             place = f"{lon} AS {x}, {lat} AS {y}"
             if box:  # plain columns reach the scan as they are
-                pruned = f" WHERE {lon} BETWEEN {box.min_lon!r}D AND {box.max_lon!r}D AND {lat} BETWEEN {box.min_lat!r}D AND {box.max_lat!r}D"
+                pruned.append(f"{lon} BETWEEN {box.min_lon!r}D AND {box.max_lon!r}D AND {lat} BETWEEN {box.min_lat!r}D AND {box.max_lat!r}D")
         else:
             place = f"__st_point({self._text(arguments[inner])}) AS __xy_{n}"
             if box and point.source.bbox_column:
-                pruned = f" WHERE {self._rectangle(point, box, point.alias)}"
-        located = f"SELECT `{point.alias}`.*, {place} FROM {point.text}{pruned}"
+                pruned.append(self._rectangle(point, box, point.alias))
+        located = f"SELECT `{point.alias}`.*, {place} FROM {point.text}" + (f" WHERE {' AND '.join(pruned)}" if pruned else "")
         if called != "st_point":
             located = f"SELECT * EXCEPT (__xy_{n}), __xy_{n}.x AS {x}, __xy_{n}.y AS {y} FROM ({located})"
         point.text = (
@@ -398,7 +413,7 @@ class SpatialRewrite:
         """Levels and common rectangle of the polygons that their own conditions leave."""
         bbox = area.source.bbox_column
         corners = [f"{f}(`{area.alias}`.{bbox}.{c})" for f, c in (("min", "xmin"), ("min", "ymin"), ("max", "xmax"), ("max", "ymax"))]
-        where = f" WHERE {' AND '.join(f'({c})' for c in own)}" if own else ""
+        where = f" WHERE {' AND '.join(own)}" if own else ""
         original = self.sql[area.start : area.stop]
         ((levels, *found),) = rows(
             self.spark.sql(
