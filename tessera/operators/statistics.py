@@ -1,22 +1,23 @@
 """How the values of one column are distributed.
 
-Everything is derived from the column's value frequencies: one scan of one column, counted
-per value with a map-side combine. What is exact stays exact at any size: the quartiles are
-found in a frequency table that is range-partitioned by value, where only the partitions
-that hold a wanted rank are sorted, so no task sees more than an ordinary partition.
+A profile is derived from the column's value frequencies: one scan of one column, counted
+per value with a map-side combine. What is exact stays exact at any size: quartiles are found by
+narrowing an interval around each rank, scan by scan, so the values are not shuffled and only the
+last few thousand are sorted.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import BoundingBox
@@ -25,6 +26,10 @@ from tessera.operators.aggregate import top, within
 from tessera.plans.staging import measured, stage
 
 QUARTILES = (0.25, 0.5, 0.75)
+# Buckets an interval is counted in, and the rows from which on it is narrowed further.
+BUCKETS = 4096
+LAST_ROWS = 10_000
+_MOST = sys.float_info.max
 
 
 def headline(df: DataFrame, column: str) -> DataFrame:
@@ -72,65 +77,133 @@ def value_frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column_path(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_frequencies(frequencies: DataFrame) -> DataFrame:
-    """Non-NULL, non-NaN numbers with their frequency, range-partitioned by value and
-    staged; ``part`` numbers the partitions in value order.
+@dataclass
+class _Interval:
+    """Where a rank is known to lie: the smallest and largest value, and the rows around."""
 
-    Staging pins the partition numbers: range bounds come from a sample, so a second
-    evaluation could draw them differently.
-    """
-    numbers = frequencies.where(F.col("value").isNotNull())
-    if isinstance(frequencies.schema["value"].dataType, (T.DoubleType, T.FloatType)):
-        numbers = numbers.where(~F.isnan("value"))
-    ranged = numbers.repartitionByRange(F.col("value")).withColumn("part", F.spark_partition_id())
-    return stage(ranged, "frequencies")
+    low: object
+    high: object
+    below: int
+    rows: int
+    linear: bool = True
 
 
-def quantiles(ranked: DataFrame, fractions: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact interpolated quantiles ``q_25, q_50, ...`` of staged ranked frequencies.
+def _position(value: Column, interval: _Interval) -> Column | None:
+    """Number of the equal-width bucket of a value, growing with it; None if doubles cannot tell them apart.
 
-    The driver looks at one number per partition to see which partitions hold the wanted
-    ranks; only those, at most two per quantile, are read and sorted.
+    The width is taken on the values or, where one bucket held most of the rows, on their logarithms.
     """
-    held = {row["part"]: row["held"] for row in ranked.groupBy("part").agg(F.sum("n").alias("held")).collect()}
-    total = sum(held.values())
-    if not total:
-        return ranked.agg(*(F.max(F.col("value").cast("double")).alias(_quantile_name(f)) for f in fractions))
-    starts, running = {}, 0
-    for part in sorted(held):
-        starts[part], running = running, running + held[part]
-    positions = [f * (total - 1) for f in fractions]
+    def number(x: Column) -> Column:
+        return F.least(F.greatest(x.cast("double"), F.lit(-_MOST)), F.lit(_MOST))
+
+    def plain(x: object) -> float:
+        return min(max(float(x), -_MOST), _MOST)
+
+    low, high = plain(interval.low), plain(interval.high)
+    place = number(value)
+    if not interval.linear:
+        place = F.signum(place) * F.log1p(F.abs(place))
+        low, high = (math.copysign(math.log1p(abs(x)), x) for x in (low, high))
+    span = high / 2 - low / 2
+    if not span > 0:
+        return None
+    place = F.floor((place / 2 - F.lit(low / 2)) / F.lit(span) * F.lit(float(BUCKETS)))
+    return F.greatest(F.lit(0), F.least(place, F.lit(BUCKETS - 1)))
+
+
+def _narrowed(values: DataFrame, intervals: list[_Interval], ranks: list[int]) -> list[_Interval]:
+    """Each rank's bucket within its interval: one scan, counts combined before the shuffle."""
+    value = F.col("value")
+    distinct = {(i.low, i.high): i for i in intervals}
+    place = F.lit(None).cast("struct<which:int,bucket:bigint>")
+    for which, interval in enumerate(distinct.values()):
+        inside = (value >= F.lit(interval.low)) & (value <= F.lit(interval.high))
+        own = F.struct(F.lit(which).alias("which"), _position(value, interval).alias("bucket"))
+        place = F.when(inside, own).otherwise(place)
+    counted = values.groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    held: dict[int, list] = {}
+    for row in counted.where("place is not null").collect():
+        held.setdefault(row["place"]["which"], []).append(row)
+    for rows in held.values():
+        rows.sort(key=lambda r: r["place"]["bucket"])
+    numbers = {key: which for which, key in enumerate(distinct)}
+    out = []
+    for rank, interval in zip(ranks, intervals):
+        below = interval.below
+        for row in held[numbers[interval.low, interval.high]]:
+            if rank < below + row["n"]:
+                break
+            below += row["n"]
+        crowded = 2 * row["n"] > interval.rows
+        out.append(_Interval(row["low"], row["high"], below, row["n"], interval.linear != crowded))
+    return out
+
+
+def _at_ranks(values: DataFrame, ranks: list[int], whole: _Interval) -> list[float]:
+    """The values at some ranks, by narrowing an interval around each of them.
+
+    Every scan counts each interval's rows in ``BUCKETS`` buckets and keeps the bucket that holds the
+    rank, with its own smallest and largest value. Only an interval of at most ``LAST_ROWS`` rows, or one
+    that doubles cannot divide, is sorted. The column itself is never shuffled.
+    """
+    found = [whole] * len(ranks)
+    while True:
+        open_ = [k for k, i in enumerate(found) if i.low < i.high and i.rows > LAST_ROWS]
+        split = []
+        for k in open_:
+            if _position(F.col("value"), found[k]) is None and not found[k].linear:
+                found[k] = dataclasses.replace(found[k], linear=True)
+            if _position(F.col("value"), found[k]) is not None:
+                split.append(k)
+        if not split:
+            break
+        for k, interval in zip(split, _narrowed(values, [found[k] for k in split], [ranks[k] for k in split])):
+            found[k] = interval
+    last = {(i.low, i.high): i for i in found if i.low < i.high}
+    at: dict[tuple, list] = {key: [] for key in last}
+    if last:
+        value = F.col("value")
+        inside = functools.reduce(lambda a, b: a | b, ((value >= F.lit(i.low)) & (value <= F.lit(i.high)) for i in last.values()))
+        for row in values.where(inside).groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").collect():
+            for low, high in last:
+                if low <= row["value"] <= high:
+                    at[low, high].append(row)
+    out = []
+    for rank, interval in zip(ranks, found):
+        chosen, below = interval.low, interval.below
+        for row in at.get((interval.low, interval.high), []):
+            chosen = row["value"]
+            below += row["n"]
+            if rank < below:
+                break
+        out.append(float(chosen))
+    return out
+
+
+def quantiles(frequencies: DataFrame, fractions: Sequence[float] = QUARTILES) -> list[float | None]:
+    """Exact interpolated quantiles of ``(value, n)`` rows; NULL and NaN are in none."""
+    numbers = frequencies.where(F.col("value").isNotNull())
+    if isinstance(frequencies.schema["value"].dataType, (T.DoubleType, T.FloatType)):
+        numbers = numbers.where(~F.isnan("value"))
+    facts = measured(numbers, rows=F.coalesce(F.sum("n"), F.lit(0)), low=F.min("value"), high=F.max("value"))
+    if not facts["rows"]:
+        return [None] * len(fractions)
+    positions = [f * (facts["rows"] - 1) for f in fractions]
     ranks = sorted({rank for p in positions for rank in (math.floor(p), math.ceil(p))})
-    needed = [part for part, start in starts.items() if any(start <= r < start + held[part] for r in ranks)]
-    start = functools.reduce(
-        lambda case, part: case.when(F.col("part") == part, F.lit(starts[part])), needed, F.when(F.lit(False), F.lit(0))
-    )
-    by_value = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.where(F.col("part").isin(needed)).select(
-        F.col("value").cast("double").alias("value"), "n", (start + F.sum("n").over(by_value)).alias("past")
-    )
-
-    def at(rank: int) -> Column:
-        return F.max(F.when((F.col("past") > rank) & (F.col("past") - F.col("n") <= rank), F.col("value")))
-
-    bounds = placed.agg(*(at(rank).alias(f"r{rank}") for rank in ranks))
-    chosen = []
-    for fraction, position in zip(fractions, positions):
-        low, high = F.col(f"r{math.floor(position)}"), F.col(f"r{math.ceil(position)}")
-        weight = F.lit(float(position - math.floor(position)))
-        chosen.append((low + (high - low) * weight).alias(_quantile_name(fraction)))
-    return bounds.select(*chosen)
-
-
-def _quantile_name(fraction: float) -> str:
-    return f"q_{round(fraction * 100)}"
+    whole = _Interval(facts["low"], facts["high"], 0, facts["rows"])
+    values = dict(zip(ranks, _at_ranks(numbers, ranks, whole)))
+    out = []
+    for position in positions:
+        low, high = values[math.floor(position)], values[math.ceil(position)]
+        out.append(low if low == high else low + (high - low) * (position - math.floor(position)))
+    return out
 
 
 def quartiles(df: DataFrame, column: str) -> DataFrame:
     """``p25, median, p75`` of a numeric column, exact and interpolated."""
-    _require_numeric(df, column)
-    q = quantiles(ranked_frequencies(value_frequencies(df, column)))
-    return q.select(F.col("q_25").alias("p25"), F.col("q_50").alias("median"), F.col("q_75").alias("p75"))
+    value = _require_numeric(df, column)
+    q = quantiles(df.select(value.alias("value"), F.lit(1).cast("bigint").alias("n")))
+    return df.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(n) for n, v in zip(("p25", "median", "p75"), q)))
 
 
 def frequency_histogram(frequencies: DataFrame, buckets: int = 10) -> DataFrame:
@@ -264,7 +337,7 @@ def column_stats(
     # The squares are taken around the mean, so a large mean does not swamp the spread.
     mean = F.lit(measured(real, mean=total)["mean"]).cast("double")
     spread = F.sum(n * (number - mean) * (number - mean))
-    q = quantiles(ranked_frequencies(frequencies)).first()
+    q = quantiles(frequencies)
     summary = real.agg(
         F.min(value).alias("minimum"),
         F.max(value).alias("maximum"),
@@ -272,9 +345,7 @@ def column_stats(
         F.when(F.sum(n) > 1, F.sqrt(spread / (F.sum(n) - 1))).alias("stddev"),
     ).select(
         "*",
-        F.lit(q["q_25"]).cast("double").alias("p25"),
-        F.lit(q["q_50"]).cast("double").alias("median"),
-        F.lit(q["q_75"]).cast("double").alias("p75"),
+        *(F.lit(v).cast("double").alias(name) for name, v in zip(("p25", "median", "p75"), q)),
     )
     return ColumnProfile(
         column, data_type.simpleString(), "numeric", counts, summary, frequency_histogram(frequencies, buckets)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -437,6 +438,55 @@ def test_quantiles_equal_numpy(spark, size):
     assert list(row) == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist())
 
 
+def _plain_quartiles(values: list) -> list[float]:
+    ordered = sorted(values)
+    out = []
+    for fraction in (0.25, 0.5, 0.75):
+        place = fraction * (len(ordered) - 1)
+        low, high = float(ordered[math.floor(place)]), float(ordered[math.ceil(place)])
+        out.append(low if low == high else low + (high - low) * (place - math.floor(place)))
+    return out
+
+
+_rng = np.random.default_rng(8)
+SPREADS = {
+    "magnitudes": ("double", (10.0 ** _rng.uniform(-200, 200, 3000)).tolist()),
+    "signed magnitudes": ("double", (_rng.choice([-1, 1], 3000) * 10.0 ** _rng.uniform(-30, 30, 3000)).tolist()),
+    "outliers": ("double", [*_rng.normal(0, 1, 3000).tolist(), 1e308, -1e308, math.inf, -math.inf]),
+    "infinite": ("double", [math.inf] * 40 + [1.7976931348623157e308] * 41),
+    "few values": ("double", _rng.choice([1.5, 1.5000000000000002, 7.0], 3000).tolist()),
+    "floats": ("float", np.float32(_rng.normal(5, 2, 3000)).tolist()),
+    "large longs": ("bigint", [2**62 + int(k) for k in _rng.integers(0, 3000, 3000)]),
+    "longs": ("bigint", [int(k) for k in _rng.integers(-(2**63), 2**63 - 1, 3000)]),
+    "decimals": ("decimal(20,3)", [Decimal(int(k)) / 1000 for k in _rng.integers(-(10**9), 10**9, 3000)]),
+}
+
+
+@pytest.mark.parametrize("name", SPREADS)
+def test_quartiles_by_narrowing(spark, monkeypatch, name):
+    monkeypatch.setattr(statistics, "LAST_ROWS", 20)
+    monkeypatch.setattr(statistics, "BUCKETS", 16)
+    kind, values = SPREADS[name]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], f"v {kind}").repartition(4)
+    row = statistics.quartiles(df, "v").first()
+    assert list(row) == pytest.approx(_plain_quartiles(values), rel=1e-12)
+    assert list(statistics.column_stats(df, "v").summary.select("p25", "median", "p75").first()) == pytest.approx(list(row), rel=1e-12)
+
+
+def test_quartiles_shuffle_counts_and_not_values(spark):
+    values = spark.range(60_000).select((F.col("id") * 7919 % 50_021).cast("double").alias("v")).repartition(4)
+    asked = []
+    original = statistics._narrowed
+    statistics._narrowed = lambda v, intervals, ranks: asked.append(len(ranks)) or original(v, intervals, ranks)
+    try:
+        row = statistics.quartiles(values, "v").first()
+    finally:
+        statistics._narrowed = original
+    assert len(asked) == 1  # one narrowing for all ranks together, then 15 rows a bucket are sorted
+    ordered = sorted(int(k) * 7919 % 50_021 for k in range(60_000))
+    assert list(row) == pytest.approx(_plain_quartiles(ordered))
+
+
 def test_statistics_without_numbers(spark):
     df = spark.createDataFrame([(None,), (float("nan"),)], "v double")
     assert statistics.quartiles(df, "v").first()["median"] is None
