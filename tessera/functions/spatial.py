@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tessera.errors import InvalidRequestError
 from tessera.functions import geometry as geo
 from tessera.functions.boxes import EARTH_RADIUS_KM, BoundingBox
+from tessera.functions.locator import Locator
 
 XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 _XY_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -158,7 +159,7 @@ def st_distance_sphere(first: pa.Array, second: pa.Array) -> pa.Array:
 # -- exact test against one literal shape ---------------------------------------------
 
 class Shape:
-    """A literal geometry: its envelope for pruning, and its exact test."""
+    """A literal geometry: its envelope for pruning, and its exact test through an index of it."""
 
     def __init__(self, wkt: str):
         self.wkt = wkt
@@ -173,26 +174,26 @@ class Shape:
 
         Unrolling the edges into one SQL expression is slower already for ten of them.
         """
-        wanted = self.geometry
+        wanted = Locator(self.geometry)
 
         @F.arrow_udf(T.BooleanType())
         def touches(px: pa.Array, py: pa.Array) -> pa.Array:
             xy = np.column_stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in (px, py)])
-            return pa.array(geo.touches_points(xy, wanted))
+            return pa.array(wanted.touches(xy))
 
         return touches(x, y)
 
     def intersects_wkb(self, wkb: Column) -> Column:
         """Whether any kind of geometry shares a point with the shape."""
-        wanted = self.geometry
+        wanted = Locator(self.geometry)
 
         @F.arrow_udf(T.BooleanType())
         def test(values: pa.Array) -> pa.Array:
             x, y = point_coordinates(values)
-            hit = geo.touches_points(np.column_stack([x, y]), wanted)
+            hit = wanted.touches(np.column_stack([x, y]))
             valid = np.asarray(values.is_valid())
             for i in np.flatnonzero(valid & np.isnan(x)):
-                hit[i] = geo.intersects(geo.from_wkb(values[int(i)].as_py()), wanted)
+                hit[i] = wanted.meets(geo.from_wkb(values[int(i)].as_py()))
             return pa.array(hit, mask=~valid)
 
         return test(wkb)

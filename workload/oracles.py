@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tessera.functions.cells import hex_edge_km, quad_level
 from workload import sqlsuite
-from workload.queries import BOX, LATTICE, NOTCHED, SEVERAL, SEVERAL_SHAPES, SMALL
+from workload.queries import BOX, DETAILED, LATTICE, NOTCHED, SEVERAL, SEVERAL_SHAPES, SMALL
 from workload.views import edge_sql, point_sql
 
 
@@ -242,6 +242,7 @@ ORACLES: dict[str, str] = {
     "wkt_filter": _touching(_from("visits"), NOTCHED),
     "wkt_filter_boundary": _touching(_LATTICE_POINTS, LATTICE),
     "wkt_filter_multipolygon": _touching(_from("visits"), SEVERAL_SHAPES),
+    "wkt_filter_detailed": _touching(_from("visits"), DETAILED),
     "wkt_filter_polygons": _polygons_meeting("zones", NOTCHED),
     "geojson_points": "SELECT id, 'Feature' AS type, 'Point' AS geometry_type, lon, lat, name, confidence "
     f"FROM {_PLACES} WHERE {_in(BOX)}",

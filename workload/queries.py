@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable
 
@@ -20,6 +21,18 @@ from workload.views import catalog, places, points, polygons, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def _coast(corners: int) -> str:
+    """A detailed outline around the middle of the map, by a rule."""
+    ring = []
+    for k in range(corners):
+        turn = 2 * math.pi * k / corners
+        reach = 0.62 + 0.2 * math.sin(7 * turn) + 0.1 * math.sin(61 * turn) + 0.03 * (k * 7919 % 101) / 101
+        ring.append(f"{round(150 * reach * math.cos(turn), 4)} {round(75 * reach * math.sin(turn), 4)}")
+    return f"POLYGON (({', '.join([*ring, ring[0]])}))"
+
+
+DETAILED = _coast(8000)
 BOX = BoundingBox(-60.0, -30.0, 75.5, 48.25)
 SMALL = BoundingBox(2.2, 48.0, 9.5, 55.0)
 SEVERAL = [BoundingBox(-120.0, 30.0, -70.0, 50.0), BoundingBox(0.0, 40.0, 20.0, 60.0), BoundingBox(10.0, 50.0, 90.0, 70.0)]
@@ -325,6 +338,7 @@ QUERIES: dict[str, Query] = {
     "wkt_filter": _wkt(NOTCHED),
     "wkt_filter_boundary": _wkt(LATTICE, "lattice"),
     "wkt_filter_multipolygon": _wkt(SEVERAL_SHAPES),
+    "wkt_filter_detailed": _wkt(DETAILED),
     "wkt_filter_polygons": _polygon_intersects,
     "geojson_points": _features,
     "extent_scan": lambda spark, sf: features.extent_by_scan(points(spark, sf, "parcels")),
