@@ -64,6 +64,20 @@ def wkb_xy(wkb: pa.Array) -> pa.Array:
 wkb_xy = wkb_xy.asNondeterministic()
 
 
+@F.arrow_udf(_XY_TYPE)
+def points_only_xy(wkb: pa.Array) -> pa.Array:
+    """As `wkb_xy`; a geometry that is not a point is an error rather than a row lost."""
+    x, y = point_coordinates(wkb)
+    for k in np.flatnonzero(np.isnan(x) & np.asarray(wkb.is_valid())):
+        kind, _ = geo.from_wkb(wkb[int(k)].as_py())
+        if kind != "Point":
+            raise InvalidRequestError(f"this takes points, and the geometry of a row is a {kind}")
+    return pa.StructArray.from_arrays([_doubles(x), _doubles(y)], fields=list(XY))
+
+
+points_only_xy = points_only_xy.asNondeterministic()
+
+
 @F.arrow_udf(T.DoubleType())
 def st_x(wkb: pa.Array) -> pa.Array:
     return _doubles(point_coordinates(wkb)[0])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidRequestError
 from tessera.functions.boxes import great_circle_km, intersects_any, search_boxes
 from tessera.functions.paths import attribute_filters, projection
-from tessera.functions.spatial import wkb_xy
+from tessera.functions.spatial import points_only_xy
 from tessera.operators.aggregate import top
 
 MAX_RADIUS_KM = 500.0
@@ -39,7 +39,7 @@ def nearest(
 
     The circle's rectangle prunes row groups; the great-circle distance is computed on
     the rows left, rounded to 4 decimals, and both filters and ranks. Coordinates come
-    from the geometry column; ``geometry=None`` takes them from the bbox instead, which
+    from the geometry column, which must hold points; ``geometry=None`` takes them from the bbox instead, which
     is exact when its members are doubles and every feature is a point. Ranking is a
     per-task top k merged on the driver side of the plan, never a full sort.
     """
@@ -56,7 +56,7 @@ def nearest(
     ):
         near = near.where(condition)
     if geometry:
-        near = near.withColumn("__xy", wkb_xy(F.col(geometry)))
+        near = near.withColumn("__xy", points_only_xy(F.col(geometry)))
         x, y = F.col("__xy.x"), F.col("__xy.y")
     else:
         x, y = F.col(f"{bbox}.xmin"), F.col(f"{bbox}.ymin")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import time
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,11 @@ def _scan_rows(plan) -> int:
     return rows
 
 
+def path_of(url: str) -> str:
+    """A file's URL, as Spark reports it, as a path to read: decoded, and with no sign taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(url))
+
+
 def pushdown_report(
     spark: SparkSession,
     path: str,
@@ -75,7 +82,7 @@ def pushdown_report(
         busiest = busiest_file(spark.read.parquet(path), box, bbox).first()
         if busiest is None:
             raise InvalidRequestError("no feature touches this rectangle; widen it")
-        target = busiest["filename"]
+        target = path_of(busiest["filename"])
     table = footers(spark, target)
     cost = scan_report(table, [name_path], box, bbox).first()
     size = footprint(table).first()

@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.errors import InvalidRequestError
 from tessera.functions import geometry as geo
 from tessera.functions.boxes import BoundingBox
-from tessera.functions.spatial import Shape, point_coordinates
+from tessera.functions.spatial import Shape, points_only_xy
 from tessera.functions.tiles import cut, level_of, tile_key_sql
 from tessera.sources.catalog import Catalog, Source
 
@@ -75,24 +74,11 @@ def _level(wkb: pa.Array) -> pa.Array:
     return pa.array([level_of(r) if r else None for r in rings], pa.int32())
 
 
-@F.arrow_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-def _point(wkb: pa.Array) -> pa.Array:
-    """Coordinates of points; any other geometry is an error rather than a row lost."""
-    x, y = point_coordinates(wkb)
-    for k, value in enumerate(wkb):
-        if x[k] != x[k] and value.is_valid:
-            kind, xy = geo.from_wkb(value.as_py())
-            if kind != "Point":
-                raise InvalidRequestError(f"a spatial join in SQL takes points on its inner side, and this is a {kind}")
-    null = x != x
-    return pa.StructArray.from_arrays([pa.array(x, mask=null), pa.array(y, mask=null)], ["x", "y"])
-
-
 def _functions() -> dict:
     from tessera.operators.containment import _in_or_on, _inside_tile
 
     return {
-        "__st_tiles": _tiles, "__st_level": _level, "__st_point": _point.asNondeterministic(),
+        "__st_tiles": _tiles, "__st_level": _level, "__st_point": points_only_xy,
         "__st_contains": _inside_tile, "__st_intersects": _in_or_on,
     }
 

@@ -9,7 +9,6 @@ of common table expressions and lateral joins are not all reachable as plain chi
 from __future__ import annotations
 
 import json
-import re
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -23,7 +22,7 @@ from tessera.errors import CapabilityUnavailableError, InvalidRequestError, Quer
 from tessera.functions.spatial import SQL_FUNCTIONS, register_functions
 from tessera.plans.spatialjoin import SpatialRewrite, register_join_functions
 from tessera.sources.catalog import Catalog
-from tessera.sources.footers import footers, scan_report
+from tessera.sources.footers import Filter, footers, scan_report
 
 DEFAULT_MAX_SECONDS = 60.0
 DEFAULT_MAX_BYTES = 200_000_000
@@ -239,20 +238,22 @@ def collect_within(df: DataFrame, max_seconds: float = DEFAULT_MAX_SECONDS) -> l
         context.removeJobTag(tag)
 
 
-_PUSHED = re.compile(r"(LessThanOrEqual|LessThan|GreaterThanOrEqual|GreaterThan|EqualTo)\(([\w.]+),(-?[\d.]+(?:E-?\d+)?)\)")
-_OPERATORS = {"LessThanOrEqual": "<=", "LessThan": "<", "GreaterThanOrEqual": ">=", "GreaterThan": ">", "EqualTo": "="}
+# Spark's names for the filters it hands to a scan.
+_OPERATORS = {"LessThanOrEqual": "<=", "LessThan": "<", "GreaterThanOrEqual": ">=", "GreaterThan": ">", "EqualTo": "=", "EqualNullSafe": "="}
 
 
-def _top_level(filters: str) -> list[str]:
-    """The elements of '[A(..), B(C(..),..)]': those that all must hold."""
-    parts, depth, start = [], 0, 0
-    inner = filters.strip()[1:-1]
-    for at, char in enumerate(inner):
-        depth += {"(": 1, ")": -1}.get(char, 0)
-        if char == "," and depth == 0:
-            parts.append(inner[start:at].strip())
-            start = at + 1
-    return [p for p in [*parts, inner[start:].strip()] if p]
+def _filter_of(pushed: JavaObject) -> Filter:
+    """A pushed filter as a tree; None for one that statistics cannot judge."""
+    name = pushed.getClass().getSimpleName()
+    if name in ("And", "Or"):
+        return name.lower(), [_filter_of(pushed.left()), _filter_of(pushed.right())]
+    if name == "Not":
+        return "not", _filter_of(pushed.child())
+    if name in _OPERATORS:
+        return pushed.attribute(), _OPERATORS[name], pushed.value()
+    if name == "In":
+        return pushed.attribute(), "in", list(pushed.values())
+    return None
 
 
 def _leaf_paths(data_type: T.DataType, prefix: str = "") -> Iterator[str]:
@@ -265,7 +266,7 @@ def _leaf_paths(data_type: T.DataType, prefix: str = "") -> Iterator[str]:
 
 
 def file_scans(df: DataFrame) -> list[dict]:
-    """Root paths, columns and pushed comparisons of each Parquet scan of a plan."""
+    """Root paths, columns, pushed filter and, of it, the comparisons that all must hold, of each Parquet scan of a plan."""
     plan = df._jdf.queryExecution().executedPlan()
     if "Adaptive" in plan.getClass().getSimpleName():
         plan = plan.initialPlan()
@@ -285,14 +286,12 @@ def file_scans(df: DataFrame) -> list[dict]:
             paths = []
             while roots.hasNext():
                 paths.append(roots.next().toString())
-            pushed = leaf.metadata().get("PushedFilters")
-            comparisons = []
-            for element in _top_level(pushed.get()) if pushed.isDefined() else []:
-                match = _PUSHED.fullmatch(element)
-                if match:
-                    comparisons.append((match[2], _OPERATORS[match[1]], float(match[3])))
+            pushed, filters = leaf.pushedDownFilters().iterator(), []
+            while pushed.hasNext():
+                filters.append(_filter_of(pushed.next()))
+            comparisons = [f for f in filters if f and f[0] not in ("and", "or", "not") and f[1] != "in"]
             schema = T.StructType.fromJson(json.loads(leaf.requiredSchema().json()))
-            scans.append({"paths": paths, "columns": list(_leaf_paths(schema)), "comparisons": comparisons})
+            scans.append({"paths": paths, "columns": list(_leaf_paths(schema)), "comparisons": comparisons, "filter": ("and", filters)})
     return scans
 
 
@@ -306,7 +305,7 @@ def query_cost(df: DataFrame, footers_of: Callable[[list[str]], DataFrame] | Non
     total: DataFrame | None = None
     for scan in file_scans(df):
         table = footers_of(scan["paths"]) if footers_of else footers(spark, *scan["paths"])
-        report = scan_report(table, scan["columns"], scan["comparisons"])
+        report = scan_report(table, scan["columns"], scan["filter"])
         total = report if total is None else total.unionByName(report)
     if total is None:
         raise InvalidRequestError("the query reads no Parquet file")

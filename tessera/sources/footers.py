@@ -9,6 +9,8 @@ engine knows without touching a data page comes from this table: footprint, exte
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -44,7 +46,7 @@ SCHEMA = (
 
 
 def _text(value) -> str | None:
-    if value is None:
+    if value is None or isinstance(value, bytes):  # plain bytes have no order that text has
         return None
     return repr(value) if isinstance(value, float) else str(value)
 
@@ -231,44 +233,99 @@ def geo_metadata(footer_table: DataFrame) -> DataFrame:
     )
 
 
+# -- which row groups a filter leaves ---------------------------------------------------
+
+#: A filter over statistics: ``(path, operator, value)`` with ``<= < >= > = in``, or ``("and", [...])``,
+#: ``("or", [...])``, ``("not", filter)``; None stands for a condition statistics say nothing about.
+Filter = tuple | None
+
+
+def filter_paths(tree: Filter) -> list[str]:
+    if tree is None:
+        return []
+    if tree[0] in ("and", "or"):
+        return [path for part in tree[1] for path in filter_paths(part)]
+    return filter_paths(tree[1]) if tree[0] == "not" else [tree[0]]
+
+
+def _possible(tree: Filter, bounds: dict[str, tuple[Column, Column]]) -> tuple[Column, Column]:
+    """Whether some value within the bounds can make the filter true, and whether one can make it false.
+
+    Missing bounds allow both. NULLs make a comparison neither, so they select no row either way.
+    """
+    yes = F.lit(True)
+    if tree is None:
+        return yes, yes
+    kind = tree[0]
+    if kind in ("and", "or"):
+        parts = [_possible(part, bounds) for part in tree[1]]
+        if not parts:
+            return (yes, F.lit(False)) if kind == "and" else (F.lit(False), yes)
+        both = lambda side, join: functools.reduce(join, (p[side] for p in parts))
+        first, second = (operator.and_, operator.or_) if kind == "and" else (operator.or_, operator.and_)
+        return both(0, first), both(1, second)
+    if kind == "not":
+        true, false = _possible(tree[1], bounds)
+        return false, true
+    path, op, value = tree
+    if op == "in":
+        true, false = _possible(("or", [(path, "=", v) for v in value]), bounds)
+        return true, false
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return yes, yes
+    low, high = bounds[path]
+    if isinstance(value, str):
+        bound = F.lit(value)
+    else:
+        low, high, bound = low.try_cast(T.DoubleType()), high.try_cast(T.DoubleType()), F.lit(float(value))
+    true, false = {
+        "<=": (low <= bound, high > bound),
+        "<": (low < bound, high >= bound),
+        ">=": (high >= bound, low < bound),
+        ">": (high > bound, low <= bound),
+        "=": ((low <= bound) & (high >= bound), (low != bound) | (high != bound)),
+    }[op]
+    return F.coalesce(true, yes), F.coalesce(false, yes)
+
+
 def scan_report(
     footer_table: DataFrame,
     columns: Sequence[str],
-    comparisons: Sequence[tuple[str, str, float]] | BoundingBox = (),
+    comparisons: Sequence[tuple[str, str, float]] | BoundingBox | Filter = (),
     bbox: str = "bbox",
 ) -> DataFrame:
     """What a scan of `columns` has to read, computed before it runs.
 
     `columns` are top-level columns or nested members; `comparisons` are ``(path, operator,
-    number)`` facts that all must hold, or a rectangle. A row group is read when its
-    statistics allow every comparison, or are missing. One row: bytes, row groups, rows
-    and files that survive, the same without pruning, and the ratio.
+    value)`` facts that all must hold, a rectangle, or a whole `Filter` of AND, OR, NOT and IN. A row group
+    is read when some value within its statistics can satisfy the filter, or they are missing. One
+    row: bytes, row groups, rows and files that survive, the same without pruning, and the ratio.
     """
     if isinstance(comparisons, BoundingBox):
         comparisons = comparisons.comparisons(bbox)
+    tree = comparisons
+    if tree is None or not (isinstance(tree, tuple) and tree and isinstance(tree[0], str)):
+        tree = ("and", list(tree or ()))
+    paths = list(dict.fromkeys(filter_paths(tree)))
     name = F.col("column")
     needed = F.lit(False)
-    for path in [*columns, *(path for path, _, _ in comparisons)]:
+    for path in [*columns, *paths]:
         needed = needed | (name == path) | name.startswith(path + ".")
-    possible = F.lit(True)
-    for path, op, value in comparisons:
-        low, high, bound = _number("min_value"), _number("max_value"), F.lit(float(value))
-        allowed = {
-            "<=": low <= bound,
-            "<": low < bound,
-            ">=": high >= bound,
-            ">": high > bound,
-            "=": (low <= bound) & (high >= bound),
-        }[op]
-        possible = possible & F.when(name == path, F.coalesce(allowed, F.lit(True))).otherwise(F.lit(True))
+    bounds = {path: (F.col(f"low_{k}"), F.col(f"high_{k}")) for k, path in enumerate(paths)}
+    ends = [
+        F.max(F.when(name == path, F.col(f"{end}_value"))).alias(f"{side}_{k}")
+        for k, path in enumerate(paths)
+        for side, end in (("low", "min"), ("high", "max"))
+    ]
     groups = (
         footer_table.where(name.isNotNull())
         .groupBy("file", "row_group")
         .agg(
-            F.bool_and(possible).alias("read"),
+            *ends,
             F.coalesce(F.sum(F.when(needed, F.col("compressed_bytes"))), F.lit(0)).alias("bytes"),
             F.first("group_rows").alias("rows"),
         )
+        .withColumn("read", _possible(tree, bounds)[0])
     )
     read = F.col("read")
 

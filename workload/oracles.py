@@ -249,7 +249,8 @@ ORACLES: dict[str, str] = {
     "extent_scan": "SELECT min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat, "
     f"count(*) AS rows_examined FROM {_from('parcels')}",
     "read_forcing": f"SELECT count(*) AS matches, max(length(name)) AS longest_name FROM {_PLACES} WHERE {_in(BOX)}",
-    "busiest_file": "SELECT 'orders.parquet' AS filename, count(*) AS matches FROM orders WHERE o_totalprice >= 1000.0",
+    "busiest_file": f"SELECT cast(floor(lon / 90) as int) AS band, count(*) AS matches FROM {_from('parcels')} WHERE {_in(BOX)} "
+    "GROUP BY 1 ORDER BY matches DESC LIMIT 1",
     "preview": "SELECT c_custkey, c_name FROM customer LIMIT 7",
     "preview_filtered": "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 7",
     "preview_view": f"SELECT id, category FROM {_from('visits')} WHERE id > 20 ORDER BY id LIMIT 5",
@@ -326,6 +327,17 @@ ORACLES: dict[str, str] = {
     "footer_pruning": f"SELECT count(*) AS rows, count(*) FILTER (WHERE {_in(SMALL)}) AS matches, true AS keeps_matches, "
     f"true AS never_more FROM {_from('parcels')}",
     "pushdown_report": f"SELECT 'whole_dataset' AS mode, count(*) AS matches FROM {_from('parcels')} WHERE {_in(SMALL)}",
+    "pushdown_single_file": f"SELECT 'single_file' AS mode, count(*) FILTER (WHERE {_in(SMALL)}) AS matches, true AS never_more, "
+    f"count(*) AS rows FROM {_from('parcels')}",
+    "scan_report_multi": "WITH g AS (SELECT floor(lon / 90) AS band, count(*) AS n, min(lon) AS lon0, max(lon) AS lon1, min(lat) AS lat0, "
+    f"max(measure) AS m1, min(id) AS id0, max(id) AS id1 FROM {_from('parcels')} GROUP BY 1), "
+    "r AS (SELECT *, ((lon1 > 95 AND lat0 <= 10) OR (lon0 < -100 AND lat0 < -20)) AND m1 >= 950 AND "
+    "((id0 <= 9 AND id1 >= 9) OR (id0 <= 17 AND id1 >= 17) OR (id0 <= 1000000000 AND id1 >= 1000000000)) AS read FROM g) "
+    "SELECT cast(coalesce(sum(n) FILTER (WHERE read), 0) as bigint) AS rows_read, count(*) FILTER (WHERE read) AS row_groups_read, "
+    "count(*) FILTER (WHERE read) AS files_touched, cast(sum(n) as bigint) AS rows, count(*) AS files FROM r",
+    "geo_documents": "SELECT n_regionkey::BIGINT AS region, CASE n_regionkey WHEN 0 THEN 'OGC:CRS84' WHEN 1 THEN 'EPSG:' || min(n_nationkey + 4000)::VARCHAR "
+    "WHEN 4 THEN 'unknown' ELSE min(n_name) END AS crs, n_regionkey = 0 AS crs_is_default, 'WKB' AS encoding, '1.0.0' AS geoparquet_version "
+    "FROM nation GROUP BY n_regionkey",
     "scan_report": "SELECT count(*) AS rows_read, count(*) AS rows, cast(1 as bigint) AS files, true AS reads_something FROM lineitem",
     "schema_roles": "SELECT column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' "
     "WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, CASE column_name WHEN 'o_orderpriority' THEN 'name' "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from tessera.functions.boxes import BoundingBox
 from tessera.operators import aggregate, containment, features, nearest, statistics
 from tessera.plans.pushdown import pushdown_report
 from tessera.plans.sqlgate import run_sql
-from tessera.plans.staging import stage
+from tessera.plans.staging import checkpoint_dir, stage
 from tessera.sources import footers
 from tessera.sources.catalog import Catalog, Source, schema_with_roles
 from workload import sqlsuite
@@ -248,6 +249,66 @@ def _footer_pruning(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _banded_parcels(spark: SparkSession, sf: str) -> str:
+    """The parcels in one file per quarter of the longitudes."""
+    path = f"{checkpoint_dir(spark)}/bands-{uuid.uuid4().hex}"
+    banded = points(spark, sf, "parcels").withColumn("band", F.floor(F.col("lon") / 90).cast("int"))
+    banded.select("id", "measure", "category", "lon", "lat", "bbox", "band").repartition("band").write.partitionBy("band").parquet(path)
+    return path
+
+
+#: Either of two rectangles, but no cheap parcel; statistics decide by file.
+TREE = (
+    "and",
+    [
+        ("or", [("and", [("lon", ">", 95.0), ("lat", "<=", 10.0)]), ("and", [("lon", "<", -100.0), ("not", ("lat", ">=", -20.0))])]),
+        ("not", ("measure", "<", 950.0)),
+        ("id", "in", [9, 17, 1_000_000_000]),
+    ],
+)
+
+
+def _scan_report_multi(spark: SparkSession, sf: str) -> DataFrame:
+    report = footers.scan_report(footers.footers(spark, _banded_parcels(spark, sf)), ["measure"], TREE)
+    return report.select("rows_read", "row_groups_read", "files_touched", "rows", "files")
+
+
+def _busiest_band(spark: SparkSession, sf: str) -> DataFrame:
+    found = features.busiest_file(spark.read.parquet(_banded_parcels(spark, sf)), BOX)
+    return found.select(F.regexp_extract("filename", r"band=(-?\d+)", 1).cast("int").alias("band"), "matches")
+
+
+def _pushdown_single(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides of the comparison in a folder whose name needs decoding."""
+    path = f"{checkpoint_dir(spark)}/single file {uuid.uuid4().hex}"
+    points(spark, sf, "parcels").select("id", "category", "bbox").coalesce(1).write.parquet(path)
+    report = pushdown_report(spark, path, SMALL, "category", "single_file")
+    return report.select(
+        "mode", "matches", (F.col("scan_rows_with_pushdown") <= F.col("scan_rows_without_pushdown")).alias("never_more"),
+        F.col("scan_rows_without_pushdown").alias("rows"),
+    )
+
+
+def _geo_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The ``geo`` key of each nation's own document, as a footer would carry it."""
+    crs = F.when(F.col("n_regionkey") == 0, F.lit(None)).when(
+        F.col("n_regionkey") == 1, F.to_json(F.struct(F.struct(F.lit("EPSG").alias("authority"), (F.col("n_nationkey") + 4000).alias("code")).alias("id")))
+    ).when(F.col("n_regionkey") == 2, F.to_json(F.struct(F.col("n_name").alias("name")))).when(F.col("n_regionkey") == 3, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(F.lit("{}"))
+    document = F.concat(
+        F.lit('{"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"], "crs": '),
+        F.coalesce(crs, F.lit("null")), F.lit("}}}"),
+    )
+    real = footers.footers(spark, f"{sf}/nation.parquet")
+    held = table(spark, sf, "nation").select("n_regionkey", "n_name", document.alias("document"))
+    out: DataFrame | None = None
+    for region in range(5):
+        first = held.where(F.col("n_regionkey") == region).agg(F.min("document").alias("document"))
+        found = footers.geo_metadata(real.withColumn("geo", first.scalar()))
+        found = found.select(F.lit(region).cast("bigint").alias("region"), "crs", "crs_is_default", "encoding", "geoparquet_version")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _pushdown(spark: SparkSession, sf: str) -> DataFrame:
     report = pushdown_report(spark, _staged_parcels(spark, sf), SMALL, "category", "whole_dataset")
     return report.select("mode", "matches")
@@ -273,18 +334,6 @@ def _schema_roles(spark: SparkSession, sf: str) -> DataFrame:
     return schema_with_roles(table(spark, sf, "orders"), source).join(held, "column").drop("position")
 
 
-def _busiest(spark: SparkSession, sf: str) -> DataFrame:
-    """The file that holds most of a range, and its matches."""
-    return aggregate.top(
-        table(spark, sf, "orders")
-        .where(F.col("o_totalprice") >= 1000.0)
-        .groupBy(F.regexp_extract(F.col("_metadata.file_path"), r"([a-z]+\.parquet)$", 1).alias("filename"))
-        .agg(F.count(F.lit(1)).alias("matches")),
-        1,
-        F.col("matches").desc(),
-    )
-
-
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     chosen = features.spatial_filter(
         places(spark, sf), box=BOX, columns=["id", "names.primary", "confidence"], include_geometry=False, **PLACE_ROLES
@@ -343,7 +392,7 @@ QUERIES: dict[str, Query] = {
     "geojson_points": _features,
     "extent_scan": lambda spark, sf: features.extent_by_scan(points(spark, sf, "parcels")),
     "read_forcing": lambda spark, sf: features.forced_read(places(spark, sf), BOX, "names.primary"),
-    "busiest_file": _busiest,
+    "busiest_file": _busiest_band,
     "preview_filtered": lambda spark, sf: features.preview(
         table(spark, sf, "customer").where("c_custkey > 100"), ["c_custkey", "c_name"], 7
     ),
@@ -423,6 +472,9 @@ QUERIES: dict[str, Query] = {
     "footer_extent": _footer_extent,
     "footer_pruning": _footer_pruning,
     "pushdown_report": _pushdown,
+    "pushdown_single_file": _pushdown_single,
+    "scan_report_multi": _scan_report_multi,
+    "geo_documents": _geo_documents,
     "scan_report": _scan_report,
     "schema_roles": _schema_roles,
     # guarded SQL
