@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import html_extract as hx
 
@@ -17,6 +20,11 @@ PAGES = {
     "<p>a<style>p{}</style>b</p><textarea>no</textarea>": "ab",
     "plain text\nonly": "plain text only",
     "<div role=navigation>x</div><table><tr><td>1<td>2<tr><td>3</table>": "1\n2\n3",
+    "<article>one</article><p>between</p><article><p>two</article>": "one\ntwo",
+    "<p title='a hidden gem'>k</p><p data-hidden=1>l</p><p hidden>no</p><p hidden=''>no</p>": "k\nl",
+    "<article><p class='share price'>x</p><div class='related-work'>y</div><div class='box ad'>no</div></article>": "x\ny",
+    "<p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> and <svg><title>no</title><text>t</text></svg></p>": "E = mc2 and t",
+    "<p don't>x</p><p>can't</p>": "x\ncan't", "<p a='1>x</p><p>y": "", "<p a = \"1>2\" b>x</p>": "x",
     "<": "<", "": "", "<p": "", "</p></div>": "",
 }
 
@@ -58,3 +66,42 @@ def test_template_outside_the_main_element(llm):
 def test_empty_table(llm):
     none = llm.createDataFrame([], "page_id bigint, url string, html string, host string, hashes int")
     assert hx.extract(none).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000 + '"', "<a b='" * 100_000, "<div>" * 100_000 + "</b>" * 100_000, "<p a" + "x" * 500_000, "<!--" * 100_000, "<li>" * 100_000, "<script" * 100_000])
+def test_damaged_pages_are_read_in_one_go(page):
+    start = time.process_time()
+    hx.main_text(page)
+    assert time.process_time() - start < 20
+
+
+def template_site(hosts: int, n: int) -> list[tuple]:
+    """Containers that no list of words knows, on some pages of some hosts."""
+    rows = []
+    for host in range(hosts):
+        boxes = [f"<div class='x{host}{k}'><p>box {host} {k}</p></div>" for k in range(4)]
+        for k in range(n):
+            held = [b for j, b in enumerate(boxes) if (k * 7 + j) % (j + 2) == 0]
+            rows.append((host * 100 + k, f"https://h{host}.org/{k}", f"<article><p>story {host} {k % (n - 2)}</p>{''.join(held)}<section><p>own {k}</p></section></article>"))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [hx.BROADCAST_BYTES, -1])
+def test_counts_per_host_decide(llm, limit):
+    rows = template_site(3, 14)
+    pages = llm.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    pages = pages.select("*", *(F.lit(k).alias(name) for k, name in enumerate(("host", "row", "id", "hashes", "texts", "text", "gone", "a.b"))))
+    seen: dict[tuple, set] = {}
+    for _, url, page in rows:
+        text = hx.main_text(page)
+        for _, around in hx.page_blocks(page):
+            for h in around:
+                seen.setdefault((url.split("/")[2], h), set()).add(text)
+    recurring = {key for key, texts in seen.items() if len(texts) >= hx.MIN_PAGES}
+    parsed = hx.parsed_pages(pages)
+    assert {(r.host, r.hash) for r in hx.recurring_subtrees(parsed).collect()} == recurring and recurring
+    got = {r.page_id: r.text for r in hx.extract(pages, broadcast_bytes=limit).collect()}
+    plain = {p: hx.main_text(page, {h for host, h in recurring if host == url.split("/")[2]}) for p, url, page in rows}
+    assert got == plain
+    ignored = {r.page_id: r.text for r in hx.extract(pages, min_pages=10**9).collect()}
+    assert sum(got[p] != ignored[p] for p in got) > len(got) / 3
