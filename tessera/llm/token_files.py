@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -44,6 +45,16 @@ END_ID = 1
 CACHE = 350_000
 
 
+def _byte_signs() -> dict[int, int]:
+    """The byte alphabet of such files: bytes with a printable sign keep it, the others follow from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class WordEncoder:
     """Ids of texts by the ``tokenizers`` library, word by word with a memo.
 
@@ -59,57 +70,65 @@ class WordEncoder:
         with open(path) as file:
             rules = json.load(file)
         self.folds = '"Lowercase"' in json.dumps(rules["normalizer"])
-        # the pattern has letters, and signs that are neither letters nor numbers, in parts of their own
-        self.apart = r"[\p{L}]+" in (text := json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\")) and r"[^\s\p{L}\p{N}]+" in text
-        self.memo: dict[str, bytes] = {}
+        # the pattern has letters, and signs that are neither letters nor numbers, in parts of their own; then bytes become signs
+        text = json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\")
+        self.apart = r"[\p{L}]+" in text and r"[^\s\p{L}\p{N}]+" in text and '"ByteLevel"' in text
+        self.normalizer, self.splitter, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        #: Texts of tokens that are cut out before anything else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sign = {"<u2": "H", "<u4": "I"}[kind]
+        self.memo = _Memo(self._learn)
         self.older: dict[str, bytes] = {}
-        self.kind = kind
-
-        # a special token between words shows where each word's ids end
-        specials = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
-        self.mark = (specials[0][0], specials[0][1].content) if specials else None
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, many in one call: the library's cost is per call more than per word."""
-        if self.mark is None or any(self.mark[1] in w for w in words):
-            for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(found.ids, self.kind).tobytes()
-            return
-        joined = f" {self.mark[1]} ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-        starts = np.append(0, ends[:-1] + 1)
-        raw, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-        for word, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist(), strict=True):
-            self.memo[word] = raw[a:b]
 
-    def _folded(self, stem: str) -> str:
-        return self.tokenizer.normalizer.normalize_str(stem) if self.tokenizer.normalizer else stem
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word not in the memo: the library's steps one by one, without its per-call cost.
+
+        A full stop or comma after letters is a piece of its own, and letters are one piece,
+        unless the normaliser makes more than letters of them.
+        """
+        if word in self.older:
+            return self.older[word]
+        if self.apart:
+            if len(word) > 1 and word[-1] in ".,":
+                stem = word[:-1]
+                if stem.isalpha() and (stem.isascii() or self._folded(stem).isalpha()):
+                    return self.memo[stem] + self.memo[word[-1]]
+            elif word.isalpha():
+                if word.isascii():
+                    low = word.lower() if self.folds else word
+                    return self.memo[low] if low != word else self._packed(self.model.tokenize(low))
+                folded = self._folded(word)
+                if folded.isalpha():
+                    return self._packed(self.model.tokenize(folded.encode().decode("latin-1").translate(_BYTE_SIGNS)))
+        if any(content in word for content in self.added) or not self.normalizer or not self.splitter:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}{self.sign}", *ids)
+        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))
+        return self._packed([t for piece, _ in pieces for t in self.model.tokenize(piece)])
+
+    def _packed(self, tokens: list) -> bytes:
+        return struct.pack(f"<{len(tokens)}{self.sign}", *[t.id for t in tokens])
 
-    def _parts(self, word: str) -> tuple[str, ...]:
-        """A word of letters with a full stop or comma as these two, in lower case if the file's normaliser
-        sees no difference; other words whole, as are those that the normaliser gives more than letters."""
-        stem, tail = (word[:-1], (word[-1],)) if word[-1:] in (".", ",") else (word, ())
-        if not stem.isalpha() or not self.apart or not (stem.isascii() or self._folded(stem).isalpha()):
-            return (word,)
-        return (stem.lower() if self.folds and stem.isascii() else stem, *tail)
+    def _folded(self, stem: str) -> str:
+        return self.normalizer.normalize_str(stem) if self.normalizer else stem
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned ids of every text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > CACHE:  # words in use move on to the new memo, the others are forgotten
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        fresh = {w for words in split for w in words if w not in memo}
-        made = {w: parts for w in fresh if w not in older and (parts := self._parts(w)) != (w,)}
-        need = {x for parts in made.values() for x in parts if x not in memo} | (fresh - made.keys())
-        memo.update((w, older[w]) for w in need if w in older)
-        need = [w for w in need if w not in memo]
-        for at in range(0, len(need), 1000):
-            self._learn(need[at : at + 1000])
-        for word, parts in made.items():
-            memo[word] = b"".join([memo[x] for x in parts])
-        return [b"".join([memo[w] for w in words]) for words in split]
+            self.memo, self.older = _Memo(self._learn), self.memo
+        known = self.memo.__getitem__
+        return [b"".join(map(known, (t or "").replace("\n", " ").split(" "))) for t in texts]
+
+
+class _Memo(dict):
+    """Ids by word; a word looked up for the first time is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
