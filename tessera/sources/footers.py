@@ -100,16 +100,25 @@ def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def footers(spark: SparkSession, *paths: str) -> DataFrame:
-    """The footer table of every Parquet file under the given paths."""
-    listing = (
+def listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path``, ``length`` and ``modificationTime`` of every Parquet file; no file is opened."""
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
         .load(list(paths))
-        .select("path", "length")
+        .select("path", "length", "modificationTime")
     )
-    return listing.mapInArrow(_read_footers, SCHEMA)
+
+
+def footers_of(files: DataFrame) -> DataFrame:
+    """The footer table of listed files, read on the executors."""
+    return files.select("path", "length").mapInArrow(_read_footers, SCHEMA)
+
+
+def footers(spark: SparkSession, *paths: str) -> DataFrame:
+    """The footer table of every Parquet file under the given paths."""
+    return footers_of(listing(spark, *paths))
 
 
 def _files(footer_table: DataFrame) -> DataFrame:

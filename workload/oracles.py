@@ -329,6 +329,8 @@ ORACLES: dict[str, str] = {
     "pushdown_report": f"SELECT 'whole_dataset' AS mode, count(*) AS matches FROM {_from('parcels')} WHERE {_in(SMALL)}",
     "pushdown_single_file": f"SELECT 'single_file' AS mode, count(*) FILTER (WHERE {_in(SMALL)}) AS matches, true AS never_more, "
     f"count(*) AS rows FROM {_from('parcels')}",
+    "footers_kept": "SELECT cast(floor(lon / 90) as int) AS band, count(*) AS row_count, min(measure) AS low, max(measure) AS high "
+    f"FROM {_from('parcels')} GROUP BY 1",
     "scan_report_multi": "WITH g AS (SELECT floor(lon / 90) AS band, count(*) AS n, min(lon) AS lon0, max(lon) AS lon1, min(lat) AS lat0, "
     f"max(measure) AS m1, min(id) AS id0, max(id) AS id1 FROM {_from('parcels')} GROUP BY 1), "
     "r AS (SELECT *, ((lon1 > 95 AND lat0 <= 10) OR (lon0 < -100 AND lat0 < -20)) AND m1 >= 950 AND "

@@ -17,6 +17,7 @@ from tessera.plans.sqlgate import run_sql
 from tessera.plans.staging import checkpoint_dir, stage
 from tessera.sources import footers
 from tessera.sources.catalog import Catalog, Source, schema_with_roles
+from tessera.sources.footerstore import kept_footers
 from workload import sqlsuite
 from workload.views import catalog, places, points, polygons, table
 
@@ -217,6 +218,17 @@ def _footprint(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _footers_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Row groups by file, from a store that a second call finds complete."""
+    store, path = f"{checkpoint_dir(spark)}/footers-{uuid.uuid4().hex}", _banded_parcels(spark, sf)
+    kept_footers(spark, store, path)
+    kept = kept_footers(spark, store, path).where("column = 'measure'")
+    band = F.regexp_extract("file", r"band=(-?\d+)", 1).cast("int")
+    return kept.groupBy(band.alias("band")).agg(
+        F.sum("group_rows").alias("row_count"), F.min(F.col("min_value").cast("double")).alias("low"), F.max(F.col("max_value").cast("double")).alias("high")
+    )
+
+
 def _footer_bounds(spark: SparkSession, sf: str) -> DataFrame:
     wanted = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey", "l_linenumber"]
     return (
@@ -473,6 +485,7 @@ QUERIES: dict[str, Query] = {
     "footer_pruning": _footer_pruning,
     "pushdown_report": _pushdown,
     "pushdown_single_file": _pushdown_single,
+    "footers_kept": _footers_kept,
     "scan_report_multi": _scan_report_multi,
     "geo_documents": _geo_documents,
     "scan_report": _scan_report,
