@@ -1,7 +1,7 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic regression over words and style marks gives every document its own evidence
-for a label (good quality, toxic). Sites are estimated from that evidence by grouped
+A logistic regression over all words, their beginnings and style marks (hashed into ``BUCKETS``
+features, so no term is left out) gives every document its own evidence for a label (good quality, toxic). Sites are estimated from that evidence by grouped
 aggregation: the mean of a host is shrunk toward the global mean, that of a path within the
 host toward the host's, each by as many pseudo-documents as the spread between sites warrants
 (method of moments). The document's odds are then moved by what its path's posterior, without
@@ -15,16 +15,15 @@ Defined cases: a null text is empty and is judged by its style marks; null hosts
 are the site ``""``; labels that are null, or whose document is missing, are ignored, and of
 several labels of a document the worst counts; with fewer than two classes among the labels
 every document has the labels' share as evidence (one half without labels); repeated rows are
-judged one by one; other columns are carried along by ``keep_good`` or not read; an empty
+judged one by one; other columns are not read; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +31,10 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import broadcast_if, measured, stage
 
 FIT_ROWS = 20_000
-#: Terms of a model: those that the labels set apart most, among terms of so many fitting documents.
-TERMS, MIN_DOCUMENTS = 128, 10
+#: Features that terms are hashed into, and letters of a word's beginnings, which its inflected forms share.
+BUCKETS, STEMS = 1 << 16, (4, 6, 8)
+#: Weight of the squared coefficients in a fit.
+REGULAR = 1e-3
 #: Probabilities are kept this far from 0 and 1.
 EDGE = 1e-6
 #: Pseudo-documents by which sites are shrunk, at least and at most.
@@ -43,7 +44,7 @@ MIN_GOOD, MAX_TOXIC = 0.5, 0.5
 
 
 def evidence_terms(text: Column) -> Column:
-    """Distinct lower-case words, and style marks in tenths of shares (with a sign no word has)."""
+    """Distinct lower-case words and beginnings of longer ones, and style marks in tenths of shares (with a sign no word has)."""
     text = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
     distinct = F.array_distinct(words)
@@ -57,7 +58,10 @@ def evidence_terms(text: Column) -> Column:
         F.concat(F.lit("#distinct "), share(F.size(distinct), F.size(words))),
         F.concat(F.lit("#length "), F.floor(F.log2(length + 1)).cast("string")),
     )
-    return F.concat(distinct, style)
+    stems = [
+        F.transform(F.filter(distinct, lambda w: F.char_length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS
+    ]
+    return F.concat(distinct, *stems, style)
 
 
 def _worst_labels(labels: DataFrame, id: str, worst: dict[str, str]) -> DataFrame:
@@ -79,38 +83,19 @@ def fit(docs: DataFrame, labels: DataFrame, worst: dict[str, str], id: str = "do
         if stats["classes"] < 2:
             models[name] = stats["ones"] / stats["n"] if stats["n"] else 0.5
             continue
-        models[name] = _fit_one(known, name, stats["n"], stats["ones"]) or stats["ones"] / stats["n"]
+        hashed = HashingTF(numFeatures=BUCKETS, inputCol="terms", outputCol="features")
+        regression = LogisticRegression(
+            featuresCol="features", labelCol=name, maxIter=60, regParam=REGULAR, elasticNetParam=1.0, standardization=False,
+            probabilityCol="probability", rawPredictionCol="raw", predictionCol="predicted",
+        )
+        models[name] = Pipeline(stages=[hashed, regression]).fit(known)
     return models
 
 
-def _fit_one(known: DataFrame, label: str, n: int, ones: float) -> PipelineModel | None:
-    """A sparse regression over the terms that differ most between the classes picks those that matter,
-    a second one weighs them unshrunk; None if no term matters."""
-    held = known.select(F.explode("terms").alias("term"), label).groupBy("term").agg(F.count("*").alias("n"), F.sum(label).alias("ones"))
-    apart = F.abs(F.col("ones") / ones - (F.col("n") - F.col("ones")) / (n - ones)) / F.sqrt(F.col("n"))
-    rows = held.where(F.col("n") >= MIN_DOCUMENTS).orderBy(apart.desc(), "term").limit(TERMS).collect()
-    if not rows:
-        return None
-    words = [row["term"] for row in rows]
-
-    def counts(vocabulary: list[str]) -> CountVectorizerModel:
-        return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features").setBinary(True)
-
-    options = {"featuresCol": "features", "labelCol": label, "maxIter": 50, "regParam": 5e-4, "elasticNetParam": 1.0, "standardization": False}
-    weights = LogisticRegression(**options).fit(counts(words).transform(known)).coefficients.toArray()
-    chosen = [words[k] for k in np.flatnonzero(weights)]
-    if not chosen:
-        return None
-    options |= {"regParam": 1e-4, "elasticNetParam": 0.0, "probabilityCol": "probability", "rawPredictionCol": "raw", "predictionCol": "predicted"}
-    return Pipeline(stages=[counts(chosen), LogisticRegression(**options)]).fit(known)
-
-
-def evidence(docs: DataFrame, models: dict, host: str, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+def evidence(docs: DataFrame, models: dict, host: str | Column, path: str | Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``id``, ``host``, ``path`` and a probability for every label."""
-    df = docs.select(
-        docs[id].alias("id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"),
-        F.coalesce(docs[path].cast("string"), F.lit("")).alias("path"), evidence_terms(docs[text]).alias("terms"),
-    )
+    site = lambda c: F.coalesce((docs[c] if isinstance(c, str) else c).cast("string"), F.lit(""))
+    df = docs.select(docs[id].alias("id"), site(host).alias("host"), site(path).alias("path"), evidence_terms(docs[text]).alias("terms"))
     for name, model in models.items():
         if isinstance(model, float):
             df = df.withColumn(name, F.lit(model))
@@ -160,7 +145,7 @@ def combine(scores: DataFrame, name: str, broadcast_bytes: int = BROADCAST_BYTES
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id: str = "doc_id", text: str = "text",
+    docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column = "lang", id: str = "doc_id", text: str = "text",
     quality: str = "quality", toxic: str = "toxic", rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Per document: id, ``good`` and ``bad`` (posterior of quality and toxicity) and ``kept``."""

@@ -59,7 +59,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    """A site is a source, a path its language and the binary order of the text's length: many are sparse."""
+    path = F.concat_ws("/", "lang", F.floor(F.log2(F.char_length("text") + 1)).cast("string"))
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), path=path)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

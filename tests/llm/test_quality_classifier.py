@@ -57,5 +57,31 @@ def test_awkward_rows_and_few_labels(llm, docs, labels):
     assert all(0 < r.good <= 1 and 0 <= r.bad < 1 for r in got)
 
 
+def test_inflected_words_share_evidence(llm):
+    """Toxic words of one stem, each form of its own: only beginnings can tell."""
+    rng, words = random.Random(9), PROSE.split()
+    forms = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    docs = [(k, " ".join([*rng.choices(words, k=50), *(["scurrilo" + forms[k]] * (k % 4 == 0))]), "es", "s", 0) for k in range(800)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(400)]
+    got = qc.classify(llm.createDataFrame(docs, DOC), llm.createDataFrame(labels, LABEL)).collect()
+    assert sum(r.kept == (r.doc_id % 4 != 0) for r in got if r.doc_id >= 400) >= 0.97 * 400
+
+
+def test_planted_site_effects_are_found_and_move_verdicts(llm):
+    """Sites whose documents are mostly bad draw their undecided ones down; sparse sites stay near the prior."""
+    rows, k = [], 0
+    for site, n, share in [("bad", 400, 0.9), ("good", 400, 0.1), ("sparse", 2, 1.0)]:
+        for j in range(n):
+            rows.append((k, site, "p", 0.95 if j < share * n else 0.05))
+            k += 1
+        rows.append((k, site, "p", 0.52))
+        k += 1
+    scores = llm.createDataFrame(rows, "id bigint, host string, path string, bad double")
+    _, mean, strength = qc.site_posteriors(scores, "bad")
+    assert 1 < strength < 100 and 0.4 < mean < 0.6  # the spread between sites is far beyond chance
+    undecided = {r.host: r.bad for r in qc.combine(scores, "bad").where("id in (400, 801, 804)").collect()}
+    assert undecided["bad"] > 0.8 > undecided["sparse"] > 0.5 > 0.2 > undecided["good"]
+
+
 def test_empty_table(llm, no_docs):
     assert qc.classify(no_docs, llm.createDataFrame([(1, 0, 1)], LABEL)).count() == 0
