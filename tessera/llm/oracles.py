@@ -180,3 +180,19 @@ def hard_negatives() -> str:
             s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
         FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
     SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM h WHERE r <= 3"""
+
+
+def minhash() -> str:
+    """All pairs that share a shingle, their exact similarity, and the least id that reaches each document."""
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+    WITH RECURSIVE t AS (SELECT doc_id, coalesce(regexp_extract_all({lowered}, '{_WORD}'), []) AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM t),
+    u AS (SELECT doc_id, unnest(sh) AS x FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r(d, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT v.b, r.m FROM r JOIN both_ways v ON v.a = r.d AND r.m < v.b)
+    SELECT n.doc_id, n.n AS n_shingles, min(r.m) AS component_id, min(r.m) = n.doc_id AS kept
+    FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.n"""

@@ -160,5 +160,6 @@ ORACLES: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES, LISTED_WORDS),
     "op3_quality_rules": oracles.quality_rules(),
     "op11_hard_negatives": oracles.hard_negatives(),
+    "op12_minhash": oracles.minhash(),
     "op13_merkle_manifest": oracles.merkle_manifest(),
 }
