@@ -5,10 +5,13 @@ up, and the few edges stored with the tile decide. Nothing is compared outside i
 so there is neither a nested-loop join nor an all-pairs step, and a point in a tile that is
 wholly inside a polygon needs no test at all.
 
+Polygons of equal geometry are one shape: it is cut once, its tiles carry a number instead of
+names, and names come back after the test, to counts per shape or to the pairs.
+
 The tile table is staged, so its size is known. While it is small it is broadcast and the
-points are never shuffled. Beyond that both sides are shuffled by tile, and a tile with too
-many candidate pairs is split in two directions, so that neither many points nor many
-polygons in one tile end up in one task.
+points are never shuffled. Beyond that equal points are merged, both sides are shuffled by tile,
+and a tile with too many candidate pairs is split in two directions, so that neither many points
+nor many polygons in one tile end up in one task.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ HOT_ROW_BYTES = 64
 TILE_PAIRS = 20_000_000
 # ... and polygon rows per task in a tile that is split.
 TILE_POLYGONS = 10_000
+# Rows that one merged row becomes at a time.
+COPIES_AT_ONCE = 4096
 
 
 def tile_table(
@@ -154,8 +159,40 @@ def contained_pairs(
     on the way to a hot tile become rows of their own again, so no limit changes the result.
     """
     pairs = _weighted_pairs(points, tiles, point_columns, polygon_columns, broadcast_bytes, tile_pairs)
-    again = pairs.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
-    return again.select(*point_columns, *polygon_columns)
+    return _rows_again(pairs, [*point_columns, *polygon_columns])
+
+
+def _rows_again(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each row ``weight`` times, in lists of bounded length."""
+    at_once = F.lit(COPIES_AT_ONCE).cast("bigint")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("weight") - 1) / at_once).cast("bigint"))
+    dealt = pairs.select(*columns, "weight", F.explode(blocks).alias("__block"))
+    here = F.least(at_once, F.col("weight") - F.col("__block") * at_once)
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), here))).select(*columns)
+
+
+def _by_shape(
+    polygons: DataFrame, keep: Sequence[Column], names: Sequence[str], geometry: str, box: BoundingBox | None
+) -> tuple[DataFrame, DataFrame, dict]:
+    """Tiles of the distinct geometries (by ``__shape``), the polygons that have each of them, and their measure.
+
+    The polygons are rows of ``__shape``, the kept columns and ``copies``, the number of equal ones.
+    """
+    named = polygons.select(*keep, F.col(geometry).alias("__geometry")).where(F.col("__geometry").isNotNull())
+    # Staged, so that the number given here is the same wherever the shapes are used.
+    shapes = stage(
+        named.select("__geometry").distinct().withColumn("__shape", F.monotonically_increasing_id()), "shapes"
+    )
+    tiles = stage(tile_table(shapes, [F.col("__shape")], "__geometry", box=box), "tiles")
+    same = named.groupBy("__geometry", *names).agg(F.count(F.lit(1)).alias("copies"))
+    members = stage(same.join(shapes, "__geometry").select("__shape", *names, "copies"), "members")
+    facts = measured(
+        members,
+        rows=F.count(F.lit(1)),
+        carried=F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*names)))), F.lit(0)),
+        shapes=F.count_distinct("__shape"),
+    )
+    return tiles, members, facts | {"size": 64 * facts["rows"] + facts["carried"]}
 
 
 def _weighted_pairs(
@@ -170,6 +207,8 @@ def _weighted_pairs(
     facts = _tile_facts(tiles, polygon_columns)
     split = facts["chunks"] > 1
     base = points.select(*point_columns, "__x", "__y", F.lit(1).cast("bigint").alias("weight"))
+    if facts["size"] > broadcast_bytes:
+        base = base.groupBy(*point_columns, "__x", "__y").agg(F.sum("weight").alias("weight"))
     joined = _candidates(base, tiles, facts, lambda level: [], broadcast_bytes, tile_pairs)
     x, y = F.col("__x"), F.col("__y")
     kept = [*point_columns, *polygon_columns]
@@ -317,7 +356,7 @@ def _shuffled_join(
     keys = list(keys)
     # The tile table may compress to less than Spark's own broadcast threshold.
     tiles = tiles.hint("merge")
-    held = keyed.groupBy(*keys).agg(F.sum("weight").alias("held"))
+    held = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
     stacked = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("stacked"))
     load = stage(
         held.join(stacked, keys).withColumn("pairs", F.col("held").cast("double") * F.col("stacked")), "tile-load"
@@ -379,15 +418,19 @@ def points_in_polygons(
     `polygon_columns` are ``path AS alias`` items. Every pair is a row, at every size.
     """
     keep = projection(polygons, None, tuple(polygon_columns))
-    tiles = stage(tile_table(within(polygons, box, polygon_bbox), keep, polygon_geometry, box=box), "tiles")
-    return contained_pairs(
-        with_coordinates(within(points, box, point_bbox), point_bbox, point_geometry),
-        tiles,
-        point_columns=list(point_columns),
-        polygon_columns=[item.partition(" AS ")[2] or item for item in polygon_columns],
-        broadcast_bytes=broadcast_bytes,
-        tile_pairs=tile_pairs,
-    )
+    names = [item.partition(" AS ")[2] or item for item in polygon_columns]
+    tiles, members, facts = _by_shape(within(polygons, box, polygon_bbox), keep, names, polygon_geometry, box)
+    located = with_coordinates(within(points, box, point_bbox), point_bbox, point_geometry)
+    limits = {"broadcast_bytes": broadcast_bytes, "tile_pairs": tile_pairs}
+    columns = [*point_columns, *names]
+    if facts["size"] > BROADCAST_BYTES and facts["rows"] < 2 * facts["shapes"]:
+        # Mostly shapes of one polygon: names travel with the tiles, and the pairs are not moved again.
+        tiles = stage(tiles.join(members, "__shape"), "named-tiles")
+        pairs = _weighted_pairs(located, tiles, point_columns, [*names, "copies"], **limits)
+    else:
+        found = _weighted_pairs(located, tiles, point_columns, ["__shape"], **limits)
+        pairs = found.join(broadcast_if(members, facts["size"], BROADCAST_BYTES), "__shape")
+    return _rows_again(pairs.withColumn("weight", F.col("weight") * F.col("copies")), columns)
 
 
 def count_in_polygons(
@@ -427,14 +470,19 @@ def count_in_polygons(
     names = ["polygon_name", "polygon_subtype"]
     if areal:
         keep.append(_outline(F.col(polygon_geometry)).alias("__env"))
-    tiles = stage(tile_table(areas, keep, polygon_geometry, box=None if areal else box), "tiles")
     limits = {"broadcast_bytes": broadcast_bytes, "tile_pairs": tile_pairs}
     chosen = within(points, box, point_bbox)
     if areal:
+        tiles = stage(tile_table(areas, keep, polygon_geometry), "tiles")
         inside = areas_in_polygons(chosen, tiles, names, point_geometry, **limits)
     else:
+        tiles, members, facts = _by_shape(areas, keep, names, polygon_geometry, box)
         located = with_coordinates(chosen, point_bbox, point_geometry)
-        inside = _weighted_pairs(located, tiles, (), names, **limits)
+        found = _weighted_pairs(located, tiles, (), ["__shape"], **limits)
+        held = found.groupBy("__shape").agg(F.sum("weight").alias("weight"))
+        inside = held.join(broadcast_if(members, facts["size"], BROADCAST_BYTES), "__shape").withColumn(
+            "weight", F.col("weight") * F.col("copies")
+        )
     counts = inside.groupBy("polygon_name", "polygon_subtype").agg(F.sum("weight").alias("feature_count"))
     return top(
         counts,

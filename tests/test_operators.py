@@ -425,6 +425,47 @@ def test_equal_points_are_rows_of_their_own_at_every_limit(spark, mosaic, limits
     assert got == {k: 3 * n for k, n in wanted.items()}
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "tile_pairs": 10}], ids=["broadcast", "shuffled", "hot tiles"])
+def test_equal_shapes_and_points_cost_their_tiles_once(spark, mosaic, monkeypatch, limits):
+    named, xy, wanted = mosaic
+    held = {}
+
+    def staged(df, name, keep=containment.stage):
+        held[name] = keep(df, name)
+        return held[name]
+
+    monkeypatch.setattr(containment, "stage", staged)
+    monkeypatch.setattr(containment, "COPIES_AT_ONCE", 3, raising=False)
+    seen = []
+    for times in (1, 5):
+        again = [(f"{name} {k % 3}", subtype, rings) for name, subtype, rings in named for k in range(times)]
+        many = point_frame(spark, *np.repeat(xy, times, axis=0).T).withColumn("label", F.lit("p"))
+        polygons = spark.createDataFrame(polygon_rows(again), POLYGON_SCHEMA)
+        share = {f"{k % 3}": len(range(k, times, 3)) for k in range(min(times, 3))}
+        expected = {(f"{name} {k}", subtype): n * times * copies for (name, subtype), n in wanted.items() for k, copies in share.items()}
+        rows = containment.count_in_polygons(many, polygons, point_geometry=None, subtype_column="subtype", **limits).collect()
+        assert {(r["polygon_name"], r["polygon_subtype"]): r["feature_count"] for r in rows} == expected
+        seen.append((held["tiles"].count(), held["tile-load"].agg(F.max("pairs")).first()[0] if limits else 0))
+        pairs = containment.points_in_polygons(
+            many, polygons, point_columns=["label"], polygon_columns=["names.primary AS polygon_name", "subtype"], point_geometry=None, **limits
+        )
+        assert {(r["polygon_name"], r["subtype"]): r["count"] for r in pairs.groupBy("polygon_name", "subtype").count().collect()} == expected
+    assert seen[0] == seen[1]
+
+
+def test_names_travel_with_the_tiles_of_many_single_shapes(spark, mosaic, monkeypatch):
+    named, xy, wanted = mosaic
+    monkeypatch.setattr(containment, "BROADCAST_BYTES", 0)
+    pairs = containment.points_in_polygons(
+        point_frame(spark, xy[:, 0], xy[:, 1]), spark.createDataFrame(polygon_rows([*named, named[0]]), POLYGON_SCHEMA),
+        point_columns=["id"], polygon_columns=["names.primary AS polygon_name", "subtype"], point_geometry=None, broadcast_bytes=0,
+    )
+    got = {(r["polygon_name"], r["subtype"]): r["count"] for r in pairs.groupBy("polygon_name", "subtype").count().collect()}
+    name, subtype, rings = named[0]
+    odd, on = geo.locate(xy[:, 0], xy[:, 1], geo.ring_edges(rings))
+    assert got == wanted | {(name, subtype): wanted[name, subtype] + int((odd & ~on).sum())}
+
+
 # -- statistics -----------------------------------------------------------------------
 
 
