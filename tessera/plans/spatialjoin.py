@@ -5,7 +5,7 @@ in it, so Spark could only compare every row with every row. Here it becomes one
 are read with the tiles they are cut into, the points with the tile they lie in, and the predicate
 turns into equal tiles and a test of the few edges stored with the tile. A polygon lies on one
 level and a point in one tile of it, so each pair is met once, and the result is that of the
-text. The polygons' common rectangle, after their own conditions in the statement, prunes the points' scan. A test
+text. Where most shapes belong to several polygons, points meet each shape once and the polygons join by its digest. The polygons' common rectangle, after their own conditions in the statement, prunes the points' scan. A test
 against a literal shape gets the comparisons of its rectangle beside it.
 
 Only the text changes, at the places Spark's parser reports; Spark analyses and plans it as
@@ -362,7 +362,8 @@ class SpatialRewrite:
             return
         self.number += 1
         n = self.number
-        levels, box = self._facts(area, arguments[outer], self._own(area, scope, conditions), rows)
+        own = self._own(area, scope, conditions)
+        levels, box, repeated = self._facts(area, arguments[outer], own, rows)
         shape, x, y = self._text(arguments[outer]), f"__x_{n}", f"__y_{n}"
         keys = ", ".join(tile_key_sql(x, y, level) for level in levels) or "cast(NULL AS bigint)"
         pruned = self._own(point, scope, conditions)
@@ -378,10 +379,14 @@ class SpatialRewrite:
         located = f"SELECT `{point.alias}`.*, {place} FROM {point.text}" + (f" WHERE {' AND '.join(pruned)}" if pruned else "")
         if called != "st_point":
             located = f"SELECT * EXCEPT (__xy_{n}), __xy_{n}.x AS {x}, __xy_{n}.y AS {y} FROM ({located})"
-        point.text = (
+        keyed = (
             f"(SELECT `{point.alias}`.*, __k.__tile_{n} FROM ({located}) `{point.alias}` LATERAL VIEW explode(array({keys})) __k AS __tile_{n} "
             f"WHERE abs({x}) < double('infinity') AND abs({y}) < double('infinity')) `{point.alias}`"
         )
+        if repeated:
+            self._shared(scope, condition, name, area, point, shape, own, keyed)
+            return
+        point.text = keyed
         point.hidden += [x, y, f"__tile_{n}"]
         area.text = (
             f"(SELECT `{area.alias}`.*, __t.__cell_{n}, __t.__edges_{n} FROM {area.text} "
@@ -393,25 +398,50 @@ class SpatialRewrite:
             f"({a}.__cell_{n} = {p}.__tile_{n} AND __{name}({p}.{x}, {p}.{y}, {a}.__edges_{n}))"
         )
 
+    def _shared(
+        self, scope: _Scope, condition: JavaObject, name: str, area: _Relation, point: _Relation, shape: str, own: list[str], keyed: str
+    ) -> None:
+        """Points meet the tiles of the distinct shapes; the polygons of a shape join by its digest afterwards."""
+        n, a, p = self.number, f"`{area.alias}`", f"`{point.alias}`"
+        where = f" WHERE {' AND '.join(own)}" if own else ""
+        distinct = f"SELECT DISTINCT {shape} AS __geometry_{n} FROM {self.sql[area.start : area.stop]}{where}"
+        tiles = (
+            f"SELECT sha2(__geometry_{n}, 256) AS __shape_{n}, __t.__cell_{n}, __t.__edges_{n} FROM ({distinct}) "
+            f"LATERAL VIEW inline(__st_tiles(__geometry_{n})) __t AS __cell_{n}, __edges_{n}"
+        )
+        point.text = (
+            f"(SELECT {p}.* EXCEPT (__x_{n}, __y_{n}, __tile_{n}), __s.__shape_{n} FROM {keyed} JOIN ({tiles}) __s "
+            f"ON __s.__cell_{n} = {p}.__tile_{n} AND __{name}({p}.__x_{n}, {p}.__y_{n}, __s.__edges_{n})) {p}"
+        )
+        point.hidden.append(f"__shape_{n}")
+        area.text = f"(SELECT {a}.*, sha2({shape}, 256) AS __is_{n} FROM {area.text}) {a}"
+        area.hidden.append(f"__is_{n}")
+        self.changes[self._span(condition)] = f"({a}.__is_{n} = {p}.__shape_{n})"
+
     def _facts(
         self, area: _Relation, shape: JavaObject, own: list[str], rows: Callable[[DataFrame], list]
-    ) -> tuple[list[int], BoundingBox | None]:
-        """Levels and common rectangle of the polygons that their own conditions leave."""
+    ) -> tuple[list[int], BoundingBox | None, bool]:
+        """Levels and common rectangle of the polygons that their own conditions leave, and whether most shapes repeat."""
         bbox = area.source.bbox_column
         corners = [f"{f}(`{area.alias}`.{bbox}.{c})" for f, c in (("min", "xmin"), ("min", "ymin"), ("max", "xmax"), ("max", "ymax"))]
         where = f" WHERE {' AND '.join(own)}" if own else ""
         original = self.sql[area.start : area.stop]
-        ((levels, *found),) = rows(
+        # Polygons per shape first: a level is found once a shape, and counts stay small.
+        box = ", ".join(f"{c} AS __{k}" for k, c in enumerate(corners)) if bbox else "NULL AS __0"
+        whole = ", ".join(f"{'min' if k < 2 else 'max'}(__{k})" for k in range(4)) if bbox else "NULL"
+        shapes = f"SELECT {self._text(shape)} AS __geometry, count(*) AS __same, {box} FROM {original}{where} GROUP BY 1"
+        ((levels, same, different, *found),) = rows(
             self.spark.sql(
-                f"SELECT sort_array(collect_set(__st_level({self._text(shape)}))), {', '.join(corners) if bbox else 'NULL'} FROM {original}{where}"
+                f"SELECT sort_array(collect_set(__st_level(__geometry))), coalesce(sum(__same), 0), count(*), {whole} FROM ({shapes})"
             )
         )
+        repeated = same >= 2 * different > 0
         if None in found or not bbox:
-            return levels, None
+            return levels, None, repeated
         west, south, east, north = (float(v) for v in found)
         return levels, BoundingBox.envelope(
             max(-180.0, west - SLACK), max(-90.0, south - SLACK), min(180.0, east + SLACK), min(90.0, north + SLACK)
-        )
+        ), repeated
 
 
 def register_join_functions(spark: SparkSession) -> None:

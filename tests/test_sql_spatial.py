@@ -105,6 +105,18 @@ def test_joins_give_the_rows_of_the_text_without_nested_loops(spark, tables, sql
     assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
 
 
+@pytest.mark.parametrize("sql", [*JOINS[:9], *JOINS[10:13], JOINS[15]])
+def test_equal_shapes_are_cut_once(spark, tables, sql):
+    frames, _ = tables
+    frames = frames | {"areas": frames["areas"].unionByName(frames["areas"]).unionByName(frames["areas"].limit(9))}
+    sources = [Source(name=n, view=lambda _, n=n: frames[n], name_column=None, polygonal=n == "areas") for n in frames]
+    got = sqlgate.run_sql(spark, Catalog.of("test", *sources), sql)
+    want = plainly(spark, frames, sql)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "__geometry_1" in plan_of(got) and "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+
+
 KEPT = [
     "SELECT p.id, a.name FROM places p LEFT JOIN (SELECT a.name, q.id FROM areas a JOIN places q ON st_contains(a.geometry, q.geometry)) a ON a.id = p.id",
     "SELECT a.name, p.id FROM areas a JOIN places p ON st_contains(a.geometry, p.geometry) OR p.kind = 2",
