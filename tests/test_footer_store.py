@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -85,3 +86,17 @@ def test_engines_share_a_store(spark, tmp_path):
     assert info["row_count"] == again["row_count"] == 106 and info["location"] == catalog.path("places")
     assert {"title", "description", "notes", "name_column", "default_columns"} <= info.keys()
     assert second.list_datasets().info["default_source"] == catalog.names[0]
+
+
+def test_bands_are_written_without_a_sort_of_all_rows(spark, tmp_path, monkeypatch):
+    from workload import queries
+
+    rows = "id AS l_orderkey, 1 AS l_linenumber, 'A' AS l_returnflag, cast(id AS double) AS l_extendedprice, 1.0D AS l_quantity"
+    spark.range(0, 4000, 1, 3).selectExpr(*rows.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(queries, "checkpoint_dir", lambda _: str(tmp_path))
+    whole = queries._banded_parcels(spark, str(tmp_path))
+    assert sorted((p.name, len(list(p.glob("*.parquet")))) for p in Path(whole).glob("band=*")) == [(f"band={b}", 1) for b in (-1, -2, 0, 1)]
+    kept = {r["band"]: r["row_count"] for r in queries._footers_kept(spark, str(tmp_path)).collect()}
+    assert kept == {r["band"]: r["count"] for r in spark.read.parquet(whole).groupBy("band").count().collect()}
+    spread = [p for p in tmp_path.glob("bands-*") if str(p) != whole]
+    assert all(len(list(b.glob("*.parquet"))) > 1 for p in spread for b in p.glob("band=*"))

@@ -220,7 +220,7 @@ def _footprint(spark: SparkSession, sf: str) -> DataFrame:
 
 def _footers_kept(spark: SparkSession, sf: str) -> DataFrame:
     """Row groups by file, from a store that a second call finds complete."""
-    store, path = f"{checkpoint_dir(spark)}/footers-{uuid.uuid4().hex}", _banded_parcels(spark, sf)
+    store, path = f"{checkpoint_dir(spark)}/footers-{uuid.uuid4().hex}", _banded_parcels(spark, sf, one_file=False)
     kept_footers(spark, store, path)
     kept = kept_footers(spark, store, path).where("column = 'measure'")
     band = F.regexp_extract("file", r"band=(-?\d+)", 1).cast("int")
@@ -261,11 +261,16 @@ def _footer_pruning(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _banded_parcels(spark: SparkSession, sf: str) -> str:
-    """The parcels in one file per quarter of the longitudes."""
+def _banded_parcels(spark: SparkSession, sf: str, one_file: bool = True) -> str:
+    """The parcels by quarter of the longitudes: one file each, or as many as tasks read.
+
+    Band by band, since one write of all bands would sort them in memory.
+    """
     path = f"{checkpoint_dir(spark)}/bands-{uuid.uuid4().hex}"
     banded = points(spark, sf, "parcels").withColumn("band", F.floor(F.col("lon") / 90).cast("int"))
-    banded.select("id", "measure", "category", "lon", "lat", "bbox", "band").repartition("band").write.partitionBy("band").parquet(path)
+    for row in banded.select("band").distinct().collect():
+        chosen = banded.where(F.col("band").eqNullSafe(row["band"])).select("id", "measure", "category", "lon", "lat", "bbox")
+        (chosen.repartition(1) if one_file else chosen).write.parquet(f"{path}/band={row['band']}")
     return path
 
 
