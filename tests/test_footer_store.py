@@ -100,3 +100,12 @@ def test_bands_are_written_without_a_sort_of_all_rows(spark, tmp_path, monkeypat
     assert kept == {r["band"]: r["count"] for r in spark.read.parquet(whole).groupBy("band").count().collect()}
     spread = [p for p in tmp_path.glob("bands-*") if str(p) != whole]
     assert all(len(list(b.glob("*.parquet"))) > 1 for p in spread for b in p.glob("band=*"))
+
+
+def test_a_table_in_a_folder_is_named_by_its_folder(spark, tmp_path):
+    from workload import queries
+
+    ship(spark)
+    spark.range(0, 30, 1, 3).write.parquet(str(tmp_path / "orders.parquet"))
+    row = queries._footprint(spark, str(tmp_path)).first()
+    assert (row["name"], row["row_count"], row["files"]) == ("orders", 30, 3)

@@ -208,7 +208,7 @@ def _density(resolution: int, grid: str) -> Query:
 
 def _footprint(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts of every table, from the footers alone."""
-    wanted = F.regexp_extract("file", r"([a-z]+)\.parquet$", 1)
+    wanted = F.regexp_extract("file", r"/([a-z]+)\.parquet(?:/[^/]*)?$", 1)
     return (
         footers.footers(spark, sf)
         .groupBy("file")
