@@ -10,7 +10,8 @@ five (see ``runs_of``).
 Inverted lists of runs give the candidates. Equal sets are one node, and of lists with the same
 members one is kept. Every list is first compared with
 its most linked node, which settles groups of copies in as many comparisons as they have members;
-lists that are not one component by then are compared in tiles, leaving out pairs within a
+lists that are not one component by then are gathered by their most linked node, so that near-copies
+meet once and not in every run they share, and compared in tiles, leaving out pairs within a
 component: overlaps of a whole tile are one product of incidence matrices, of the sketches first. A candidate pair passes the estimate from its union sketch (within ``SLACK``; in full for
 sets within the sketch size) before the exact similarity of the full sets decides. No pair of copies
 is written, and no candidate is capped.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import INNER, join_hot
@@ -242,23 +243,51 @@ def forest(sets: list[np.ndarray], components: np.ndarray, sides: np.ndarray, si
     return links
 
 
+def _weight(slice_bytes: int) -> Column:
+    """What a row takes of a slice; a set of few shingles weighs as much as its place in a tile."""
+    return F.greatest(F.col("n_shingles"), F.lit(max(1, slice_bytes // (8 * SLICE_SETS))))
+
+
+def _slices(size: Column, slice_bytes: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size * 8 / slice_bytes)).cast("int")
+
+
+def _gathered(members: DataFrame, slice_bytes: int) -> DataFrame:
+    """Lists with the same most linked node as one list, where that sends no more rows to tiles.
+
+    Near-copies share many runs, and the lists of those differ in a few members only. A pair of a
+    list is a pair of the whole; pairs that only the whole has are judged by the same exact test.
+    """
+    shape = F.count("*").alias("n"), F.sum(_weight(slice_bytes)).alias("size")
+    cost = F.col("n") * _slices(F.col("size"), slice_bytes)
+    top = F.max(F.struct("degree", "n_shingles", "fp")).alias("top")
+    centres = stage(
+        members.groupBy("run").agg(top, *shape).select(F.col("run").alias("in_run"), F.col("top.fp").alias("centre"), cost.alias("cost")),
+        "minhash-centres",
+    )
+    rows = members.join(centres, F.col("run") == F.col("in_run")).select("run", "centre", "fp", "component", "n_shingles")
+    columns = ["fp", "component", "n_shingles"]
+    whole = rows.select("centre", *columns).distinct().groupBy("centre").agg(*shape).select(F.col("centre").alias("of"), cost.alias("whole"))
+    apart = centres.groupBy("centre").agg(F.sum("cost").alias("apart"))
+    chosen = stage(apart.join(whole, F.col("centre") == F.col("of")).where("whole <= apart").select("of"), "minhash-gathered")
+    run = F.coalesce("of", "run").alias("run")
+    return stage(rows.join(chosen, F.col("centre") == F.col("of"), "left").select(run, *columns).distinct(), "minhash-units")
+
+
 def _tiled(members: DataFrame, sets: DataFrame, similarity: float, slice_bytes: int) -> DataFrame:
     """Links within lists of rows ``run``, ``fp``, ``component``, ``n_shingles``.
 
     A list's largest component is not compared with itself. Each side is cut into slices of about
     ``slice_bytes`` of sets by a hash; a row goes to one unit of work for every slice it meets.
     """
-    # a set of few shingles weighs as much as its place in a tile
-    weight = F.greatest(F.col("n_shingles"), F.lit(max(1, slice_bytes // (8 * SLICE_SETS))))
-    per = members.groupBy("run", "component").agg(F.sum(weight).alias("size"))
+    per = members.groupBy("run", "component").agg(F.sum(_weight(slice_bytes)).alias("size"))
     core = per.groupBy("run").agg(
         F.max_by("component", F.struct("size", "component")).alias("core"), F.max("size").alias("core_size"), F.sum("size").alias("all_size")
     )
-    count = lambda size: F.greatest(F.lit(1), F.ceil(size * 8 / slice_bytes)).cast("int")
     shape = stage(
         core.select(
-            F.col("run").alias("in_run"), "core", count(F.col("core_size")).alias("core_slices"),
-            count(F.col("all_size") - F.col("core_size")).alias("rest_slices"),
+            F.col("run").alias("in_run"), "core", _slices(F.col("core_size"), slice_bytes).alias("core_slices"),
+            _slices(F.col("all_size") - F.col("core_size"), slice_bytes).alias("rest_slices"),
         ),
         "minhash-shapes",
     )
@@ -350,7 +379,7 @@ def similar_roots(
     roots = stage(connected_components(links), "minhash-roots")
     longer = lists.where("n > 2").select("in_run")
     rest = members.drop("component").join(longer, F.col("run") == F.col("in_run"), "left_semi")
-    more = _tiled(_open(rest, roots), sets, similarity, slice_bytes)
+    more = _tiled(_gathered(_open(rest, roots), slice_bytes), sets, similarity, slice_bytes)
     return connected_components(links.unionByName(more))
 
 

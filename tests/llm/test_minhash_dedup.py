@@ -69,6 +69,15 @@ def test_families_chains_and_a_common_passage(llm, monkeypatch, slice_bytes):
     assert sorted((tuple(r) for r in got), key=str) == plain(rows)
 
 
+def test_lists_of_one_family_are_gathered(llm):
+    """Near-copies go to a tile once; lists that only share a quoting node, and are cheaper apart, stay lists."""
+    family = [(run, fp, 100, 50 if fp == 1 else 1, fp) for run in range(30) for fp in range(1, 9) if fp != 2 + run % 7]
+    apart = [(100 + run, fp, 100, 90 if fp == 99 else 1, fp) for run in range(30) for fp in (99, *range(1000 + 10 * run, 1010 + 10 * run))]
+    members = llm.createDataFrame(family + apart, "run bigint, fp bigint, n_shingles bigint, degree bigint, component bigint")
+    got = {tuple(r) for r in dedup._gathered(members, 8 * 100 * 11).select("run", "fp").collect()}
+    assert got == {(1, fp) for fp in range(1, 9)} | {(r[0], r[1]) for r in apart}
+
+
 def test_awkward_documents(docs):
     assert sorted((tuple(r) for r in dedup.near_copies(docs).collect()), key=str) == plain(doc_rows())
 
