@@ -21,8 +21,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -43,11 +42,16 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 MIN_GOOD, MAX_TOXIC = 0.5, 0.5
 
 
-def evidence_terms(text: Column) -> Column:
-    """Distinct lower-case words and beginnings of longer ones, and style marks in tenths of shares (with a sign no word has)."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
-    distinct = F.array_distinct(words)
+def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
+    """The table with ``text`` replaced by ``terms``: distinct lower-case words and beginnings of longer ones, and
+    style marks in tenths of shares (with a sign no word has).
+
+    Words and distinct words are columns of their own: inside one expression they would be found anew for every use.
+    """
+    others = [c for c in df.columns if c != text]
+    given = df.select(*others, F.coalesce(F.col(text), F.lit("")).alias(text))
+    given = given.select("*", F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0).alias("words"))
+    given = given.select("*", F.array_distinct("words").alias("distinct"))
     share = lambda a, b: F.floor(10 * a / F.greatest(b, F.lit(1))).cast("string")
     length = F.char_length(text)
     letters = length - F.char_length(F.regexp_replace(text, r"\p{L}+", ""))
@@ -55,13 +59,18 @@ def evidence_terms(text: Column) -> Column:
     style = F.array(
         F.concat(F.lit("#letters "), share(letters, length)),
         F.concat(F.lit("#marks "), F.floor(100 * marks / F.greatest(length, F.lit(1))).cast("string")),
-        F.concat(F.lit("#distinct "), share(F.size(distinct), F.size(words))),
+        F.concat(F.lit("#distinct "), share(F.size("distinct"), F.size("words"))),
         F.concat(F.lit("#length "), F.floor(F.log2(length + 1)).cast("string")),
     )
     stems = [
-        F.transform(F.filter(distinct, lambda w: F.char_length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS
+        F.transform(F.filter("distinct", lambda w: F.char_length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS
     ]
-    return F.concat(distinct, *stems, style)
+    return given.select(*others, F.concat("distinct", *stems, style).alias("terms"))
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """``terms`` as ``features``, which all labels' models share."""
+    return HashingTF(numFeatures=BUCKETS, inputCol="terms", outputCol="features").transform(df).drop("terms")
 
 
 def _worst_labels(labels: DataFrame, id: str, worst: dict[str, str]) -> DataFrame:
@@ -70,37 +79,37 @@ def _worst_labels(labels: DataFrame, id: str, worst: dict[str, str]) -> DataFram
     return labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("labelled")).agg(*chosen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, worst: dict[str, str], id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> dict[str, PipelineModel | float]:
+def fit(docs: DataFrame, labels: DataFrame, worst: dict[str, str], id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> dict[str, LogisticRegressionModel | float]:
     """A model for every label, or the share of ones where the labels have fewer than two classes."""
     sample = _worst_labels(labels, id, worst).orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
     # at most `rows` ids and labels: broadcast
     given = docs.select(docs[id].alias("id"), docs[text].alias("text")).join(F.broadcast(sample), F.col("id") == F.col("labelled"))
-    terms = stage(given.select(evidence_terms(F.col("text")).alias("terms"), *worst), "fit-terms")
-    models: dict[str, PipelineModel | float] = {}
+    features = stage(_hashed(with_terms(given.select("text", *worst))), "fit-features")
+    models: dict[str, LogisticRegressionModel | float] = {}
     for name in worst:
-        known = terms.where(F.col(name).isNotNull())
+        known = features.where(F.col(name).isNotNull())
         stats = measured(known, n=F.count("*"), ones=F.sum(name), classes=F.count_distinct(name))
         if stats["classes"] < 2:
             models[name] = stats["ones"] / stats["n"] if stats["n"] else 0.5
             continue
-        hashed = HashingTF(numFeatures=BUCKETS, inputCol="terms", outputCol="features")
         regression = LogisticRegression(
             featuresCol="features", labelCol=name, maxIter=60, regParam=REGULAR, elasticNetParam=1.0, standardization=False,
             probabilityCol="probability", rawPredictionCol="raw", predictionCol="predicted",
         )
-        models[name] = Pipeline(stages=[hashed, regression]).fit(known)
+        models[name] = regression.fit(known)
     return models
 
 
 def evidence(docs: DataFrame, models: dict, host: str | Column, path: str | Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``id``, ``host``, ``path`` and a probability for every label."""
     site = lambda c: F.coalesce((docs[c] if isinstance(c, str) else c).cast("string"), F.lit(""))
-    df = docs.select(docs[id].alias("id"), site(host).alias("host"), site(path).alias("path"), evidence_terms(docs[text]).alias("terms"))
+    df = docs.select(docs[id].alias("id"), site(host).alias("host"), site(path).alias("path"), docs[text].alias("text"))
+    df = _hashed(with_terms(df)) if any(not isinstance(model, float) for model in models.values()) else df.drop("text")
     for name, model in models.items():
         if isinstance(model, float):
             df = df.withColumn(name, F.lit(model))
             continue
-        df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("features", "probability", "raw", "predicted")
+        df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("probability", "raw", "predicted")
     clipped = lambda c: F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c))).alias(c)
     return df.select("id", "host", "path", *(clipped(name) for name in models))
 

@@ -85,3 +85,15 @@ def test_planted_site_effects_are_found_and_move_verdicts(llm):
 
 def test_empty_table(llm, no_docs):
     assert qc.classify(no_docs, llm.createDataFrame([(1, 0, 1)], LABEL)).count() == 0
+
+
+def test_words_are_found_once_and_hashed_once_for_both_labels(llm):
+    docs, labels = corpus(60)
+    given = llm.createDataFrame(docs, DOC)
+    models = qc.fit(given, llm.createDataFrame(labels, LABEL), {"quality": "min", "toxic": "max"})
+    plan = qc.evidence(given, models, "source", "lang")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("AS features#") == 1
+    text = llm.createDataFrame([(1, "Reading the THE reading | x1"), (2, None)], "id int, text string")
+    terms = {r.id: set(r.terms) for r in qc.with_terms(text).collect()}
+    assert terms[1] == {"reading", "the", "x", "^read", "^readin", "#letters 7", "#marks 3", "#distinct 6", "#length 4"}
+    assert terms[2] == {"#letters 0", "#marks 0", "#distinct 0", "#length 0"}
