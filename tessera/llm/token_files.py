@@ -24,6 +24,8 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
+import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -53,6 +55,10 @@ def _byte_signs() -> dict[int, int]:
 
 
 _BYTE_SIGNS = _byte_signs()
+#: Signs that are neither letters nor numbers, without the one that contractions begin with.
+_SIGNS = "".join(sign for sign in string.punctuation if sign != "'")
+#: Letters that composing leaves as they are and that have one small letter, the same in every version of the tables.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
 
 
 class WordEncoder:
@@ -73,6 +79,12 @@ class WordEncoder:
         # the pattern has letters, and signs that are neither letters nor numbers, in parts of their own; then bytes become signs
         text = json.dumps(rules["pre_tokenizer"]).replace("\\\\", "\\")
         self.apart = r"[\p{L}]+" in text and r"[^\s\p{L}\p{N}]+" in text and '"ByteLevel"' in text
+        steps = rules["normalizer"] or {"type": "Sequence", "normalizers": []}
+        #: Whether composing, joining white space and lower-casing are all that the normaliser does.
+        self.composed = all(
+            step["type"] in ("NFC", "Lowercase") or (step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"})
+            for step in steps.get("normalizers", [steps])
+        )
         self.normalizer, self.splitter, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         #: Texts of tokens that are cut out before anything else.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -83,23 +95,22 @@ class WordEncoder:
     def _learn(self, word: str) -> bytes:
         """Ids of a word not in the memo: the library's steps one by one, without its per-call cost.
 
-        A full stop or comma after letters is a piece of its own, and letters are one piece,
-        unless the normaliser makes more than letters of them.
+        Signs after letters are a piece of their own, and letters are one piece, unless the
+        normaliser makes more than letters of them.
         """
         if word in self.older:
             return self.older[word]
         if self.apart:
-            if len(word) > 1 and word[-1] in ".,":
-                stem = word[:-1]
-                if stem.isalpha() and (stem.isascii() or self._folded(stem).isalpha()):
-                    return self.memo[stem] + self.memo[word[-1]]
-            elif word.isalpha():
-                if word.isascii():
-                    low = word.lower() if self.folds else word
-                    return self.memo[low] if low != word else self._packed(self.model.tokenize(low))
-                folded = self._folded(word)
-                if folded.isalpha():
-                    return self._packed(self.model.tokenize(folded.encode().decode("latin-1").translate(_BYTE_SIGNS)))
+            stem = word.rstrip(_SIGNS)
+            other = not (stem.isascii() or (self.composed and _LATIN.fullmatch(stem)))
+            folded = self._folded(stem) if other else stem.lower() if self.folds else stem
+            if stem.isalpha() and folded.isalpha():
+                if len(stem) < len(word):
+                    return self.memo[stem if other else folded] + self.memo[word[len(stem) :]]
+                if folded != word and not other:
+                    return self.memo[folded]
+                signs = folded if folded.isascii() else folded.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                return self._packed(self.model.tokenize(signs))
         if any(content in word for content in self.added) or not self.normalizer or not self.splitter:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}{self.sign}", *ids)
@@ -219,24 +230,32 @@ class Codebook:
         self.codes, self.lengths = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
         self.table = np.zeros(1 << self.longest, np.uint32)
         self.table_lengths = np.ones(1 << self.longest, np.uint8)
-        at = 0  # the code at full length
-        for token, length in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
-            span = 1 << (self.longest - length)
-            self.codes[token], self.lengths[token] = at >> (self.longest - length), length
-            self.table[at : at + span], self.table_lengths[at : at + span] = token, length
-            at += span
+        tokens = np.fromiter(lengths.keys(), np.int64, len(lengths))
+        sizes = np.fromiter(lengths.values(), np.int64, len(lengths))
+        order = np.lexsort((tokens, sizes))
+        tokens, sizes = tokens[order], sizes[order]
+        spans = 1 << (self.longest - sizes)
+        ends = np.cumsum(spans)
+        self.codes[tokens], self.lengths[tokens] = (ends - spans) >> (self.longest - sizes), sizes
+        used = int(spans.sum())
+        self.table[:used], self.table_lengths[:used] = np.repeat(tokens, spans), np.repeat(sizes, spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Payload and the bit offset of every ``STEP``-th id."""
-        lengths = self.lengths[ids]
-        offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)[:-1]))[::STEP] if len(ids) else np.zeros(0, np.int64)
-        bits = []
-        for a in range(0, len(ids), BLOCK_IDS):
-            own = lengths[a : a + BLOCK_IDS]
-            left = (self.codes[ids[a : a + BLOCK_IDS]] << (np.uint32(32) - own)).astype(">u4")
-            wide = np.unpackbits(left.view(np.uint8).reshape(-1, 4), axis=1)
-            bits.append(wide[np.arange(32, dtype=np.uint8) < own[:, None]])
-        return np.packbits(np.concatenate([*bits, np.zeros(0, np.uint8)])).tobytes(), offsets
+        if not len(ids):
+            return b"", np.zeros(0, np.int64)
+        lengths = self.lengths[ids].astype(np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        # each code in the two 32-bit words from the one it starts in; codes of a word share no bit, so they add up
+        shift = (64 - (starts & 31) - lengths).astype(np.uint64)
+        wide, word = self.codes[ids].astype(np.uint64) << shift, starts >> 5
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        sums, at = np.add.reduceat(wide, first), word[first]
+        words = np.zeros(int(word[-1]) + 2, np.uint64)
+        words[at] += sums >> np.uint64(32)
+        words[at + 1] += sums & np.uint64(0xFFFFFFFF)
+        return words.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], starts[::STEP]
 
     def decode(self, payload: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` ids of a block; all checkpoints advance together."""

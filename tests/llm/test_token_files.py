@@ -99,3 +99,14 @@ def test_empty_table(llm, no_docs):
     path = tf.new_folder(llm, "test-none")
     tf.write_tokens(tf.token_ids(no_docs, tokenizer_files.WORDS), path)
     assert tf.read_tokens(llm, path).count() == 0
+
+
+def test_signs_and_latin_letters_are_learnt_without_the_slow_steps():
+    """Ids as the library's; letters with signs behind them reach neither the normaliser nor the splitter."""
+    encoder = tf.WordEncoder(tokenizer_files.WORDS)
+    words = "Straße$$$ éÉa!!! İx. ΣΑΣ, ª º. ŉ ſ. don't. a$'s ab.'s '$ a1. <|endoftext|>. ab<|endoftext|> Å Å. 日本。 日本. __ Ÿ,&&& é. ĳ".split(" ")
+    for word in words:
+        assert encoder.encode([word])[0] == np.array(encoder.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+    signs = encoder.encode(["$$$ !!! ,&&&"])
+    encoder.normalizer = encoder.splitter = encoder.tokenizer = None  # from here on a slow step fails
+    assert signs and all(encoder.encode(["Wörter$$$ niño!!! Éclair,&&& Plain$$$"]))
